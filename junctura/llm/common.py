@@ -63,6 +63,23 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[pa.RecordBatc
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``df`` with its Arrow batches changed or filtered by ``change``, which keeps the columns; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield change(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """``batch`` with the values of column ``name`` replaced."""
+    at = batch.schema.get_field_index(name)
+    return pa.RecordBatch.from_arrays([values if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of ``edges`` (a, b): root is the smallest id reachable.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from junctura.llm import dedup
+from junctura.llm import decontam, dedup, secret_scan
 
 QUERIES = {
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_minmax_dedup": dedup.op5_minmax_dedup,
+    "op6_cgk_decontamination": decontam.op6_cgk_decontamination,
 }
 
 ORACLES = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from junctura.llm import decontam, dedup, secret_scan
+from junctura.llm import decontam, dedup, langid, secret_scan, sp_encode
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_sentencepiece": sp_encode.op2_sentencepiece,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_minmax_dedup": dedup.op5_minmax_dedup,
     "op6_cgk_decontamination": decontam.op6_cgk_decontamination,

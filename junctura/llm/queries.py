@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from junctura.llm import decontam, dedup, langid, media, secret_scan, sp_encode, token_store
+from junctura.llm import chat, decontam, dedup, langid, media, secret_scan, sp_encode, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_minmax_dedup": dedup.op5_minmax_dedup,
     "op6_cgk_decontamination": decontam.op6_cgk_decontamination,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_avi_media": media.op9_avi_media,
     "op10_wavelet_tokens": token_store.op10_wavelet_tokens,
 }
 
 ORACLES = {
     "op5_minmax_dedup": dedup.ORACLE,
+    "op8_chat_format": chat.ORACLE,
 }

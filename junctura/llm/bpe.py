@@ -39,10 +39,15 @@ class Runs:
         self.dtype = dtype
         self.memo: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
+    def ids(self, text: str) -> list[int]:
         latin = text.isascii() or max(text) < LATIN
-        ids = self.latin.encode_ordinary(text) if latin else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        return self.latin.encode_ordinary(text) if latin else self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def count(self, text: str) -> int:
+        return len(self.ids(text))
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.ids(text), self.dtype).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from junctura.llm import chat, decontam, dedup, langid, media, secret_scan, sp_encode, token_store
+from junctura.llm import chat, decontam, dedup, langid, licenses, media, secret_scan, sp_encode, token_counts, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_sentencepiece": sp_encode.op2_sentencepiece,
+    "op3_edit_token_counts": token_counts.op3_edit_token_counts,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_minmax_dedup": dedup.op5_minmax_dedup,
     "op6_cgk_decontamination": decontam.op6_cgk_decontamination,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_chat_format": chat.op8_chat_format,
     "op9_avi_media": media.op9_avi_media,
     "op10_wavelet_tokens": token_store.op10_wavelet_tokens,

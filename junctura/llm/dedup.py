@@ -8,17 +8,19 @@ How skew and size are met:
 
 * documents with equal sets are one class from the start (aggregated before anything is compared);
 * in each band's bucket all members are compared with one leader, the one with most company over all bands;
-  links are joined into components, and only pairs of a bucket that still lie in different components, and
-  were not compared, are compared then. Pairs of one component can add nothing to the result, so no link is lost;
+  links are joined into components, and only buckets that then still hold several components are compared in
+  full, block against block. Pairs of one component can add nothing to the result, so no link is lost;
 * sets of too different sizes cannot reach the threshold and are passed over before texts are fetched;
 * joins on hot keys are plain shuffled joins, which adaptive execution splits; nothing gathers a bucket.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from junctura.llm.words import U64, mix, shingle_sets, splitmix
 BANDS, ROWS = 24, 6
 PERCENT, SHINGLE = 85, 5
 BLOCK_BYTES = 1 << 20
+#: Documents in a block of an open group, and in a group that is compared as a whole.
+BLOCK, GROUP = 256, 20_000
 
 
 def minmax_bands(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -73,7 +77,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those (a, b) of ``pairs`` whose full sets reach ``percent``; texts: (id, text), one row for each id."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    held = cut(texts.join(need, "id", "left_semi"), "texts")
+    # ``need`` grows with the data: a broadcast that happens to fit a small input would not at size
+    held = cut(texts.join(need.hint("merge"), "id", "left_semi"), "texts")
     full = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -93,6 +98,80 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return map_batches(full, ["a", "b", "ta", "tb"], make, "a long, b long")
 
 
+def cell_links(percent: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the two sides of a cell, as a forest: enough to join what they join, one row a document at most.
+
+    Intersections of all its pairs are one product of two 0/1 matrices over the shingles that both sides have.
+    """
+    rows = rows.sort_values("id", ignore_index=True)
+    ids, roots = rows["id"].tolist(), rows["root"].tolist()
+    diagonal = rows["i"].iloc[0] == rows["j"].iloc[0]
+    side = rows["block"].to_numpy() == rows["i"].iloc[0]
+    left, right = np.flatnonzero(side), np.flatnonzero(side if diagonal else ~side)
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    sets = [s for _, part in blocks((t.encode() for t in rows["text"]), BLOCK_BYTES) for s in shingle_sets(part, SHINGLE)]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    use = np.zeros(len(value), bool)
+    use[column[np.isin(owner, left)]] = True
+    other = np.zeros(len(value), bool)
+    other[column[np.isin(owner, right)]] = True
+    if diagonal:
+        other = np.bincount(column, minlength=len(value)) > 1
+    rank = np.cumsum(use & other) - 1
+    shared = (use & other)[column]
+    owner, column = owner[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        marks = np.zeros((len(sets), 4096), np.float32)
+        marks[owner[lo:hi], column[lo:hi] - at] = 1
+        both[np.ix_(left, right)] += marks[left] @ marks[right].T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    parent = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for x, y in zip(*np.nonzero(linked[np.ix_(left, right)]), strict=True):
+        x, y = int(left[x]), int(right[y])
+        p, q = top(roots[x]), top(roots[y])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((ids[x], ids[y]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between documents that share a bucket but not a component.
+
+    Buckets with more than one component are joined to groups (by shared documents; a bucket by itself where a
+    group would exceed GROUP documents). A group's documents are dealt to blocks, and each pair of blocks is a
+    cell that one task compares exactly: no row is made for a pair, and no task holds more than two blocks.
+    """
+    placed = members.filter("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
+    left = cut(placed.join(mixed.select("band", "key", "first"), ["band", "key"]).select("band", "key", "first", "id", "root"), "open")
+    groups = components(left.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    grouped = left.join(groups.select("id", F.col("root").alias("group")), "id")
+    large = grouped.select("group", "id").distinct().groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP).select("group", F.lit(True).alias("large"))
+    grouped = grouped.join(large, "group", "left").withColumn("group", F.when(F.col("large"), F.xxhash64("band", "key")).otherwise(F.col("group")))
+    grouped = cut(grouped.select("group", "id", "root").distinct(), "groups")
+    count = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    block = grouped.join(count, "group").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    cells = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    full = cells.select("group", "i", "j", "block", "id", "root").hint("merge").join(texts, "id")
+    found = full.groupBy("group", "i", "j").applyInPandas(functools.partial(cell_links, percent), "a long, b long")
+    return cut(found, "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``.
 
@@ -117,16 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     links = cut(confirm(tested, texts, percent), "links")
     roots = components(links)
-    placed = members.filter("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
-    left = cut(placed.join(open_, ["band", "key"]).select("band", "key", "id", "n", "root"), "open")
-    right = left.select("band", "key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = left.join(right, ["band", "key"]).filter((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
-    rest = cut(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = cut(confirm(rest, texts, percent), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    more = open_links(members, roots, texts, percent)
+    if not more.isEmpty():
+        roots = components(links.union(more))
     named = classes.join(roots, classes.rep == roots.id, "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     found = sketch.join(named, "set_key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))

@@ -25,30 +25,32 @@ WITH fx_genes AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 AS seg, l_linenumber AS src, mapq, chr_a AS chr, pos_a AS coord, chr_b AS mchr, pos_b AS mcoord FROM fx_frag
   UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, l_linenumber, mapq, chr_b, pos_b, chr_a, pos_a FROM fx_frag
 ), mapped AS (SELECT * FROM fx_reads WHERE chr < 5 AND mapq > 0),
-point_gene AS (
-  SELECT p.chr, p.coord, first(gene_id ORDER BY tx_start, CAST(gene_id AS VARCHAR)) AS gene
-  FROM (SELECT DISTINCT chr, coord FROM fx_reads WHERE chr < 5) p JOIN fx_genes g ON p.chr = g.chr AND p.coord + 50 >= tx_start AND p.coord <= tx_end GROUP BY 1, 2
+point_gene AS MATERIALIZED (
+  SELECT chr, coord, gene_id AS gene FROM (
+    SELECT p.chr, p.coord, gene_id, row_number() OVER (PARTITION BY p.chr, p.coord ORDER BY tx_start, CAST(gene_id AS VARCHAR)) AS k
+    FROM (SELECT DISTINCT chr, coord FROM fx_reads WHERE chr < 5) p JOIN fx_genes g ON p.chr = g.chr AND p.coord + 50 >= tx_start AND p.coord <= tx_end) WHERE k = 1
 ), hit AS (SELECT r.*, p.gene FROM mapped r JOIN point_gene p USING (chr, coord)),
-mate AS (SELECT r.*, p.gene AS mgene FROM hit r JOIN point_gene p ON r.mchr = p.chr AND r.mcoord = p.coord),
+mate AS MATERIALIZED (SELECT r.*, p.gene AS mgene FROM hit r JOIN point_gene p ON r.mchr = p.chr AND r.mcoord = p.coord),
 pairs AS (SELECT *, least(gene, mgene) AS g, greatest(gene, mgene) AS m, gene > mgene AS swapped, coord > mcoord AS is_mate FROM mate),
-disc AS (SELECT * FROM pairs WHERE gene <> mgene),
+disc AS (SELECT * FROM pairs WHERE gene - mgene <> 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY g, m, coord, mcoord ORDER BY chr, mchr, l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq) AS rn FROM disc),
-dd AS (SELECT * FROM ranked WHERE rn = 1 OR mcoord = 0),
+dd AS MATERIALIZED (SELECT * FROM ranked WHERE rn = 1 OR mcoord = 0),
 fam AS (SELECT dd.* FROM dd JOIN fx_families a ON g = a.gene_id JOIN fx_families b ON m = b.gene_id WHERE a.family_id <> b.family_id),
-sup AS (SELECT * FROM fam WHERE (g, m) IN (SELECT (g, m) FROM fam GROUP BY g, m HAVING count(*) > 5)),
-near AS (SELECT * FROM sup r WHERE EXISTS (SELECT 1 FROM sup q WHERE q.g = r.g AND q.m = r.m AND q.is_mate = r.is_mate AND (q.coord <> r.coord OR q.mcoord <> r.mcoord)
-  AND q.coord BETWEEN r.coord - 199 AND r.coord + 199 AND abs(q.coord - r.coord) + abs(q.mcoord - r.mcoord) <= 199)),
-close AS (SELECT * FROM near WHERE (g, m) IN (SELECT (g, m) FROM near GROUP BY g, m HAVING count(*) > 5)),
-counts AS (SELECT g, m, count(*) AS n FROM close GROUP BY g, m),
+sup AS MATERIALIZED (SELECT * FROM fam WHERE (g, m) IN (SELECT (g, m) FROM fam GROUP BY g, m HAVING count(*) > 5)),
+near AS MATERIALIZED (SELECT DISTINCT r.* FROM sup r JOIN sup q ON q.g = r.g AND q.m = r.m AND q.is_mate = r.is_mate
+  WHERE (q.coord <> r.coord OR q.mcoord <> r.mcoord) AND abs(q.coord - r.coord) + abs(q.mcoord - r.mcoord) <= 199),
+close AS MATERIALIZED (SELECT * FROM near WHERE (g, m) IN (SELECT (g, m) FROM near GROUP BY g, m HAVING count(*) > 5)),
+counts AS MATERIALIZED (SELECT g, m, count(*) AS n FROM close GROUP BY g, m),
 oriented AS (
   SELECT g, m, is_mate, l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq, CASE WHEN is_mate THEN coord ELSE mcoord END AS coord, CASE WHEN is_mate THEN mcoord ELSE coord END AS mcoord,
     CASE WHEN is_mate THEN chr ELSE mchr END AS chr, CASE WHEN is_mate THEN mchr ELSE chr END AS mchr,
     CASE WHEN is_mate THEN gene ELSE mgene END AS gene, CASE WHEN is_mate THEN mgene ELSE gene END AS mgene
   FROM close
 ), point_frame AS (
-  SELECT gene, pos, first(CASE WHEN e_start > pos + 50 THEN -2 ELSE frame END ORDER BY k) AS frame
-  FROM (SELECT DISTINCT gene, coord AS pos FROM oriented UNION SELECT DISTINCT mgene, mcoord FROM oriented) p JOIN fx_exons e ON e.gene_id = p.gene AND e.e_end > p.pos GROUP BY 1, 2
-), framed AS (
+  SELECT gene, pos, CASE WHEN e_start > pos + 50 THEN -2 ELSE frame END AS frame FROM (
+    SELECT p.gene, p.pos, e_start, frame, row_number() OVER (PARTITION BY p.gene, p.pos ORDER BY k) AS kk
+    FROM (SELECT gene, coord AS pos FROM oriented UNION SELECT mgene, mcoord FROM oriented) p JOIN fx_exons e ON e.gene_id = p.gene AND e.e_end > p.pos) WHERE kk = 1
+), framed AS MATERIALIZED (
   SELECT o.*, CAST(coalesce(a.frame, -2) AS INT) AS frame, CAST(coalesce(b.frame, -2) AS INT) AS mframe, 100 + l_linenumber AS line_len
   FROM oriented o LEFT JOIN point_frame a ON o.gene = a.gene AND o.coord = a.pos LEFT JOIN point_frame b ON o.mgene = b.gene AND o.mcoord = b.pos
 ), firsts AS (
@@ -63,9 +65,9 @@ oriented AS (
   FROM summed s JOIN firsts f USING (g, m)
 ), ends AS (SELECT DISTINCT g, m, n, unnest([g, m]) AS gene_id FROM counts),
 best AS (SELECT gene_id, g AS bg, m AS bm FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY n DESC, g, m) AS k FROM ends) WHERE k = 1),
-winners AS (SELECT g, m, n FROM ends JOIN best USING (gene_id) GROUP BY g, m, n HAVING bool_and(bg = g AND bm = m)),
+winners AS MATERIALIZED (SELECT g, m, n FROM ends JOIN best USING (gene_id) GROUP BY g, m, n HAVING bool_and(bg = g AND bm = m)),
 places AS (SELECT DISTINCT unnest([g, m]) AS gene_id, coord AS pos, mcoord AS mpos FROM close WHERE (g, m) IN (SELECT (g, m) FROM winners)),
-taken AS (SELECT gene_id, pos FROM places UNION SELECT gene_id, mpos FROM places)
+taken AS MATERIALIZED (SELECT gene_id, pos FROM places UNION SELECT gene_id, mpos FROM places)
 """
 
 RID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, seg"
@@ -93,8 +95,8 @@ _SELECTS = {
     "min_support": "SELECT g, m, count(*) AS n FROM fam GROUP BY g, m HAVING count(*) > 5",
     "min_support_reads": f"SELECT {RID}, g, m, coord, mcoord FROM sup",
     "proximity_reads": "SELECT g, m, is_mate, coord, mcoord FROM near",
-    "proximity_tight": """SELECT g, m, is_mate, coord, mcoord FROM sup r WHERE EXISTS (SELECT 1 FROM sup q WHERE q.g = r.g AND q.m = r.m AND q.is_mate = r.is_mate
-        AND (q.coord <> r.coord OR q.mcoord <> r.mcoord) AND abs(q.coord - r.coord) + abs(q.mcoord - r.mcoord) <= 20)""",
+    "proximity_tight": """SELECT DISTINCT r.g, r.m, r.is_mate, r.coord, r.mcoord FROM sup r JOIN sup q ON q.g = r.g AND q.m = r.m AND q.is_mate = r.is_mate
+        WHERE (q.coord <> r.coord OR q.mcoord <> r.mcoord) AND abs(q.coord - r.coord) + abs(q.mcoord - r.mcoord) <= 20""",
     "proximity_clusters": "SELECT g, m, n FROM counts",
     "top_cluster": "SELECT g, m, n FROM counts ORDER BY n DESC, g, m LIMIT 1",
     "cover_neighbours": """SELECT c.g, c.m, c.n FROM counts c, (SELECT g AS tg, m AS tm FROM counts ORDER BY n DESC, g, m LIMIT 1)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.bpe import Runs, runs
+from junctura.llm.bpe import Coder, coder
 from junctura.llm.common import documents, map_batches
 from junctura.llm.token_store import tokenizer
 
@@ -33,8 +33,8 @@ BACK, MEMO_ROWS = 3, 250_000
 class Counter:
     """Pre-tokens of text and their token counts, remembered."""
 
-    def __init__(self, coder: Runs, pattern: str) -> None:
-        self.coder, self.find = coder, regex.compile(pattern)
+    def __init__(self, encode: Coder, pattern: str) -> None:
+        self.encode, self.find = encode, regex.compile(pattern)
         self.memo: dict[str, int] = {}
 
     def count(self, token: str) -> int:
@@ -42,13 +42,13 @@ class Counter:
         if n is None:
             if len(self.memo) >= MEMO_ROWS:
                 self.memo.clear()
-            n = self.memo[token] = self.coder.count(token)
+            n = self.memo[token] = len(self.encode.ids(token))
         return n
 
 
 @functools.lru_cache(maxsize=2)
-def counter(coder: tuple[str, str, str]) -> Counter:
-    return Counter(runs(*coder), coder[2])
+def counter(files: tuple[str, str, str]) -> Counter:
+    return Counter(coder(*files), files[2])
 
 
 class PretokenTree:
@@ -123,14 +123,14 @@ class PretokenTree:
         return after, encoded
 
 
-def edited_counts(rows: DataFrame, coder: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+def edited_counts(rows: DataFrame, files: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """(doc_id, n_tokens, n_pretokens, after, encoded, text): counts before, and after each edit, with the pre-tokens each encoded, and the final text.
 
     ``edits``: array<struct<start, end, text>>.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
-        counts = counter(coder)
+        counts = counter(files)
         names = ("n_tokens", "n_pretokens", "after", "encoded", "text")
         out = []
         for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

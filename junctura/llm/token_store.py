@@ -21,13 +21,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.bpe import runs
-from junctura.llm.common import blocks, cut, documents
+from junctura.llm.bpe import coder
+from junctura.llm.common import cut, documents
 from junctura.llm.wavelet import WaveletMatrix
 
 END = 0
 NO_ID = -(1 << 63)
-SHARD_BYTES, BLOCK_BYTES = 24 << 20, 2 << 20
+SHARD_BYTES = 24 << 20
 #: Least number of slices, and most that are broadcast (16 bytes each).
 SLICES, SMALL = 1 << 15, 1 << 20
 SHARD_SCHEMA = "shard long, first_id long, n_docs long, n_tokens long, data binary"
@@ -57,13 +57,13 @@ def deal(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("slice", slice_).join(F.broadcast(shards) if n <= SMALL else shards, "slice").select("shard", "id", "text"), most + 1
 
 
-def write_shards(docs: DataFrame, coder: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, files: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The shard table of ``docs``, written and read back."""
     placed, n = deal(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     dealt = placed.select("shard", "id", "text").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "id", "text")
 
     def build(batches):
-        encode = runs(*coder).texts
+        encode = coder(*files).packed
         end = np.array([END], "<u2").tobytes()
         shard, ids, ends, parts = None, [], [], []
 
@@ -74,17 +74,15 @@ def write_shards(docs: DataFrame, coder: tuple[str, str, str], id_col: str = "do
             return pa.RecordBatch.from_pydict({"shard": [shard], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [len(tokens)], "data": [data]}, schema=pa.schema([("shard", pa.int64()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
         for b in batches:
-            shards, keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), [(t or "") for t in b.column(2).to_pylist()]
-            for first, block in blocks((t.encode() for t in texts), BLOCK_BYTES):
-                coded = encode(texts[first : first + len(block)])
-                for k, c in enumerate(coded, first):
-                    if shard is not None and shards[k] != shard:
-                        yield done()
-                        ids, ends, parts = [], [], []
-                    shard = shards[k]
-                    ids.append(keys[k])
-                    ends.append(len(c) // 2 + 1)
-                    parts += [c, end]
+            for at, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if shard is not None and at != shard:
+                    yield done()
+                    ids, ends, parts = [], [], []
+                shard = at
+                coded = encode(text.as_py() or "")
+                ids.append(key)
+                ends.append(len(coded) // 2 + 1)
+                parts += [coded, end]
         if ids:
             yield done()
 

@@ -58,7 +58,7 @@ def summarize(framed: DataFrame, header_bytes: int, order: list[str], cfg: Fusio
     Clusters are ordered by (mgene, gene) of their first read, then (g, m). Byte offsets are a running sum over
     clusters, one row each, not over reads.
     """
-    first = F.min(F.struct(*order, "chr", "mchr", "gene", "mgene", "gene_name", "mgene_name")).alias("f")
+    first = F.min(F.struct(*[F.col(c).alias(f"by_{c}") for c in order], "chr", "mchr", "gene", "mgene", "gene_name", "mgene_name")).alias("f")
     lower, upper = F.least("coord", "mcoord"), F.greatest("coord", "mcoord")
     if cfg.compat == "literal":
         lower, upper = F.when(F.col("is_mate"), F.col("mcoord")).otherwise(F.col("coord")), F.when(F.col("is_mate"), F.col("coord")).otherwise(F.col("mcoord"))

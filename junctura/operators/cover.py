@@ -22,7 +22,8 @@ TASK_READS = 2_000_000
 _DIR: list[str] = []
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read back: what is read many times is computed once."""
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -36,13 +37,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def gene_components(clusters: DataFrame) -> DataFrame:
     """(gene_id, component) over clusters (g, m) as edges: labels spread over edges and jump to their label's label."""
-    edges = _cut(clusters.select("g", "m").union(clusters.select("m", "g")).distinct())
-    labels = _cut(edges.groupBy(F.col("g").alias("gene_id")).agg(F.least(F.col("gene_id"), F.min("m")).alias("component")))
+    edges = cut(clusters.select("g", "m").union(clusters.select("m", "g")).distinct())
+    labels = cut(edges.groupBy(F.col("g").alias("gene_id")).agg(F.least(F.col("gene_id"), F.min("m")).alias("component")))
     while True:
         near = edges.join(labels.withColumnRenamed("gene_id", "m"), "m").groupBy(F.col("g").alias("gene_id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "gene_id").select("gene_id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = lower.select(F.col("gene_id").alias("at"), F.col("component").alias("next"))
-        moved = _cut(lower.join(jump, lower.component == jump["at"], "left").select("gene_id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
+        moved = cut(lower.join(jump, lower.component == jump["at"], "left").select("gene_id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
         labels = moved.select("gene_id", "component")
         if moved.filter("component <> was").isEmpty():
             return labels
@@ -90,7 +91,7 @@ def greedy(rows: pd.DataFrame, min_reads: int) -> pd.DataFrame:
 
 
 def cover_round(reads: DataFrame, min_reads: int) -> tuple[DataFrame, DataFrame]:
-    """(winners (g, m, n), reads left to the others) of one round."""
+    """(winners (g, m, n), reads left to the others) of one round. ``reads`` is read several times: a table, not a long plan."""
     counts = reads.groupBy("g", "m").agg(F.count("*").alias("n")).filter(F.col("n") > min_reads)
     ends = counts.withColumn("gene_id", F.explode(F.array_distinct(F.array("g", "m"))))
     best = ends.groupBy("gene_id").agg(F.max(F.struct("n", (-F.col("g")).alias("x"), (-F.col("m")).alias("y"))).alias("b"))
@@ -109,7 +110,7 @@ def cover_round(reads: DataFrame, min_reads: int) -> tuple[DataFrame, DataFrame]
 def cover_by_rounds(reads: DataFrame, min_reads: int) -> DataFrame:
     out, left = None, reads
     while True:
-        live = _cut(left.join(left.groupBy("g", "m").count().filter(F.col("count") > min_reads).select("g", "m"), ["g", "m"], "left_semi").select(reads.columns))
+        live = cut(left.join(left.groupBy("g", "m").count().filter(F.col("count") > min_reads).select("g", "m"), ["g", "m"], "left_semi").select(reads.columns))
         if live.isEmpty():
             return out if out is not None else live
         winners, left = cover_round(live, min_reads)
@@ -119,8 +120,9 @@ def cover_by_rounds(reads: DataFrame, min_reads: int) -> DataFrame:
 
 def greedy_cover(reads: DataFrame, min_reads: int = 5, task_reads: int = TASK_READS) -> DataFrame:
     """Reads of the winning clusters; ``reads`` has g, m, coord, mcoord and any other columns."""
+    reads = cut(reads)
     parts = gene_components(reads.select("g", "m").distinct()).withColumnRenamed("gene_id", "g")
-    placed = _cut(reads.join(parts, "g").select(*reads.columns, "component"))
+    placed = cut(reads.join(parts, "g").select(*reads.columns, "component"))
     sizes = placed.groupBy("component").count()
     small = placed.join(sizes.filter(F.col("count") <= task_reads).select("component"), "component", "left_semi")
     out = small.groupBy("component").applyInPandas(lambda rows: greedy(rows, min_reads), placed.schema)

@@ -169,7 +169,7 @@ def cover_neighbours(s, d):
 
 def cover_round1(s, d):
     """Clusters that win the first round, and what it leaves to the others."""
-    winners, left = cover.cover_round(close(s, d), 5)
+    winners, left = cover.cover_round(cover.cut(close(s, d)), 5)
     return winners.select("g", "m", "n", F.lit(True).alias("winner")).unionByName(clusters.cluster_counts(left).withColumn("winner", F.lit(False)))
 
 

@@ -37,6 +37,8 @@ TEMPLATES = (
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 )
+#: Function words and numbers are left out of the index: IDF over a few templates cannot tell that prose is full of them.
+COMMON = "0 2 3 4 a an and any are as at be by can for form free if in into is it may not of or out s that the this to under use v was with without work you".split()
 #: Every phrase above holds one of these.
 NEEDED = r"(?i)licen|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|permission is|redistribution|creative|unencumbered"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,9 +54,10 @@ def index() -> tuple[dict[str, tuple[float, list[tuple[int, int]]]], list[float]
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, ws in enumerate(words):
         for p, w in enumerate(ws):
-            postings.setdefault(w, []).append((t, p))
+            if w not in COMMON:
+                postings.setdefault(w, []).append((t, p))
     idf = {w: math.log(1 + len(words) / len({t for t, _ in ps})) for w, ps in postings.items()}
-    most = [sum(sorted((idf[w] for w in ws), reverse=True)[:RARE]) for ws in words]
+    most = [sum(sorted((idf[w] for w in ws if w in idf), reverse=True)[:RARE]) for ws in words]
     return {w: (idf[w], ps) for w, ps in postings.items()}, most
 
 
@@ -72,11 +75,15 @@ def starts(words: Column, phrase: str) -> Column:
 def template_scores(words: Column) -> Column:
     """array<struct<score, at>> by template: the best offset's share of the rare words, and the offset."""
     table, most = index()
+    by_idf = sorted(table, key=lambda w: (-table[w][0], w))
+    order = F.lit(by_idf)
     entry = lambda idf, ps: F.struct(F.lit(idf).alias("idf"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]).alias("ps"))
     lookup = F.create_map(*[x for w, (idf, ps) in table.items() for x in (F.lit(w), entry(idf, ps))])
-    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.try_element_at(lookup, w).alias("e"))), lambda k: k["e"].isNotNull())
-    rare = F.transform(F.slice(F.array_sort(F.array_distinct(F.transform(known, lambda k: F.struct((-k["e"]["idf"]).alias("idf"), k["w"].alias("w"))))), 1, 2 * RARE), lambda r: r["w"])
-    kept = F.filter(known, lambda k: F.array_contains(rare, k["w"]))
+    # a hash set tells licence words from others; the map, which is searched in order, is asked for rare ones only
+    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda k: k["w"].isin(*by_idf))
+    ranks = F.array_sort(F.transform(F.array_distinct(F.transform(known, lambda k: k["w"])), lambda w: F.array_position(order, w)))
+    rare = F.transform(F.slice(ranks, 1, RARE), lambda r: F.get(order, (r - 1).cast("int")))
+    kept = F.transform(F.filter(known, lambda k: F.array_contains(rare, k["w"])), lambda k: F.struct(k["w"], k["i"], F.try_element_at(lookup, k["w"]).alias("e")))
     hits = F.array_sort(F.flatten(F.transform(kept, lambda k: F.transform(k["e"]["ps"], lambda p: F.struct(p["t"].alias("t"), (k["i"] - p["p"]).alias("at"), k["e"]["idf"].alias("idf"))))))
     nothing = F.array_repeat(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("at")), len(TEMPLATES))
     begin = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("run"), nothing.alias("best"))

@@ -151,12 +151,13 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     parts = scanner()
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [redact(t.as_py(), parts) for t in batch.column("text")]
+        before = batch.column("text").to_pylist()
+        texts = [redact(t, parts) for t in before]
         batch = with_column(batch, "text", pa.array(texts, pa.string()))
         if "n_chars" in batch.schema.names:
-            old = batch.column("n_chars")
-            same = [o.as_py() if t == u.as_py() else len(t) for o, t, u in zip(old, texts, batch.column("text"), strict=True)]
-            batch = with_column(batch, "n_chars", pa.array(same, old.type))
+            counts = batch.column("n_chars")
+            now = [n if t == u else len(u) for n, t, u in zip(counts.to_pylist(), before, texts, strict=True)]
+            batch = with_column(batch, "n_chars", pa.array(now, counts.type))
         return batch
 
     return map_rows(docs, change)

@@ -27,7 +27,7 @@ from junctura.llm.wavelet import WaveletMatrix
 
 END = 0
 NO_ID = -(1 << 63)
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
 #: Least number of slices, and most that are broadcast (16 bytes each).
 SLICES, SMALL = 1 << 15, 1 << 20
 SHARD_SCHEMA = "shard long, first_id long, n_docs long, n_tokens long, data binary"

@@ -1,10 +1,10 @@
 """Licence scans over a positional rare-token index, in DataFrame functions only.
 
 The index lists, for every word of the licence templates, its IDF over the templates and its postings (template,
-position). A file's licence words are looked up, its RARE ones with the highest IDF are kept, and their places
-minus the postings' positions give offsets: words of one template at one offset stand as they do in the
-template. The offset with the most IDF is a template's place in the file; its share of the template's rare words is
-its score. A label counts if the score reaches LEAST and the template's mandatory phrase stands at that place.
+position). All of a file's licence words are looked up (the index is small, so their postings are bounded), and their
+places minus the postings' positions give offsets: words of one template at one offset stand as they do in the
+template. An offset's share of the IDF of the template's RARE rarest words is its score. A label counts if at some
+offset the score reaches LEAST and the template's mandatory phrase stands; the best such offset gives its score.
 
 Everything happens within a row: no shuffle, no keys, so null or repeated ids do no harm. Only texts with a
 word that every phrase here needs are cut into words (a necessary condition). Null and empty texts have none.
@@ -40,7 +40,7 @@ TEMPLATES = (
 #: Function words and numbers are left out of the index: IDF over a few templates cannot tell that prose is full of them.
 COMMON = "0 2 3 4 a an and any are as at be by can for form free if in into is it may not of or out s that the this to under use v was with without work you".split()
 #: Every phrase above holds one of these.
-NEEDED = r"(?i)licen|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|permission is|redistribution|creative|unencumbered"
+NEEDED = r"(?i)licen|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|permission[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+is|redistribution|creative|unencumbered"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,42 +73,36 @@ def starts(words: Column, phrase: str) -> Column:
 
 
 def template_scores(words: Column) -> Column:
-    """array<struct<score, at>> by template: the best offset's share of the rare words, and the offset."""
+    """array<double> by template: the best share of the rare words at an offset that reaches LEAST and has the mandatory phrase, else 0."""
     table, most = index()
-    by_idf = sorted(table, key=lambda w: (-table[w][0], w))
-    order = F.lit(by_idf)
     entry = lambda idf, ps: F.struct(F.lit(idf).alias("idf"), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]).alias("ps"))
     lookup = F.create_map(*[x for w, (idf, ps) in table.items() for x in (F.lit(w), entry(idf, ps))])
-    # a hash set tells licence words from others; the map, which is searched in order, is asked for rare ones only
-    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda k: k["w"].isin(*by_idf))
-    ranks = F.array_sort(F.transform(F.array_distinct(F.transform(known, lambda k: k["w"])), lambda w: F.array_position(order, w)))
-    rare = F.transform(F.slice(ranks, 1, RARE), lambda r: F.get(order, (r - 1).cast("int")))
-    kept = F.transform(F.filter(known, lambda k: F.array_contains(rare, k["w"])), lambda k: F.struct(k["w"], k["i"], F.try_element_at(lookup, k["w"]).alias("e")))
+    # a hash set tells licence words from others; the map, which is searched in order, is asked for these only
+    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda k: k["w"].isin(*table))
+    kept = F.transform(known, lambda k: F.struct(k["i"], F.try_element_at(lookup, k["w"]).alias("e")))
     hits = F.array_sort(F.flatten(F.transform(kept, lambda k: F.transform(k["e"]["ps"], lambda p: F.struct(p["t"].alias("t"), (k["i"] - p["p"]).alias("at"), k["e"]["idf"].alias("idf"))))))
-    nothing = F.array_repeat(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("at")), len(TEMPLATES))
-    begin = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("run"), nothing.alias("best"))
+    keys = [phrase.split() for _, phrase, _ in TEMPLATES]
+    places = [next(i for i in range(len(want)) if want[i : i + len(key)] == key) for key, want in zip(keys, (text.split() for _, _, text in TEMPLATES), strict=True)]
+    place, phrase = F.array(*map(F.lit, places)), F.array(*[F.array(*map(F.lit, key)) for key in keys])
+    enough = F.array(*[F.lit(LEAST * m) for m in most])
+    begin = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("run"), F.array_repeat(F.lit(0.0), len(TEMPLATES)).alias("best"))
 
     def step(acc: Column, h: Column) -> Column:
         run = F.when((acc["t"] == h["t"]) & (acc["at"] == h["at"]), acc["run"]).otherwise(0.0) + h["idf"]
-        best = F.transform(acc["best"], lambda b, i: F.when((i == h["t"]) & (run > b["score"]), F.struct(run.alias("score"), h["at"].alias("at"))).otherwise(b))
+        first = h["at"] + F.get(place, h["t"]) + 1
+        stands = F.slice(words, F.greatest(first, F.lit(1)), F.size(F.get(phrase, h["t"]))) == F.get(phrase, h["t"])
+        better = F.when((run >= F.get(enough, h["t"])) & (run > F.get(acc["best"], h["t"])) & (first >= 1), stands).otherwise(False)
+        best = F.when(better, F.transform(acc["best"], lambda b, i: F.when(i == h["t"], run).otherwise(b))).otherwise(acc["best"])
         return F.struct(h["t"].alias("t"), h["at"].alias("at"), run.alias("run"), best.alias("best"))
 
-    best = F.aggregate(hits, begin, step, lambda acc: acc["best"])
     shares = F.array(*map(F.lit, most))
-    return F.transform(best, lambda b, i: F.struct(F.least(F.lit(1.0), b["score"] / F.get(shares, i)).alias("score"), b["at"].alias("at")))
+    return F.transform(F.aggregate(hits, begin, step, lambda acc: acc["best"]), lambda b, i: F.least(F.lit(1.0), b / F.get(shares, i)))
 
 
-def found_templates(words: Column, scores: Column) -> Column:
-    """array<struct<label, score>> of the templates whose score and mandatory phrase hold."""
-    parts = []
-    for t, (label, phrase, text) in enumerate(TEMPLATES):
-        want, key = text.split(), phrase.split()
-        place = next(i for i in range(len(want)) if want[i : i + len(key)] == key)
-        s = F.get(scores, F.lit(t))
-        first = s["at"] + place + 1
-        holds = (s["score"] >= LEAST) & (first >= 1) & (F.slice(words, F.greatest(first, F.lit(1)), len(key)) == F.array(*map(F.lit, key)))
-        parts.append(F.when(holds, F.struct(F.lit(label).alias("label"), s["score"].alias("score"))))
-    return F.array_compact(F.array(*parts))
+def found_templates(scores: Column) -> Column:
+    """array<struct<label, score>> of the templates that were found."""
+    each = [F.when(F.get(scores, F.lit(t)) > 0, F.struct(F.lit(label).alias("label"), F.get(scores, F.lit(t)).alias("score"))) for t, (label, _, _) in enumerate(TEMPLATES)]
+    return F.array_compact(F.array(*each))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +110,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), GAP, "")).cast("long").alias("n_words"), F.when(text.rlike(NEEDED), words_of(text)).alias("words"))
     places = rows.withColumns({f"p{k}": starts(F.col("words"), phrase) for k, (phrase, _) in enumerate(BASE)}).withColumn("scores", F.when(F.col("words").isNotNull(), template_scores(F.col("words"))))
-    found = places.withColumn("found", F.when(F.col("scores").isNotNull(), found_templates(F.col("words"), F.col("scores"))))
+    found = places.withColumn("found", F.when(F.col("scores").isNotNull(), found_templates(F.col("scores"))))
     at = F.flatten(F.array(*[F.col(f"p{k}") for k in range(len(BASE))]))
     base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     more = F.coalesce(F.transform("found", lambda f: f["label"]), F.array().cast("array<string>"))

@@ -126,6 +126,26 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_several_licenses_in_a_long_text(spark):
+    prose = "binary charge code conditions copy except file following provided subject general published domain released software person terms version "
+    notices = {}
+    for label, _, text in licenses.TEMPLATES:
+        notices.setdefault(label, text)
+    notices["mit"] = licenses.TEMPLATES[1][2]
+    rows = [(i, prose * 20 + text + " " + prose * 20, label) for i, (label, _, text) in enumerate(licenses.TEMPLATES)]
+    every = ". And: ".join(notices.values())
+    both = [(100 + i, f"{prose} {notices['mit']}\n{prose * 5}\n{notices[x]} {prose}", x) for i, x in enumerate(("bsd", "mpl", "lgpl", "unlicense"))]
+    # the better place has no mandatory phrase, the other one has it
+    near = "this is free and encumbered software released into the public domain, this is free and unencumbered software released into the common realm"
+    extra = [(200, every, None), (201, "Permission\n * is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"), (202, near, None)]
+    by = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows + both + extra)).collect()}
+    for i, _, label in rows:
+        assert label in by[i].labels.split(",") and by[i].score > 0.999, label
+    assert all({"mit", x} <= set(by[i].labels.split(",")) for i, _, x in both)
+    assert set(by[200].labels.split(",")) == set(notices) and by[201].labels == "mit"
+    assert by[202].labels == "unlicense" and 0.6 <= by[202].score < 1
+
+
 def test_chats(spark):
     import random
 

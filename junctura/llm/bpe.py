@@ -1,8 +1,8 @@
 """Byte-level encoding with a public tokenizer.
 
 Texts in Latin letters go through the ranks file of the same vocabulary, which gives the same ids in less time
-(tests hold both against each other); all others through the tokenizer file. Strings of special tokens in a text
-are ordinary text.
+(tests hold both against each other); all others through the tokenizer file. Texts with a special token's content
+go through the tokenizer file as it is (``library_ids``); ``ids`` takes such content as ordinary text.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         with open(ranks_path, "rb") as lines:
@@ -35,9 +36,19 @@ class Coder:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.latin.encode_ordinary(text)
 
+    def library_ids(self, text: str) -> list[int]:
+        """Ids of the tokenizer file's default setting: contents of added tokens become those tokens."""
+        if not any(a in text for a in self.added):
+            return self.ids(text)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def packed(self, text: str) -> bytes:
-        """Ids as little-endian 16-bit integers."""
-        return np.array(self.ids(text), "<u2").tobytes()
+        """``library_ids`` as little-endian 16-bit integers."""
+        return np.array(self.library_ids(text), "<u2").tobytes()
 
 
 @functools.lru_cache(maxsize=2)

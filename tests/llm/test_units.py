@@ -52,6 +52,15 @@ def test_byte_ids_equal_the_library():
         assert ours.ids(t) == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_packed_ids_equal_the_unchanged_library():
+    ours, lib = coder(*tokenizer()), Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    for t in ["a <|endoftext|> b", "<|endoftext|>", "日本<|endoftext|>x <|endoftext|", *texts(4000, 16, 8)]:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ours.packed(t), "<u2").tolist() == ids, t
+        assert ours.library_ids(t) == ids, t
+    assert ours.library_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 50257, 3000).astype(np.uint16)

@@ -1,8 +1,9 @@
 """Token ids of a corpus in shards, each one wavelet matrix file.
 
-Shards are ranges of document ids of about SHARD_BYTES of text, so that concatenating them in order gives all
-ids in ascending document order. Ranges come from an aggregate over ids and text lengths; texts are dealt to
-shards by one shuffle, and each shard's rows arrive sorted. A shard file is one row of a Parquet table
+Shards are ranges of documents of SHARD_BYTES of text at most (or one longer document), so that concatenating them
+in order gives all ids in ascending document order. Rows are dealt to ranges of (id, first PREFIX characters) whose
+borders Spark samples from the data, and sorted there, on disk if need be; each range is then cut into shards by
+size, so that neither crowded ids nor repeated or null ones make a shard larger. A shard file is one row of a Parquet table
 (shard, first_id, n_docs, n_tokens, data) in a shared folder: writers commit through Spark, so that lost executors
 leave no half files. Reading needs only that table; the only things that gather are one row a shard.
 
@@ -28,8 +29,10 @@ from junctura.llm.wavelet import WaveletMatrix
 END = 0
 NO_ID = -(1 << 63)
 SHARD_BYTES = 16 << 20
-#: Least number of slices, and most that are broadcast (16 bytes each).
-SLICES, SMALL = 1 << 15, 1 << 20
+#: Shards in a range, and characters of a text that part ranges of one id.
+RANGE_SHARDS, PREFIX = 2, 64
+#: What a document takes beside its text.
+ROW_BYTES = 64
 SHARD_SCHEMA = "shard long, first_id long, n_docs long, n_tokens long, data binary"
 
 
@@ -38,34 +41,24 @@ def tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def deal(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` (id, text) with their shard, and the number of shards.
-
-    The range of ids is cut into equal slices; sizes of slices, added up in order, give each slice its shard.
-    """
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 64
-    lo, hi, total = rows.agg(F.min("id"), F.max("id"), F.sum(size)).first()
-    if lo is None or total <= SHARD_BYTES:
-        return rows.withColumn("shard", F.lit(0)), 1
-    n = max(SLICES, 8 * total // SHARD_BYTES)
-    width = (hi - lo) // n + 1
-    slice_ = F.expr(f"coalesce((id - {lo}L) div {width}L, -1L)")
-    sums = rows.groupBy(slice_.alias("slice")).agg(F.sum(size).alias("size"))
-    before = F.sum("size").over(Window.orderBy("slice")) - F.col("size")
-    shards = cut(sums.select("slice", F.floor(before / SHARD_BYTES).cast("int").alias("shard")), "slices")
-    most = shards.agg(F.max("shard")).first()[0]
-    return rows.withColumn("slice", slice_).join(F.broadcast(shards) if n <= SMALL else shards, "slice").select("shard", "id", "text"), most + 1
+def deal(rows: DataFrame) -> DataFrame:
+    """(part, id, text) of ``rows`` (id, text): parts are ranges in the order of (id, text), each one sorted."""
+    total = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + ROW_BYTES)).first()[0] or 0
+    n = 1 + total // (RANGE_SHARDS * SHARD_BYTES)
+    # the order of prefixes is the order of texts as far as it goes: rows of one prefix stay in one range
+    ranges = rows.repartitionByRange(n, F.col("id"), F.substring("text", 1, PREFIX)).sortWithinPartitions("id", "text")
+    return ranges.select(F.spark_partition_id().cast("long").alias("part"), "id", "text")
 
 
 def write_shards(docs: DataFrame, files: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The shard table of ``docs``, written and read back."""
-    placed, n = deal(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    dealt = placed.select("shard", "id", "text").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "id", "text")
+    dealt = deal(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    most = SHARD_BYTES
 
     def build(batches):
         encode = coder(*files).packed
         end = np.array([END], "<u2").tobytes()
-        shard, ids, ends, parts = None, [], [], []
+        shard, size, ids, ends, parts = None, 0, [], [], []
 
         def done():
             tokens = np.frombuffer(b"".join(parts), "<u2")
@@ -74,12 +67,16 @@ def write_shards(docs: DataFrame, files: tuple[str, str, str], id_col: str = "do
             return pa.RecordBatch.from_pydict({"shard": [shard], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [len(tokens)], "data": [data]}, schema=pa.schema([("shard", pa.int64()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
         for b in batches:
-            for at, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if shard is not None and at != shard:
+            for part, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                text = text.as_py() or ""
+                own = len(text.encode()) + ROW_BYTES
+                if shard is None:
+                    shard = part << 32
+                elif part != shard >> 32 or size + own > most:
                     yield done()
-                    ids, ends, parts = [], [], []
-                shard = at
-                coded = encode(text.as_py() or "")
+                    shard, size, ids, ends, parts = shard + 1 if part == shard >> 32 else part << 32, 0, [], [], []
+                size += own
+                coded = encode(text)
                 ids.append(key)
                 ends.append(len(coded) // 2 + 1)
                 parts += [coded, end]

@@ -191,6 +191,26 @@ def test_token_store(spark, docs, none, monkeypatch, shard_bytes):
     assert token_store.read_shards(token_store.write_shards(none, token_store.tokenizer())).count() == 0
 
 
+def test_token_shards_are_bounded(spark, monkeypatch):
+    """Null, repeated, crowded and far ids, and one text over and over: no shard is larger than it should be, and the order holds."""
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 1 << 12)
+    head = "the same beginning of a text that is longer than the prefix of a range "
+    rows = [(None, f"word {i * 7919 % 1000} of a text without an id") for i in range(300)] + [(None, "equal text")] * 200 + [(None, None)] * 100
+    rows += [(7, f"{head}{i * 31 % 200}") for i in range(200)] + [(i, f"text {i}") for i in range(20, 300)]
+    rows += [(10**15, "far"), (-(1 << 63) + 1, "lowest"), ((1 << 63) - 1, "highest"), (8, "a long text " * 1000)]
+    code = token_counts.coder(*token_store.tokenizer())
+    shards = token_store.write_shards(table(spark, [(i, t, None) for i, t in rows]), token_store.tokenizer())
+    sizes = shards.select("n_docs", "n_tokens").collect()
+    assert sum(r.n_docs for r in sizes) == len(rows) and max(r.n_docs for r in sizes) <= (1 << 12) // 64
+    assert sorted(r.n_tokens for r in sizes)[-2] <= 1 << 12
+    want, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = [*code.library_ids(t or ""), 0]
+        want.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        at += len(ids)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_shards(shards).orderBy("start").collect()] == want
+
+
 def test_pipeline_against_its_parts(spark):
     """run() against brute force where there is one: exact near-duplicates by SQL, whole items by plain search, regexes, the library."""
     con = duckdb.connect()

@@ -4,7 +4,9 @@ Items and documents are sequences of words (ASCII letters, digits and non-ASCII;
 spaces separate). A document holds an item when some run of its words is within ``max_edits`` (a share of
 the item's words, 0.2 by default) of the whole item in word edit distance.
 
-Candidates come from a CGK random walk: the walk reads a word, writes it, and steps on or stays by a random
+Items of fewer than LONG words are found without loss: with k edits allowed, one of an item's k + 1 parts stands
+unchanged in every occurrence, and all places of all parts are looked up. Long items' candidates come from a CGK
+random walk: the walk reads a word, writes it, and steps on or stays by a random
 bit of that word and step, so that a bounded edit distance becomes a bounded Hamming distance between walks.
 Walks start at every word of an item and at every fourth word of a document; LSH keys take some of the
 written positions; repetitions use new walks and positions. Each candidate is then verified by the exact
@@ -29,18 +31,16 @@ from junctura.llm.common import blocks, documents, map_batches, map_rows
 from junctura.llm.words import U64, mix, splitmix, word_hashes
 
 MAX_EDITS = 0.2
-#: Items of LONG words or more: walks of STEPS steps (about STEPS / 2 words) start at each word of an item
+#: Items of LONG words or more (shorter ones are cut into parts): walks of STEPS steps (about STEPS / 2 words) start at each word of an item
 #: and at every STRIDE-th word of a text, so an occurrence of n words has about (n - STEPS / 2) / STRIDE tries of REPS keys.
-LONG, STEPS, STRIDE, SAMPLE, REPS = 12, 16, 4, 4, 10
-#: Shorter items: walks from their first words only, and from every word of a text.
-SHORT_SAMPLE = 3
+LONG, STEPS, STRIDE, SAMPLE, REPS = 20, 16, 4, 4, 10
 BLOCK_BYTES, ITEM_BYTES = 1 << 21, 8 << 20
 PAD = 512
 
 
 @dataclass
 class Level:
-    """One walk length with its stride and, for each repetition, sampled steps, sorted keys and what they stand for."""
+    """Walks with their stride and, for each repetition, sampled steps, sorted keys and what they stand for."""
 
     steps: int
     stride: int
@@ -51,11 +51,57 @@ class Level:
     samples: list[set[int]]
 
 
+@dataclass
+class Parts:
+    """Parts of one length: sorted keys, and the item and the place in it that each stands for."""
+
+    size: int
+    keys: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray
+    bits: np.ndarray
+
+
 @dataclass
 class Index:
     ids: list
     words: list[list[int]]
     levels: list[Level]
+    parts: list[Parts]
+    max_edits: float
+
+
+def run_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all runs of ``size`` words."""
+    n = max(0, len(words) - size + 1)
+    keys = np.full(n, size, U64)
+    for k, scale in enumerate(splitmix(size, 7000) | U64(1)):
+        keys += words[k : k + n] * scale
+    return mix(keys)
+
+
+def present(keys: np.ndarray) -> np.ndarray:
+    """By the high bits of a key, whether any of ``keys`` has them."""
+    bits = np.zeros(1 << 20, bool)
+    bits[(keys >> U64(44)).astype(np.int64)] = True
+    return bits
+
+
+def short_parts(runs: list[np.ndarray], chosen: list[int], max_edits: float) -> list[Parts]:
+    """Each chosen item in one part more than it may have edits."""
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    for i in chosen:
+        w = runs[i]
+        n = min(len(w), int(max_edits * len(w)) + 1)
+        edges = [len(w) * k // n for k in range(n + 1)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows.setdefault(b - a, []).append((int(run_keys(w[a:b], b - a)[0]), i, a))
+    out = []
+    for size, found in sorted(rows.items()):
+        found.sort()
+        keys = np.array([k for k, _, _ in found], U64)
+        out.append(Parts(size, keys, np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]), present(keys)))
+    return out
 
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, steps: int, rep: int, samples: set[int]) -> np.ndarray:
@@ -79,39 +125,32 @@ def _samples(steps: int, size: int, rep: int) -> set[int]:
     return {j * room + int(r % U64(max(1, room - 1))) for j, r in enumerate(splitmix(size, 5000 + 97 * rep))}
 
 
-def build_index(items: list[tuple[object, str]]) -> Index:
+def build_index(items: list[tuple[object, str]], max_edits: float = MAX_EDITS) -> Index:
     hashed, first = word_hashes([(t or "").encode() for _, t in items], letters_only=True)
     runs = [hashed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     long_ = [i for i, w in enumerate(runs) if len(w) >= LONG]
     short = [i for i, w in enumerate(runs) if 0 < len(w) < LONG]
-    plans = []
-    if long_:
-        plans.append((long_, STEPS, STRIDE, SAMPLE))
-    if short:
-        plans.append((short, max(1, min(len(runs[i]) for i in short)), 1, SHORT_SAMPLE))
     levels = []
-    for chosen, steps, stride, size in plans:
-        level = Level(steps, stride, [], [], [], [], [])
-        padded = [np.concatenate([runs[i], splitmix(steps + 1, 9000 + i)]) for i in chosen]
+    if long_:
+        level = Level(STEPS, STRIDE, [], [], [], [], [])
+        padded = [np.concatenate([runs[i], splitmix(STEPS + 1, 9000 + i)]) for i in long_]
         base = np.cumsum([0, *(len(p) for p in padded)])[:-1]
         text = np.concatenate(padded)
-        tries = [max(1, len(runs[i]) - steps // 2 + 1) if stride > 1 else 1 for i in chosen]
+        tries = [max(1, len(runs[i]) - STEPS // 2 + 1) for i in long_]
         starts = np.concatenate([b + np.arange(n) for b, n in zip(base, tries, strict=True)])
-        item = np.repeat(chosen, tries)
+        item = np.repeat(long_, tries)
         offset = np.concatenate([np.arange(n) for n in tries])
         for rep in range(REPS):
-            samples = _samples(steps, size, rep)
-            keys = walk_keys(text, starts, steps, rep, samples)
+            samples = _samples(STEPS, SAMPLE, rep)
+            keys = walk_keys(text, starts, STEPS, rep, samples)
             order = np.argsort(keys, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys >> U64(44)).astype(np.int64)] = True
             level.keys.append(keys[order])
             level.item.append(item[order])
             level.offset.append(offset[order])
-            level.bits.append(bits)
+            level.bits.append(present(keys))
             level.samples.append(samples)
         levels.append(level)
-    return Index([i for i, _ in items], [w.tolist() for w in runs], levels)
+    return Index([i for i, _ in items], [w.tolist() for w in runs], levels, short_parts(runs, short, max_edits), max_edits)
 
 
 def edit_distance_within(item: list[int], text: list[int]) -> int:
@@ -139,6 +178,8 @@ def edit_distance_within(item: list[int], text: list[int]) -> int:
 
 def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -> list[list[tuple[int, int, int]]]:
     """For each text the (number of the item, distance, first word of the place) of the items it holds, the best place of each."""
+    if max_edits > index.max_edits:
+        raise ValueError("the index is built for fewer edits")
     words, first = word_hashes(texts, letters_only=True)
     count = np.diff(first)
     doc_of = np.repeat(np.arange(len(texts)), count)
@@ -160,6 +201,13 @@ def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -
                     d = int(doc_of[p])
                     for e in range(a, b):
                         seen.add((d, int(level.item[rep][e]), p - int(level.offset[rep][e])))
+    for parts in index.parts:
+        keys = run_keys(words, parts.size)
+        near = np.flatnonzero(parts.bits[(keys >> U64(44)).astype(np.int64)])
+        lo, hi = np.searchsorted(parts.keys, keys[near], "left"), np.searchsorted(parts.keys, keys[near], "right")
+        for p, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            for e in range(a, b):
+                seen.add((int(doc_of[p]), int(parts.item[e]), p - int(parts.offset[e])))
     for d, i, begin in sorted(seen):
         item = index.words[i]
         k = int(max_edits * len(item))
@@ -170,19 +218,19 @@ def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -
     return [sorted((i, x, w) for i, (x, w) in f.items()) for f in found]
 
 
-def _indexes(items: DataFrame, id_col: str, text_col: str):
+def _indexes(items: DataFrame, id_col: str, text_col: str, max_edits: float):
     """Indexes of ``items`` in blocks of about ITEM_BYTES of text."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES
     for k in range(n):
         block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield build_index(sorted((r.id, r.text) for r in block.filter("id is not null").collect()))
+        yield build_index(sorted((r.id, r.text) for r in block.filter("id is not null").collect()), max_edits)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
     """(doc_id, item_id, distance, at_word, item_words): one row for each document and item that it holds; other columns are ignored."""
     out = None
-    for index in _indexes(items, item_id, item_text):
+    for index in _indexes(items, item_id, item_text, max_edits):
 
         def make(batch: pa.RecordBatch, index: Index = index) -> dict:
             rows: list[tuple] = []
@@ -199,7 +247,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns stay, nothing is shuffled."""
-    for index in _indexes(items, "item_id", "text"):
+    for index in _indexes(items, "item_id", "text", max_edits):
 
         def change(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]

@@ -159,6 +159,37 @@ def test_decontamination_recall_at_the_limit():
     assert decontam.find_items(decontam.build_index([(1, "a b C."), (2, ""), (3, None)]), [b"x A, b c!", b"", b"a c b"]) == [[(0, 0, 1)], [], []]
 
 
+def edited(w, edits, rng, vocab):
+    w = list(w)
+    for p in rng.sample(range(len(w)), edits):
+        w[p] = rng.choice([rng.choice(vocab), "", f"{w[p]} {rng.choice(vocab)}"])
+    return " ".join(w)
+
+
+def test_decontamination_recall_by_item_length():
+    """Items below LONG words without loss, wherever their edits are and whatever the other items are; longer ones nearly so."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(2000)] + ["the", "of", "in"] * 200
+    lengths = [1, 2, 4, 5, 6, 8, 9, 10, 11, 12, 14, 15, 16, 19, 20, 24, 30, 50]
+    items = [(n * 100 + i, [rng.choice(vocab) for _ in range(n)]) for n in lengths for i in range(40)]
+    index = decontam.build_index([(i, " ".join(w)) for i, w in items])
+    held = []
+    for i, w in items:
+        k = int(0.2 * len(w))
+        pad = [rng.choice(vocab) for _ in range(rng.randrange(30))]
+        held += [(i, " ".join([*pad, edited(w, k, rng, vocab), *pad]).encode()) for _ in range(5)]
+        if k:
+            held.append((i, " ".join([*pad, "other", *w[1:], *pad]).encode()))
+    hit, all_ = dict.fromkeys(lengths, 0), dict.fromkeys(lengths, 0)
+    for (i, _), f in zip(held, decontam.find_items(index, [x for _, x in held]), strict=True):
+        all_[i // 100] += 1
+        hit[i // 100] += i in {index.ids[k] for k, _, _ in f}
+    recall = {n: hit[n] / all_[n] for n in lengths}
+    print(recall)
+    assert all(recall[n] == 1 for n in lengths if n < decontam.LONG), recall
+    assert all(r >= 0.95 for r in recall.values()), recall
+
+
 def test_edit_distance():
     rng = random.Random(9)
 

@@ -3,13 +3,15 @@
 All rules are compiled into a single minimal automaton whose pass over a text tells which rules can occur in
 it at all (it asks for at most ENOUGH repeats of a rule's unit: counting on would multiply the states of rules
 that run at once, to a quarter of a million here). For those, each rule's own minimal automaton, without lengths, walks from the left and gives its leftmost longest matches that do not overlap; matches that fail
-the least length are dropped afterwards (they still take their place). Null and empty texts have no matches.
+the least length are dropped afterwards (they still take their place). A private key's span runs on from its BEGIN
+line to its END line, or through the base64 lines where there is none. Null and empty texts have no matches.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,6 +30,7 @@ class Rule:
     unit: str
     least: int
     whole: bool = False  # the lead belongs to the secret and counts for ``least``
+    block: bool = False  # the span runs on to the end of a key's block
 
 
 #: The contract's three kinds, then public token formats.
@@ -37,10 +40,16 @@ RULES = (
     Rule("hex", "", "[0-9a-f]", 24, True),
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 36),
     Rule("slack", r"xox[abprs]\-", r"[A-Za-z0-9\-]", 10),
-    Rule("private_key", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY\-\-\-\-\-", "", 0, True),
+    Rule("private_key", r"\-\-\-\-\-BEGIN ([A-Z]+ )*PRIVATE KEY\-\-\-\-\-", "", 0, True, True),
 )
 BASE = ("assign", "access", "hex")
 ENOUGH = 6
+#: What follows a BEGIN line; line breaks may be written as escapes, lines indented, quoted or commented.
+_BREAK = rb"""[\x20\t"',;]*+(?:\r?\n|(?:\\r)?\\n)[\x20\t>#*|"']*+"""
+_HEADERS = rb"(?:(?:" + _BREAK + rb")++[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+"
+_LINE = rb"""[A-Za-z0-9+/]++={0,2}+(?=[\x20\t"',;]*+(?:[\r\n\\]|\Z))"""
+CLOSED = re.compile(_HEADERS + rb"""[A-Za-z0-9+/=\s\\>#*|"',;]*+-----END (?:[A-Z]+ )*PRIVATE KEY-----""")
+UNCLOSED = re.compile(_HEADERS + rb"(?:" + _BREAK + rb")++" + _LINE + rb"(?:" + _BREAK + _LINE + rb")*+")
 
 
 def _least(rule: Rule) -> int:
@@ -80,6 +89,12 @@ def longest(data: bytes, at: int, flat: tuple) -> int:
     return end
 
 
+def key_end(data: bytes, at: int) -> int:
+    """End of the key block whose BEGIN line ends at ``at``."""
+    found = CLOSED.match(data, at) or UNCLOSED.match(data, at)
+    return found.end() if found else at
+
+
 def spans(text: str | None, parts: tuple, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int, int]]:
     """(start, number of the rule, start of the secret part, end) in code points, sorted; ends are exclusive."""
     data = (text or "").encode()
@@ -100,6 +115,7 @@ def spans(text: str | None, parts: tuple, rules: tuple[Rule, ...] = RULES) -> li
                 continue
             lead = at if leads[k] is None else longest(data.translate(leads[k][0])[at:end], 0, leads[k]) + at
             if end - (at if rule.whole else lead) >= rule.least:
+                end = key_end(data, end) if rule.block else end
                 out.append((at, k, at if rule.whole else lead, end))
             at = end
     if out and len(data) != len(text):

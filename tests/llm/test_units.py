@@ -109,6 +109,20 @@ def test_secrets_equal_regexes():
     assert secret_scan.redact(None, scan) is None and secret_scan.redact("", scan) == ""
 
 
+def test_private_keys_go_as_a_whole():
+    scan = secret_scan.scanner()
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = [*("MIIEpAIBAAKCAQEA+/" + c * 46 for c in "Abc"), "q0/Zg=="]
+    headed = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *body]
+    for inner in ("\n".join(body), "\r\n".join(body), "\n".join(headed), "\\n".join(body), "\n    ".join(body), "\n# ".join(body)):
+        sep = "\\n" if "\\n" in inner else "\n"
+        assert secret_scan.redact(f"é {begin}{sep}{inner}{sep}{end} after\nit", scan) == "é [SECRET] after\nit", inner
+        assert secret_scan.redact(f"é {begin}{sep}{inner}\n\nHello there, end.", scan) == "é [SECRET]\n\nHello there, end.", inner
+        assert secret_scan.redact(f"{begin}{sep}{inner}", scan) == "[SECRET]", inner
+    assert secret_scan.redact(f"{begin} {' '.join(body)} {end}{begin}\n{body[0]}\n{end}", scan) == "[SECRET][SECRET]"
+    assert secret_scan.redact(f"{begin}\nHello there, no key.", scan) == "[SECRET]\nHello there, no key."
+
+
 def test_automaton_is_minimal_and_right():
     rules = ["a(b|c){1,2}d?", "(?i:x)[^a-y]+", "ab?"]
     flat = automaton.compile_rules(rules, anywhere=False).flat()

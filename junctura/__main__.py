@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import time
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
-from junctura.operators.report import to_lines
+from junctura.operators.report import report_lines, to_lines
 from junctura.plans.detect import detect, supporting_lines
 from junctura.sources import refgene, sam
+from junctura.tables import clear, cut
 
 
 def main() -> None:
@@ -27,24 +29,55 @@ def main() -> None:
     p.add_argument("--single-end", action="store_true")
     p.add_argument("--compat", choices=["intended", "literal"], default="intended")
     p.add_argument("--one-file", action="store_true", help="write each output as one part")
+    p.add_argument("--work-dir", help="folder that the driver and all executors share, for tables between stages; the session's spark.checkpoint.dir if it has one")
     a = p.parse_args()
     cfg = FusionConfig(a.min_reads, a.alpha, a.slack, a.min_mapq, not a.single_end, a.compat)
     spark = SparkSession.builder.appName("junctura").getOrCreate()
-    began = time.perf_counter()
+    if a.work_dir:
+        spark.conf.set("spark.checkpoint.dir", a.work_dir)
+    clock = Stages()
     header, chrs, reads = sam.read_sam(spark, a.sam, cfg)
+    # one scan of the alignment text; what follows reads a few numbers and a key for each record
+    slim = cut(sam.mapped(reads, cfg.min_mapq).select("line_key", "line_len", "chr", "coord", "mchr", "mcoord", "mapq"), "reads")
+    clock.done("scan")
     tables = refgene.build_reference(refgene.read_refgene(spark, a.refgene), refgene.read_chromosome_map(spark, a.chr_names), chrs, a.compat == "literal")
-    genes, exons, families = tables
+    genes, exons, families = (cut(t, "reference") for t in tables)
+    clock.done("reference")
     size = header.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
-    result = detect(sam.mapped(reads, cfg.min_mapq), genes, families, exons, chrs, ["chr", "mchr", "raw"], size, cfg)
-    write_result(result, header, a.out, a.one_file)
-    totals = spark.read.text(f"{a.out}/cluster_list.cl").select(F.split("value", "\t")[4].cast("long").alias("n")).agg(F.count("*"), F.sum("n")).first()
-    print(f"{totals[0]} clusters, {totals[1] or 0} reads, {time.perf_counter() - began:.1f} s")
+    result = detect(slim, genes, families, exons, chrs, ["chr", "mchr", "line_key"], size, cfg)
+    result = replace(result, clusters=cut(result.clusters, "clusters"))
+    clock.done("detect")
+    for row in report_lines(result.clusters).orderBy("cluster_rank").toLocalIterator():
+        print(row.line)
+    write_result(result, header, a.out, a.one_file, reads)
+    clock.done("write")
+    totals = result.clusters.agg(F.count("*"), F.sum("nbreads")).first()
+    clear(spark)
+    print(f"{totals[0]} clusters, {totals[1] or 0} reads; {clock}")
 
 
-def write_result(result, header, out: str, one_file: bool = False) -> None:
-    """cluster_list.cl (report lines) and reads.sam (header, then lines by cluster): offsets of the report index the joined parts of reads.sam."""
+class Stages:
+    """Wall-clock seconds of each stage, as they end."""
+
+    def __init__(self) -> None:
+        self.at, self.took = time.perf_counter(), {}
+
+    def done(self, name: str) -> None:
+        now = time.perf_counter()
+        self.took[name], self.at = now - self.at, now
+        print(f"{name}: {self.took[name]:.1f} s", flush=True)
+
+    def __str__(self) -> str:
+        return ", ".join(f"{name} {s:.1f} s" for name, s in self.took.items())
+
+
+def write_result(result, header, out: str, one_file: bool = False, reads=None) -> None:
+    """cluster_list.cl (report lines) and reads.sam (header, then lines by cluster): offsets of the report index the joined parts of reads.sam.
+
+    ``reads``: (line_key, raw) to take the lines from, where the result does not carry them.
+    """
     lines = to_lines(result.clusters)
-    body = supporting_lines(result).select(F.lit(1).alias("part"), "cluster_rank", "coord", "mcoord", "value")
+    body = supporting_lines(result, lines=reads).select(F.lit(1).alias("part"), "cluster_rank", "coord", "mcoord", "value")
     head = header.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("cluster_rank"), F.col("line_no").cast("long").alias("coord"), F.lit(0).cast("long").alias("mcoord"), "value")
     sam_lines = head.unionByName(body).orderBy("part", "cluster_rank", "coord", "mcoord", "value").select("value")
     if one_file:

@@ -1,39 +1,54 @@
-"""First-match interval joins: reads to genes, positions to exons."""
+"""First-match interval joins: reads to genes, positions to exons.
+
+Genes with a null id, chromosome or end, and those that end before they start, match nothing; reads with a null chromosome or position
+have no gene. Repeated reads stay; repeated gene rows change nothing. Columns of reads are kept, whatever their
+names (but those that begin with ``_``, and the one that is added).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
-#: Interval bins up to this many rows are broadcast; more are joined by a shuffle on (chr, bin).
-BROADCAST_ROWS = 500_000
+#: Bins of 2 ** BIN bases: a few genes each where genes are dense, some hundred thousand bins for a genome.
+BIN = 11
 
 
 def gene_bins(genes: DataFrame, slack: int = 50) -> DataFrame:
-    """(chr, bin, hits): genes of each bin by (tx_start, id as text); a gene is in every bin that it and its slack touch."""
-    valid = genes.filter("tx_start <= tx_end")
-    span = F.sequence(F.floor((F.col("tx_start") - slack) / BIN), F.floor(F.col("tx_end") / BIN))
+    """(chr, bin, hits): distinct genes of each bin by (tx_start, id as text); a gene is in every bin that it and its slack touch."""
+    valid = genes.filter("tx_start <= tx_end and gene_id is not null and chr is not null").select("chr", "tx_start", "tx_end", "gene_id").distinct()
+    span = F.sequence(F.shiftright(F.col("tx_start") - slack, BIN), F.shiftright("tx_end", BIN))
     row = F.struct((F.col("tx_start") - slack).alias("lo"), F.col("gene_id").cast("string").alias("tie"), F.col("tx_end").alias("hi"), "gene_id")
-    return valid.select("chr", F.explode(span).alias("bin"), row.alias("g")).groupBy("chr", "bin").agg(F.sort_array(F.collect_list("g")).alias("hits"))
+    binned = valid.select("chr", F.explode(span).alias("bin"), row.alias("g")).groupBy("chr", "bin").agg(F.sort_array(F.collect_list("g")).alias("hits"))
+    return binned.select("chr", "bin", F.transform("hits", lambda g: F.struct(g["lo"], g["hi"], g["gene_id"])).alias("hits"))
 
 
-def match_genes(reads: DataFrame, genes: DataFrame, chr_col: str, coord_col: str, slack: int = 50, how: str = "inner") -> DataFrame:
-    """``reads`` with ``hits``: all genes at (chr_col, coord_col), first match first. A point lies in one bin, so no row is repeated."""
-    bins = gene_bins(genes, slack)
-    small = bins.count() <= BROADCAST_ROWS
+def _at(reads: DataFrame, bins: DataFrame, chr_col: str, coord_col: str, how: str) -> tuple[DataFrame, Column]:
+    """``reads`` with their bin's genes, and those of them that hold the position. A point lies in one bin, so no row is repeated."""
     bins = bins.withColumnsRenamed({"chr": "_chr", "bin": "_bin", "hits": "_hits"})
-    key = (F.col(chr_col) == F.col("_chr")) & (F.floor(F.col(coord_col) / BIN) == F.col("_bin"))
-    joined = reads.join(F.broadcast(bins) if small else bins, key, how)
+    joined = reads.join(bins, (F.col(chr_col) == F.col("_chr")) & (F.shiftright(coord_col, BIN) == F.col("_bin")), how)
     at = F.col(coord_col)
-    hits = F.filter("_hits", lambda g: (g["lo"] <= at) & (at <= g["hi"]))
+    return joined, F.filter("_hits", lambda g: (g["lo"] <= at) & (at <= g["hi"]))
+
+
+def match_genes(reads: DataFrame, genes: DataFrame, chr_col: str = "chr", coord_col: str = "coord", slack: int = 50, how: str = "inner") -> DataFrame:
+    """``reads`` with ``hits``: all genes at (chr_col, coord_col), first match first."""
+    joined, hits = _at(reads, gene_bins(genes, slack), chr_col, coord_col, how)
     return joined.withColumn("hits", F.transform(hits, lambda g: g["gene_id"])).drop("_chr", "_bin", "_hits")
 
 
+def first_in_bins(reads: DataFrame, bins: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene") -> DataFrame:
+    """``reads`` with the first gene at a position; reads without one are dropped. ``bins`` are ``gene_bins``, best as a written table.
+
+    Spark broadcasts the bins where their size in bytes is below its threshold and shuffles on (chr, bin) where not.
+    """
+    joined, hits = _at(reads, bins, chr_col, coord_col, "inner")
+    return joined.withColumn(out, F.get(hits, F.lit(0))["gene_id"]).drop("_chr", "_bin", "_hits").filter(F.col(out).isNotNull())
+
+
 def first_gene(reads: DataFrame, genes: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene", slack: int = 50) -> DataFrame:
-    """``reads`` with the first gene at a position; reads without one are dropped. One broadcast join, no shuffle."""
-    found = match_genes(reads, genes, chr_col, coord_col, slack)
-    return found.withColumn(out, F.get("hits", F.lit(0))).drop("hits").filter(F.col(out).isNotNull())
+    """``first_in_bins`` over the bins of ``genes``."""
+    return first_in_bins(reads, gene_bins(genes, slack), chr_col, coord_col, out)
 
 
 def exon_frame(exons: Column, at: Column, slack: int = 50, literal: bool = False) -> Column:

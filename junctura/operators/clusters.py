@@ -1,22 +1,19 @@
-"""Candidate clusters: canonical gene pairs, discordance, families, duplicates, support."""
+"""Candidate clusters: canonical gene pairs, discordance, families, duplicates, support.
+
+Reads with a null gene are in no pair and go; null positions are a position like others for duplicates. No rows give no
+rows. Other columns are kept, whatever their names (but those that begin with ``_``).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.columns import is_mate
 
-#: Families and exons up to this many genes are broadcast.
-BROADCAST_ROWS = 1_000_000
 PAIR = ["g", "m"]
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its rows are few, as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def canonical_pairs(reads: DataFrame) -> DataFrame:
     """Adds g (smaller gene), m (larger), swapped and is_mate."""
     return reads.withColumns({"g": F.least("gene", "mgene"), "m": F.greatest("gene", "mgene"), "swapped": F.col("gene") > F.col("mgene"), "is_mate": is_mate(F.col("coord"), F.col("mcoord"))})
@@ -27,8 +24,8 @@ def discordant(reads: DataFrame) -> DataFrame:
 
 
 def with_families(clusters: DataFrame, families: DataFrame) -> DataFrame:
-    """``clusters`` (with g, m) and the families of both genes; genes without one have null."""
-    one = lookup(families.groupBy("gene_id").agg(F.min("family_id").alias("family_id")))
+    """``clusters`` (with g, m) and the families of both genes; genes without one have null, repeated ones the smallest."""
+    one = families.groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
     a = one.select(F.col("gene_id").alias("g"), F.col("family_id").alias("g_family"))
     b = one.select(F.col("gene_id").alias("m"), F.col("family_id").alias("m_family"))
     return clusters.join(a, "g", "left").join(b, "m", "left")
@@ -40,9 +37,16 @@ def cross_family(clusters: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def dedup_reads(reads: DataFrame, order: list[str]) -> DataFrame:
-    """One read for each (g, m, coord, mcoord), the first by ``order``; reads without a mate position (0) all stay."""
-    w = Window.partitionBy(*PAIR, "coord", "mcoord").orderBy(*order)
-    return reads.withColumn("_n", F.row_number().over(w)).filter("_n = 1 or mcoord = 0").drop("_n")
+    """One read for each (g, m, coord, mcoord), the first by ``order``, then by its other columns; reads without a mate position (0) all stay.
+
+    An aggregation with partial results. Reads without a mate position are keyed by all their columns, so that they do not
+    meet in one group; rows that are equal in all columns are counted and repeated.
+    """
+    own = F.when(F.col("mcoord") == 0, F.struct(*reads.columns))
+    row = F.struct(*order, *[c for c in reads.columns if c not in order])
+    kept = reads.withColumn("_own", own).groupBy(*PAIR, "coord", "mcoord", "_own").agg(F.min(row).alias("_r"), F.count("*").cast("int").alias("_n"))
+    copies = F.when(F.col("_own").isNotNull(), F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array(F.lit(1)))
+    return kept.select("_r", F.explode(copies)).select(*[F.col("_r")[c].alias(c) for c in reads.columns])
 
 
 def cluster_counts(reads: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def cluster_counts(reads: DataFrame) -> DataFrame:
 
 
 def min_support(reads: DataFrame, min_reads: int = 5) -> DataFrame:
-    """Reads of clusters with more than ``min_reads``. Counts are aggregated first; only survivors' reads are joined."""
+    """Reads of clusters with more than ``min_reads``. Counts are aggregated first; only survivors' reads are joined. ``reads`` is read twice."""
     return reads.join(cluster_counts(reads).filter(F.col("n") > min_reads).select(*PAIR), PAIR, "left_semi")
 
 

@@ -4,90 +4,79 @@ Repeatedly the largest cluster (then smallest g, m) with more than ``min_reads``
 share one of its genes and have one of its positions, at either end, are removed. Winners keep their reads.
 
 Clusters that share no gene through others do not affect each other, so each connected component is
-solved by itself: components of up to TASK_READS reads by the sequential loop, one group each; larger ones by
-rounds in which every cluster that precedes all its neighbours wins at once, which gives the same result.
+solved by itself: components of up to TASK_READS reads by the sequential loop, one group each, over five numbers a read;
+larger ones by rounds in which every cluster that precedes all its neighbours wins at once, which gives the same result.
+
+Repeated reads count each; reads with a null gene are in no cluster and go; null positions match no position. No reads
+give no rows. Columns beside g, m, coord and mcoord are kept as they are, whatever their names (but ``_id``).
 """
 
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TASK_READS = 2_000_000
-_DIR: list[str] = []
-
+from junctura.tables import components, cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder and read back: what is read many times is computed once."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _DIR:
-            _DIR.append(tempfile.mkdtemp(prefix="spark-cover-"))
-        folder = _DIR[0]
-    path = f"{folder}/cover-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Reads of a component that one task takes: the loop holds about 250 bytes for each.
+TASK_READS = 1_000_000
+SLIM = "_id long, g long, m long, coord long, mcoord long"
 
 
 def gene_components(clusters: DataFrame) -> DataFrame:
-    """(gene_id, component) over clusters (g, m) as edges: labels spread over edges and jump to their label's label."""
-    edges = cut(clusters.select("g", "m").union(clusters.select("m", "g")).distinct())
-    labels = cut(edges.groupBy(F.col("g").alias("gene_id")).agg(F.least(F.col("gene_id"), F.min("m")).alias("component")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("gene_id", "m"), "m").groupBy(F.col("g").alias("gene_id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "gene_id").select("gene_id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = lower.select(F.col("gene_id").alias("at"), F.col("component").alias("next"))
-        moved = cut(lower.join(jump, lower.component == jump["at"], "left").select("gene_id", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
-        labels = moved.select("gene_id", "component")
-        if moved.filter("component <> was").isEmpty():
-            return labels
-
-
-def greedy(rows: pd.DataFrame, min_reads: int) -> pd.DataFrame:
-    """The reads of the winners among ``rows`` (g, m, coord, mcoord, ...), by the sequential loop."""
-    key = list(zip(rows["g"].tolist(), rows["m"].tolist(), strict=True))
-    ends = list(zip(rows["coord"].tolist(), rows["mcoord"].tolist(), strict=True))
-    reads: dict[tuple, list[int]] = {}
-    at: dict[tuple[int, int], list[int]] = {}
-    for i, (pair, places) in enumerate(zip(key, ends, strict=True)):
-        reads.setdefault(pair, []).append(i)
-        for gene in set(pair):
-            for place in set(places):
-                at.setdefault((gene, place), []).append(i)
-    count = {pair: len(own) for pair, own in reads.items()}
-    alive = [True] * len(key)
-    heap = [(-n, *pair) for pair, n in count.items()]
+    """(gene_id, component) over clusters (g, m) as edges."""
+    return components(clusters.select(F.col("g").alias("a"), F.col("m").alias("b"))).select(F.col("id").alias("gene_id"), F.col("root").alias("component"))
+
+
+def greedy(rows: pd.DataFrame, min_reads: int) -> np.ndarray:
+    """Row numbers of the winners' reads among ``rows`` (g, m, coord, mcoord), by the sequential loop."""
+    ends = rows[["coord", "mcoord"]].to_numpy(np.float64, na_value=np.nan)
+    pairs, cluster = np.unique(rows[["g", "m"]].to_numpy(np.int64), axis=0, return_inverse=True)
+    cluster = cluster.reshape(-1)
+    n = len(rows)
+    # codes of (gene, place): four for each read; a null place has none (-1)
+    genes = np.unique(pairs, return_inverse=True)[1].reshape(pairs.shape)[cluster]
+    places, place = np.unique(ends, return_inverse=True)
+    place = np.where(np.isnan(ends), -1, place.reshape(n, 2))
+    code = np.stack([np.where(place[:, e] < 0, -1, genes[:, k] * (len(places) + 1) + place[:, e]) for k in (0, 1) for e in (0, 1)], axis=1)
+    code = np.unique(code, return_inverse=True)[1].reshape(n, 4) if n else code
+    flat = code.reshape(-1)
+    null = np.unique(flat[np.tile(place, 2).reshape(-1) < 0])
+    order = np.argsort(flat, kind="stable")
+    first = np.searchsorted(flat[order], np.arange(int(flat.max(initial=-1)) + 2))
+    reader = order // 4
+    by_cluster = np.argsort(cluster, kind="stable")
+    begin = np.searchsorted(cluster[by_cluster], np.arange(len(pairs) + 1))
+    count = np.bincount(cluster, minlength=len(pairs))
+    alive = np.ones(n, bool)
+    heap = [(-int(c), *p, k) for k, (c, p) in enumerate(zip(count, pairs.tolist(), strict=True))]
     heapq.heapify(heap)
-    kept: list[int] = []
+    kept = []
     while heap:
-        n, *pair = heapq.heappop(heap)
-        pair = tuple(pair)
-        if count.get(pair, 0) != -n:
+        size, *_, k = heapq.heappop(heap)
+        if count[k] != -size:
             continue  # stale: a newer entry with fewer reads exists
-        if -n <= min_reads:
+        if -size <= min_reads:
             break
-        own = [i for i in reads[pair] if alive[i]]
-        kept += own
-        count[pair] = 0
-        for i in own:
-            alive[i] = False
-        lost: set[tuple] = set()
-        for place in {p for i in own for p in ends[i]}:
-            for gene in set(pair):
-                for j in at.get((gene, place), ()):
-                    if alive[j]:
-                        alive[j] = False
-                        count[key[j]] -= 1
-                        lost.add(key[j])
-        for p in lost:
-            heapq.heappush(heap, (-count[p], *p))
-    return rows.iloc[sorted(kept)]
+        own = by_cluster[begin[k] : begin[k + 1]]
+        own = own[alive[own]]
+        kept.append(own)
+        alive[own] = False
+        count[k] = 0
+        taken = np.setdiff1d(code[own], null)
+        hit = [reader[first[c] : first[c + 1]] for c in taken.tolist()]
+        hit = np.unique(np.concatenate(hit)) if hit else own[:0]
+        hit = hit[alive[hit]]
+        alive[hit] = False
+        lost, by = np.unique(cluster[hit], return_counts=True)
+        count[lost] -= by
+        for j in lost.tolist():
+            heapq.heappush(heap, (-int(count[j]), *pairs[j].tolist(), j))
+    return np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
 
 
 def cover_round(reads: DataFrame, min_reads: int) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +99,7 @@ def cover_round(reads: DataFrame, min_reads: int) -> tuple[DataFrame, DataFrame]
 def cover_by_rounds(reads: DataFrame, min_reads: int) -> DataFrame:
     out, left = None, reads
     while True:
-        live = cut(left.join(left.groupBy("g", "m").count().filter(F.col("count") > min_reads).select("g", "m"), ["g", "m"], "left_semi").select(reads.columns))
+        live = cut(left.join(left.groupBy("g", "m").count().filter(F.col("count") > min_reads).select("g", "m"), ["g", "m"], "left_semi").select(reads.columns), "cover")
         if live.isEmpty():
             return out if out is not None else live
         winners, left = cover_round(live, min_reads)
@@ -119,15 +108,19 @@ def cover_by_rounds(reads: DataFrame, min_reads: int) -> DataFrame:
 
 
 def greedy_cover(reads: DataFrame, min_reads: int = 5, task_reads: int = TASK_READS) -> DataFrame:
-    """Reads of the winning clusters; ``reads`` has g, m, coord, mcoord and any other columns."""
-    reads = cut(reads)
-    parts = gene_components(reads.select("g", "m").distinct()).withColumnRenamed("gene_id", "g")
-    placed = cut(reads.join(parts, "g").select(*reads.columns, "component"))
+    """Reads of the winning clusters; ``reads`` has g, m, coord, mcoord and any other columns, which stay out of the loop."""
+    table = cut(reads.withColumn("_id", F.monotonically_increasing_id()), "cover")
+    slim = table.select("_id", *[F.col(c).cast("long").alias(c) for c in ("g", "m", "coord", "mcoord")])
+    parts = gene_components(slim.select("g", "m").distinct()).withColumnRenamed("gene_id", "g")
+    placed = cut(slim.join(parts, "g").select(*slim.columns, "component"), "cover")
     sizes = placed.groupBy("component").count()
     small = placed.join(sizes.filter(F.col("count") <= task_reads).select("component"), "component", "left_semi")
-    out = small.groupBy("component").applyInPandas(lambda rows: greedy(rows, min_reads), placed.schema)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_id": rows["_id"].to_numpy()[greedy(rows, min_reads)]})
+
+    won = small.groupBy("component").applyInPandas(solve, "_id long")
     large = sizes.filter(F.col("count") > task_reads).select("component")
     if not large.isEmpty():
-        rest = cover_by_rounds(placed.join(large, "component", "left_semi").select(placed.columns), min_reads)
-        out = out.select(placed.columns).unionByName(rest)
-    return out.select(reads.columns)
+        won = won.union(cover_by_rounds(placed.join(large, "component", "left_semi").select(slim.columns), min_reads).select("_id"))
+    return table.join(won, "_id", "left_semi").select(reads.columns)

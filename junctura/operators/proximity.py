@@ -1,29 +1,34 @@
 """L1 neighbours: reads of one cluster and direction that lie close to another one.
 
-Positions are put into square cells whose two farthest points are within the radius. Two reads in one cell are
-neighbours at once; only reads alone in their cell look at the cells around. A cell has at most 24 such
-neighbours, so work grows with the number of reads however dense a cluster is, and no pair is made within a cell.
+The L1 distance of (x, y) is the larger difference of (x + y, x - y). In these turned coordinates positions are put into
+square cells of radius + 1: two reads in one cell are neighbours at once, and only reads alone in their cell look at the eight
+cells around. A cell holds no more distinct positions than its area, so work grows with the number of reads however dense
+a cluster is, and no pair is made within a cell. Cells are counted by an aggregation with partial sums.
+
+Repeated rows are each other's neighbours. Rows with a null key or position have none and go; no rows give no rows.
+Other columns are kept, whatever their names (but those that begin with ``_``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.functions.columns import l1
 
 
 def l1_neighbours(reads: DataFrame, keys: list[str], x: str, y: str, radius: int) -> DataFrame:
-    """Rows of ``reads`` with another row of the same ``keys`` at L1 distance of at most ``radius``."""
-    side = radius // 2 + 1
-    reach = -(-radius // side)
-    cells = reads.withColumns({"_cx": F.floor(F.col(x) / side), "_cy": F.floor(F.col(y) / side)})
-    counted = cells.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_cx", "_cy")))
-    dense = counted.filter("_n > 1").select(reads.columns)
-    alone = counted.filter("_n = 1")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i or j])
-    around = alone.withColumn("_s", F.explode(steps)).withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s", "_n")
-    others = cells.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
+    """Rows of ``reads`` with another row of the same ``keys`` at L1 distance of at most ``radius``. ``reads`` is read three times: a table, not a long plan."""
+    side = radius + 1
+    by = [*keys, "_cx", "_cy"]
+    placed = reads.withColumns({"_cx": F.floor((F.col(x) + F.col(y)) / side), "_cy": F.floor((F.col(x) - F.col(y)) / side)})
+    spots = placed.groupBy(*by, x, y).agg(F.count("*").alias("_c"))
+    cells = spots.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    dense = placed.join(cells.filter("_n > 1").drop("_n"), by, "left_semi").select(reads.columns)
+    alone = placed.join(cells.filter("_n = 1").drop("_n"), by, "left_semi")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    around = alone.withColumn("_s", F.explode(steps)).withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s")
+    others = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
     same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_cx") == F.col("_ox"), F.col("_cy") == F.col("_oy")]
     close = l1(F.col(x), F.col(y), F.col("_x"), F.col("_y")) <= radius
     for s in same:

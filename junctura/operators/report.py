@@ -1,14 +1,17 @@
-"""Orientation, exon frames, breakpoints and the cluster report."""
+"""Orientation, exon frames, breakpoints and the cluster report.
+
+Null positions take no part in breakpoints, null frames (-2) in no match. Equal reads count each. No reads give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
 from junctura.functions.columns import gene_label, in_frame, percent
 from junctura.operators.annotate import exon_frame
-from junctura.operators.clusters import lookup
+from junctura.operators.order import running
 
 CL_COLUMNS = ["chr_a", "chr_b", "gene_a", "gene_b", "nbreads", "offset_start", "offset_length", "fb_start", "fb_end", "exon_match_percent"]
 
@@ -28,7 +31,7 @@ def exon_arrays(exons: DataFrame) -> DataFrame:
 
 def with_frames(oriented: DataFrame, exons: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
     """Adds frame, mframe and both gene names; genes without exons give -2 and a null name."""
-    table = lookup(exon_arrays(exons))
+    table = exon_arrays(exons)
     a = table.select(F.col("gene_id").alias("gene"), F.col("gene_name"), F.col("exons").alias("_a"))
     b = table.select(F.col("gene_id").alias("mgene"), F.col("gene_name").alias("mgene_name"), F.col("exons").alias("_b"))
     literal = cfg.compat == "literal"
@@ -64,20 +67,24 @@ def summarize(framed: DataFrame, header_bytes: int, order: list[str], cfg: Fusio
         lower, upper = F.when(F.col("is_mate"), F.col("mcoord")).otherwise(F.col("coord")), F.when(F.col("is_mate"), F.col("coord")).otherwise(F.col("mcoord"))
     hits = F.count_if(in_frame(F.col("frame"), F.col("mframe")))
     rows = framed.groupBy("g", "m").agg(first, F.count("*").alias("nbreads"), F.sum("line_len").cast("long").alias("offset_length"), F.max(lower).alias("fb_start"), F.min(upper).alias("fb_end"), percent(hits, F.count("*")).alias("exon_match_percent"))
-    by = Window.orderBy("f.mgene", "f.gene", "g", "m")
-    before = F.sum("offset_length").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumns({"cluster_rank": F.row_number().over(by).cast("long"), "offset_start": (F.coalesce(before, F.lit(0)) + header_bytes).cast("long")})
+    placed = running(rows.withColumns({"_m": F.col("f.mgene"), "_g": F.col("f.gene")}), ["_m", "_g", "g", "m"], "cluster_rank", {"offset_length": "offset_start"})
+    return placed.withColumn("offset_start", F.col("offset_start") + header_bytes).drop("_m", "_g")
 
 
 def cluster_list(summary: DataFrame, chrs: DataFrame) -> DataFrame:
     """The ten report columns with chromosome names, and cluster_rank."""
-    names = lookup(chrs)
+    names = chrs
     a, b = names.select(F.col("chr").alias("_ca"), F.col("chr_name").alias("chr_a")), names.select(F.col("chr").alias("_cb"), F.col("chr_name").alias("chr_b"))
     joined = summary.join(a, F.col("f.chr") == F.col("_ca"), "left").join(b, F.col("f.mchr") == F.col("_cb"), "left")
     labels = {"gene_a": gene_label(F.coalesce("f.gene_name", F.lit("")), F.col("f.gene")), "gene_b": gene_label(F.coalesce("f.mgene_name", F.lit("")), F.col("f.mgene"))}
     return joined.withColumns(labels).select("cluster_rank", *CL_COLUMNS)
 
 
+def report_lines(listed: DataFrame) -> DataFrame:
+    """(cluster_rank, line): one readable line a cluster, ``gene - mgene : n reads // chr - chr``."""
+    return listed.select("cluster_rank", F.format_string("%s - %s : %d reads // %s - %s", "gene_a", "gene_b", "nbreads", "chr_a", "chr_b").alias("line"))
+
+
 def to_lines(listed: DataFrame) -> DataFrame:
     """Tab-separated report lines in cluster order."""
     return listed.orderBy("cluster_rank").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in CL_COLUMNS]).alias("value"))

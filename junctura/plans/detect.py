@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from junctura.config import FusionConfig
 from junctura.operators import annotate, clusters, proximity, report
 from junctura.operators.cover import greedy_cover
+from junctura.tables import cut
 
 
 @dataclass(frozen=True)
@@ -22,28 +23,40 @@ class FusionResult:
 
 
 def candidates(reads: DataFrame, genes: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
-    """Discordant reads: both ends in a gene, and not the same."""
-    first = annotate.first_gene(reads, genes, "chr", "coord", "gene", cfg.slack)
-    return clusters.discordant(annotate.first_gene(first, genes, "mchr", "mcoord", "mgene", cfg.slack))
+    """Discordant reads: both ends in a gene, and not the same. The genes' bins are written once for both joins."""
+    bins = cut(annotate.gene_bins(genes, cfg.slack), "bins")
+    return clusters.discordant(annotate.first_in_bins(annotate.first_in_bins(reads, bins, "chr", "coord", "gene"), bins, "mchr", "mcoord", "mgene"))
 
 
-def supported(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig()) -> DataFrame:
-    """Distinct reads of cross-family clusters that have enough reads, before and after the proximity filter."""
+def distinct_reads(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig()) -> DataFrame:
+    """Distinct reads of cross-family clusters, as a written table: what follows reads them several times, the source only once."""
     found = clusters.cross_family(candidates(reads, genes, cfg), families)
-    enough = clusters.min_support(clusters.dedup_reads(found, order), cfg.min_reads)
-    close = proximity.l1_neighbours(enough, ["g", "m", "is_mate"], "coord", "mcoord", cfg.radius)
+    return cut(clusters.dedup_reads(found, order), "distinct")
+
+
+def supported(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig()) -> DataFrame:
+    """Distinct reads of cross-family clusters that have enough reads, before and after the proximity filter, as a written table."""
+    enough = clusters.min_support(distinct_reads(reads, genes, families, order, cfg), cfg.min_reads)
+    close = cut(proximity.l1_neighbours(enough, ["g", "m", "is_mate"], "coord", "mcoord", cfg.radius), "close")
     return clusters.min_support(close, cfg.min_reads)
 
 
 def detect(reads: DataFrame, genes: DataFrame, families: DataFrame, exons: DataFrame, chrs: DataFrame, order: list[str], header_bytes: int = 0, cfg: FusionConfig = FusionConfig()) -> FusionResult:
-    """``reads``: mapped records with chr, coord, mchr, mcoord, line_len; ``order`` ranks equal records."""
-    won = greedy_cover(supported(reads, genes, families, order, cfg), cfg.min_reads)
-    framed = report.with_frames(report.orient(won), exons, cfg)
+    """``reads``: mapped records with chr, coord, mchr, mcoord, line_len; ``order`` ranks equal records. Other columns stay behind."""
+    slim = reads.select(*dict.fromkeys(["chr", "coord", "mchr", "mcoord", "line_len", *order]))
+    won = greedy_cover(supported(slim, genes, families, order, cfg), cfg.min_reads)
+    framed = cut(report.with_frames(report.orient(won), exons, cfg), "supporting")
     summary = report.summarize(framed, header_bytes, ["coord", "mcoord", *[c for c in order if c not in ("coord", "mcoord")]], cfg)
     return FusionResult(framed, summary, report.cluster_list(summary, chrs))
 
 
-def supporting_lines(result: FusionResult, raw: str = "raw") -> DataFrame:
-    """(cluster_rank, coord, mcoord, value): raw lines by cluster, then position."""
-    rank = result.summary.select("g", "m", "cluster_rank")
-    return result.reads.join(rank, ["g", "m"]).select("cluster_rank", "coord", "mcoord", F.col(raw).alias("value"))
+def supporting_lines(result: FusionResult, raw: str = "raw", lines: DataFrame | None = None) -> DataFrame:
+    """(cluster_rank, coord, mcoord, value): raw lines by cluster, then position.
+
+    ``lines``: (line_key, raw) of the source, joined here by line_key, so that only supporting reads meet their text;
+    without it, the reads carry the text themselves.
+    """
+    ranked = result.reads.join(result.summary.select("g", "m", "cluster_rank"), ["g", "m"])
+    if lines is not None:
+        ranked = ranked.join(lines.select("line_key", raw).dropDuplicates(["line_key"]), "line_key")
+    return ranked.select("cluster_rank", "coord", "mcoord", F.col(raw).alias("value"))

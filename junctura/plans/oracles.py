@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-STEPS = r"""
-WITH fx_genes AS (
+RID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, seg"
+SOURCE = r"""
+WITH RECURSIVE fx_genes AS (
   SELECT CAST(p_partkey + 1 AS BIGINT) AS gene_id, concat(p_type, '_', CAST(p_partkey AS VARCHAR)) AS gene_name, CAST(p_partkey % 5 AS INT) AS chr,
     CAST(1000 + (p_partkey - p_partkey % 5) * 140 AS BIGINT) AS tx_start, CAST(1000 + (p_partkey - p_partkey % 5) * 140 + 600 + p_size * 4 AS BIGINT) AS tx_end
-  FROM part WHERE p_partkey < 40
+  FROM part
 ), fx_families AS (
   SELECT gene_id, CAST(dense_rank() OVER (ORDER BY regexp_extract(gene_name, '^(..[A-Z]*)', 1) DESC) - 1 AS BIGINT) AS family_id FROM fx_genes
 ), fx_exons AS (
-  SELECT CAST(p_partkey + 1 AS BIGINT) AS gene_id, k, CAST(1000 + (p_partkey - p_partkey % 5) * 140 + k * 150 AS BIGINT) AS e_start,
+  SELECT CAST(p_partkey + 1 AS BIGINT) AS gene_id, CAST(k AS INT) AS k, CAST(1000 + (p_partkey - p_partkey % 5) * 140 + k * 150 AS BIGINT) AS e_start,
     CAST(1000 + (p_partkey - p_partkey % 5) * 140 + k * 150 + 100 + p_size % 20 AS BIGINT) AS e_end,
     CAST(CASE WHEN (p_partkey + k) % 7 = 0 THEN -1 ELSE (p_size + k) % 3 END AS INT) AS frame
-  FROM part, range(4) r(k) WHERE p_partkey < 40
+  FROM part, range(4) r(k)
+), fx_ends AS (
+  SELECT *, l_partkey AS a, l_partkey - l_partkey % 40 + (l_partkey % 40 + 1 + (l_suppkey * 7 + l_linenumber) % 4 * 9) % 40 AS b FROM lineitem
 ), fx_frag AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) % 10 AS INT) AS mapq,
-    CAST(CASE WHEN l_orderkey % 97 = 0 THEN 5 ELSE l_partkey % 40 % 5 END AS INT) AS chr_a,
-    CAST(940 + (l_partkey % 40 - l_partkey % 40 % 5) * 140 + (l_orderkey * 37 + l_linenumber * 11) % 720 AS BIGINT) AS pos_a,
-    CAST((l_suppkey * 7 + l_linenumber) % 40 % 5 AS INT) AS chr_b,
-    CAST(940 + ((l_suppkey * 7 + l_linenumber) % 40 - (l_suppkey * 7 + l_linenumber) % 40 % 5) * 140 + (l_orderkey * 53 + l_linenumber * 29) % 720 AS BIGINT) AS pos_b
-  FROM lineitem
-), fx_reads AS (
+    CAST(CASE WHEN l_orderkey % 97 = 0 THEN 5 ELSE a % 5 END AS INT) AS chr_a,
+    CAST(940 + (a - a % 5) * 140 + (l_orderkey * 37 + l_linenumber * 11) % 720 AS BIGINT) AS pos_a,
+    CAST(b % 5 AS INT) AS chr_b,
+    CAST(940 + (b - b % 5) * 140 + (l_orderkey * 53 + l_linenumber * 29) % 720 AS BIGINT) AS pos_b
+  FROM fx_ends
+), fx_records AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 AS seg, l_linenumber AS src, mapq, chr_a AS chr, pos_a AS coord, chr_b AS mchr, pos_b AS mcoord FROM fx_frag
   UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, l_linenumber, mapq, chr_b, pos_b, chr_a, pos_a FROM fx_frag
-), mapped AS (SELECT * FROM fx_reads WHERE chr < 5 AND mapq > 0),
+)"""
+#: The records as SAM text that can be parsed.
+SAM = SOURCE + r""", sam_text AS (
+  SELECT r.*, CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END AS rnext,
+    concat_ws(chr(9), 'r' || concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey, seg), '0', coalesce(a.r_name, '*'), coord, mapq, '10M',
+      CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END, mcoord, '0', 'ACGT', '*', 'NM:i:0') AS value
+  FROM fx_records r LEFT JOIN region a ON chr = a.r_regionkey LEFT JOIN region b ON mchr = b.r_regionkey
+  WHERE l_orderkey % 101 <> 0 AND l_orderkey % 103 <> 0
+), fx_reads AS (SELECT *, md5(value) AS line_key, CAST(strlen(value) + 1 AS INT) AS line_len FROM sam_text)
+"""
+TABLES = SOURCE + r""", fx_reads AS (SELECT *, 100 + l_linenumber AS line_len FROM fx_records)
+"""
+#: From reads to the clusters before the cover. @order@ ranks equal reads.
+DETECT = r""", mapped AS (SELECT * FROM fx_reads WHERE chr < 5 AND mapq > 0),
 point_gene AS MATERIALIZED (
   SELECT chr, coord, gene_id AS gene FROM (
     SELECT p.chr, p.coord, gene_id, row_number() OVER (PARTITION BY p.chr, p.coord ORDER BY tx_start, CAST(gene_id AS VARCHAR)) AS k
@@ -33,28 +49,50 @@ point_gene AS MATERIALIZED (
 mate AS MATERIALIZED (SELECT r.*, p.gene AS mgene FROM hit r JOIN point_gene p ON r.mchr = p.chr AND r.mcoord = p.coord),
 pairs AS (SELECT *, least(gene, mgene) AS g, greatest(gene, mgene) AS m, gene > mgene AS swapped, coord > mcoord AS is_mate FROM mate),
 disc AS (SELECT * FROM pairs WHERE gene - mgene <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY g, m, coord, mcoord ORDER BY chr, mchr, l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq) AS rn FROM disc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g, m, coord, mcoord ORDER BY chr, mchr, @order@) AS rn FROM disc),
 dd AS MATERIALIZED (SELECT * FROM ranked WHERE rn = 1 OR mcoord = 0),
 fam AS (SELECT dd.* FROM dd JOIN fx_families a ON g = a.gene_id JOIN fx_families b ON m = b.gene_id WHERE a.family_id <> b.family_id),
 sup AS MATERIALIZED (SELECT * FROM fam WHERE (g, m) IN (SELECT (g, m) FROM fam GROUP BY g, m HAVING count(*) > 5)),
 near AS MATERIALIZED (SELECT DISTINCT r.* FROM sup r JOIN sup q ON q.g = r.g AND q.m = r.m AND q.is_mate = r.is_mate
   WHERE (q.coord <> r.coord OR q.mcoord <> r.mcoord) AND abs(q.coord - r.coord) + abs(q.mcoord - r.mcoord) <= 199),
 close AS MATERIALIZED (SELECT * FROM near WHERE (g, m) IN (SELECT (g, m) FROM near GROUP BY g, m HAVING count(*) > 5)),
-counts AS MATERIALIZED (SELECT g, m, count(*) AS n FROM close GROUP BY g, m),
-oriented AS (
-  SELECT g, m, is_mate, l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq, CASE WHEN is_mate THEN coord ELSE mcoord END AS coord, CASE WHEN is_mate THEN mcoord ELSE coord END AS mcoord,
+counts AS MATERIALIZED (SELECT g, m, count(*) AS n FROM close GROUP BY g, m)
+"""
+#: The cover by rounds: in each, clusters that precede all their neighbours win, and others lose the reads at their places.
+COVER = r""", numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g, m, coord, mcoord, is_mate, @order@) AS id FROM close),
+cover AS (
+  SELECT g, m, coord, mcoord, id, false AS won FROM numbered
+  UNION ALL
+  SELECT g, m, coord, mcoord, id, won FROM (
+    WITH live AS (SELECT g, m, coord, mcoord, id FROM cover WHERE NOT won),
+    sized AS (SELECT g, m, count(*) AS n FROM live GROUP BY g, m HAVING count(*) > 5),
+    gene_ends AS (SELECT g, m, n, unnest([g, m]) AS gene_id FROM sized),
+    top AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY n DESC, g, m) AS k FROM gene_ends),
+    win AS (SELECT g, m FROM top GROUP BY g, m HAVING max(k) = 1),
+    spots AS (SELECT gene_id, unnest([coord, mcoord]) AS pos FROM (SELECT unnest([g, m]) AS gene_id, coord, mcoord FROM live SEMI JOIN win USING (g, m)))
+    SELECT g, m, coord, mcoord, id, true AS won FROM live SEMI JOIN win USING (g, m)
+    UNION ALL
+    SELECT g, m, coord, mcoord, id, false FROM live l SEMI JOIN sized USING (g, m) ANTI JOIN win USING (g, m)
+      ANTI JOIN spots a ON a.gene_id = l.g AND a.pos = l.coord ANTI JOIN spots b ON b.gene_id = l.g AND b.pos = l.mcoord
+      ANTI JOIN spots c ON c.gene_id = l.m AND c.pos = l.coord ANTI JOIN spots d ON d.gene_id = l.m AND d.pos = l.mcoord
+  )
+), covered AS MATERIALIZED (SELECT * FROM numbered WHERE id IN (SELECT id FROM cover WHERE won))
+"""
+#: Report columns of the clusters of @reads@.
+REPORT = r""", oriented AS (
+  SELECT g, m, is_mate, line_len, @order@, CASE WHEN is_mate THEN coord ELSE mcoord END AS coord, CASE WHEN is_mate THEN mcoord ELSE coord END AS mcoord,
     CASE WHEN is_mate THEN chr ELSE mchr END AS chr, CASE WHEN is_mate THEN mchr ELSE chr END AS mchr,
     CASE WHEN is_mate THEN gene ELSE mgene END AS gene, CASE WHEN is_mate THEN mgene ELSE gene END AS mgene
-  FROM close
+  FROM @reads@
 ), point_frame AS (
   SELECT gene, pos, CASE WHEN e_start > pos + 50 THEN -2 ELSE frame END AS frame FROM (
     SELECT p.gene, p.pos, e_start, frame, row_number() OVER (PARTITION BY p.gene, p.pos ORDER BY k) AS kk
     FROM (SELECT gene, coord AS pos FROM oriented UNION SELECT mgene, mcoord FROM oriented) p JOIN fx_exons e ON e.gene_id = p.gene AND e.e_end > p.pos) WHERE kk = 1
 ), framed AS MATERIALIZED (
-  SELECT o.*, CAST(coalesce(a.frame, -2) AS INT) AS frame, CAST(coalesce(b.frame, -2) AS INT) AS mframe, 100 + l_linenumber AS line_len
+  SELECT o.*, CAST(coalesce(a.frame, -2) AS INT) AS frame, CAST(coalesce(b.frame, -2) AS INT) AS mframe
   FROM oriented o LEFT JOIN point_frame a ON o.gene = a.gene AND o.coord = a.pos LEFT JOIN point_frame b ON o.mgene = b.gene AND o.mcoord = b.pos
 ), firsts AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY coord, mcoord, chr, mchr, l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq) AS rn1 FROM framed) WHERE rn1 = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY coord, mcoord, chr, mchr, @order@) AS rn1 FROM framed) WHERE rn1 = 1
 ), summed AS (
   SELECT g, m, count(*) AS nbreads, CAST(sum(line_len) AS BIGINT) AS offset_length, max(least(coord, mcoord)) AS fb_start, min(greatest(coord, mcoord)) AS fb_end,
     count(*) FILTER (frame >= 0 AND mframe >= 0 AND (frame + 1) % 3 = mframe) * 100 // count(*) AS exon_match_percent
@@ -63,21 +101,36 @@ oriented AS (
   SELECT s.*, f.chr, f.mchr, f.gene, f.mgene, row_number() OVER (ORDER BY f.mgene, f.gene, s.g, s.m) AS cluster_rank,
     CAST(1000 + coalesce(sum(offset_length) OVER (ORDER BY f.mgene, f.gene, s.g, s.m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_start
   FROM summed s JOIN firsts f USING (g, m)
-), ends AS (SELECT DISTINCT g, m, n, unnest([g, m]) AS gene_id FROM counts),
+), listed AS (
+  SELECT cluster_rank, a.r_name AS chr_a, b.r_name AS chr_b, format('{}({})', x.gene_name, gene) AS gene_a, format('{}({})', y.gene_name, mgene) AS gene_b,
+    nbreads, offset_start, offset_length, fb_start, fb_end, exon_match_percent
+  FROM summary s JOIN region a ON s.chr = a.r_regionkey JOIN region b ON s.mchr = b.r_regionkey JOIN fx_genes x ON x.gene_id = s.gene JOIN fx_genes y ON y.gene_id = s.mgene
+)
+"""
+#: The first round of the cover alone.
+ROUND = r""", ends AS (SELECT DISTINCT g, m, n, unnest([g, m]) AS gene_id FROM counts),
 best AS (SELECT gene_id, g AS bg, m AS bm FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY n DESC, g, m) AS k FROM ends) WHERE k = 1),
 winners AS MATERIALIZED (SELECT g, m, n FROM ends JOIN best USING (gene_id) GROUP BY g, m, n HAVING bool_and(bg = g AND bm = m)),
 places AS (SELECT DISTINCT unnest([g, m]) AS gene_id, coord AS pos, mcoord AS mpos FROM close WHERE (g, m) IN (SELECT (g, m) FROM winners)),
 taken AS MATERIALIZED (SELECT gene_id, pos FROM places UNION SELECT gene_id, mpos FROM places)
 """
+#: The order-dependent family fold over @symbols@ (gene_id, symbol).
+FOLD = r""", named AS (@symbols@),
+ranked_symbols AS MATERIALIZED (SELECT symbol, regexp_extract(symbol, '^(..[A-Z]*)', 1) AS motif, row_number() OVER (ORDER BY symbol DESC) AS i FROM (SELECT DISTINCT symbol FROM named)),
+fold AS (
+  SELECT i, symbol, motif AS held, CAST(0 AS BIGINT) AS family_id FROM ranked_symbols WHERE i = 1
+  UNION ALL
+  SELECT r.i, r.symbol, CASE WHEN starts_with(held, motif) THEN held ELSE motif END, family_id + CASE WHEN starts_with(held, motif) THEN 0 ELSE 1 END
+  FROM fold JOIN ranked_symbols r ON r.i = fold.i + 1
+)
+SELECT gene_id, min(family_id) AS family_id FROM named JOIN fold USING (symbol) GROUP BY gene_id
+"""
 
-RID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, seg"
 _SELECTS = {
     "scan_mapped": f"SELECT {RID}, mapq, chr, coord, mchr, mcoord FROM mapped",
     "chr_counts": "SELECT chr, count(*) AS n FROM fx_reads GROUP BY chr",
     "mapq_threshold": "SELECT chr, mapq, count(*) AS n, CAST(sum(coord) AS BIGINT) AS coords FROM mapped WHERE mapq > 3 GROUP BY chr, mapq",
     "chr_lookup": "SELECT name, CAST(coalesce(r_regionkey, 5) AS INT) AS chr FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation) LEFT JOIN region ON name = r_name",
-    "mate_chr_resolve": """SELECT chr_a, rnext, CAST(CASE WHEN rnext = '=' THEN chr_a WHEN rnext = '*' THEN 5 ELSE chr_b END AS INT) AS mchr, count(*) AS n
-        FROM (SELECT *, CASE WHEN l_orderkey % 89 = 0 THEN '*' WHEN chr_a = chr_b THEN '=' ELSE r_name END AS rnext FROM fx_frag JOIN region ON r_regionkey = chr_b) GROUP BY 1, 2, 3""",
     "orientation_counts": "SELECT chr, coord > mcoord AS is_mate, count(*) AS n FROM mapped GROUP BY 1, 2",
     "gene_first_match": f"SELECT {RID}, mapq, chr, coord, gene FROM hit",
     "gene_all_matches": "SELECT gene_id AS gene, count(*) AS n, CAST(sum(coord) AS BIGINT) AS coords FROM mapped r JOIN fx_genes g ON r.chr = g.chr AND r.coord + 50 >= tx_start AND r.coord <= tx_end GROUP BY 1",
@@ -110,9 +163,12 @@ _SELECTS = {
     "breakpoints": "SELECT g, m, max(least(coord, mcoord)) AS fb_start, min(greatest(coord, mcoord)) AS fb_end FROM close GROUP BY g, m",
     "breakpoints_literal": "SELECT g, m, max(CASE WHEN is_mate THEN mcoord ELSE coord END) AS fb_start, min(CASE WHEN is_mate THEN coord ELSE mcoord END) AS fb_end FROM oriented GROUP BY g, m",
     "cluster_byte_index": "SELECT cluster_rank, g, m, nbreads, offset_start, offset_length FROM summary",
-    "cluster_list": """SELECT cluster_rank, a.r_name AS chr_a, b.r_name AS chr_b, format('{}({})', x.gene_name, gene) AS gene_a, format('{}({})', y.gene_name, mgene) AS gene_b,
-        nbreads, offset_start, offset_length, fb_start, fb_end, exon_match_percent
-        FROM summary s JOIN region a ON s.chr = a.r_regionkey JOIN region b ON s.mchr = b.r_regionkey JOIN fx_genes x ON x.gene_id = s.gene JOIN fx_genes y ON y.gene_id = s.mgene""",
+    "cluster_list": "SELECT * FROM listed",
+    "report_lines": "SELECT cluster_rank, format('{} - {} : {} reads // {} - {}', gene_a, gene_b, nbreads, chr_a, chr_b) AS line FROM listed",
+    "gene_intervals": "SELECT chr, tx_start, tx_end, gene_id FROM fx_genes",
+    "exon_table": "SELECT gene_id, gene_name, CAST(4 AS INT) AS exon_count, k, e_start, e_end, frame FROM fx_exons JOIN fx_genes USING (gene_id)",
+    "cluster_rank_asc": "SELECT g, m, n, row_number() OVER (ORDER BY n, g, m) AS rank FROM counts",
+    "sorted_coordinates": "SELECT chr, count(*) AS n, md5(string_agg(coord, ',' ORDER BY coord)) AS digest FROM (SELECT DISTINCT chr, coord FROM mapped) GROUP BY chr",
     "fusion_report": "SELECT count(*) AS clusters, CAST(sum(nbreads) AS BIGINT) AS reads, max(nbreads) AS largest, count(*) FILTER (exon_match_percent > 10) * 100 // count(*) AS in_frame_pct FROM summary",
     "refgene_rename": "SELECT CAST(p_partkey AS BIGINT) AS gene_id, r_name AS chrom FROM part JOIN region ON p_partkey % 7 = r_regionkey WHERE p_partkey % 3 <> 0",
     "exon_arrays": "SELECT gene_id, count(*) AS exon_count, CAST(sum(e_start) AS BIGINT) AS sum_starts, max(e_end) AS last_end FROM fx_exons GROUP BY gene_id",
@@ -121,4 +177,30 @@ _SELECTS = {
     "cluster_rank_desc": "SELECT g, m, n, row_number() OVER (ORDER BY n DESC, g, m) AS rank FROM counts",
 }
 
-ORACLES = {name: f"{STEPS}\n{select}" for name, select in _SELECTS.items()}
+_SAM_SELECTS = {
+    "sam_header": "SELECT CAST(r_regionkey AS INT) AS chr, r_name AS chr_name FROM region",
+    "sam_parse": "SELECT line_len, chr, coord, mchr, mcoord, mapq, upper(line_key) AS line_key FROM fx_reads",
+    "sam_single_end": """SELECT chr, mapq, count(*) AS n, CAST(sum(coord) AS BIGINT) AS coords, CAST(sum(line_len) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS mates, CAST(0 AS BIGINT) AS mate_positions
+        FROM fx_reads WHERE chr < 5 AND mapq > 4 GROUP BY chr, mapq""",
+    "mate_chr_resolve": "SELECT chr AS chr_a, rnext, mchr, count(*) AS n FROM fx_reads GROUP BY ALL",
+}
+_COVER_SELECTS = {
+    "set_cover": "SELECT g, m, count(*) AS n FROM covered GROUP BY g, m",
+    "set_cover_report": "SELECT * FROM listed",
+}
+_FIXTURE_ORDER, _SAM_ORDER = f"{RID}, mapq", "line_key"
+_PART_SYMBOLS = """SELECT CAST(p_partkey AS BIGINT) AS gene_id, CASE WHEN substr(p_type, 5, 1) BETWEEN 'A' AND 'Z' THEN concat(substr(p_type, 1, 4), '1', substr(p_type, 6)) ELSE p_type END AS symbol
+  FROM part JOIN region ON p_partkey % 7 = r_regionkey WHERE p_partkey % 3 <> 0"""
+
+
+def _sql(parts: str, select: str, order: str, reads: str = "close") -> str:
+    return f"{parts}\n{select}".replace("@order@", order).replace("@reads@", reads)
+
+
+ORACLES = (
+    {name: _sql(TABLES + DETECT + REPORT + ROUND, select, _FIXTURE_ORDER) for name, select in _SELECTS.items()}
+    | {name: _sql(SAM, select, _SAM_ORDER) for name, select in _SAM_SELECTS.items()}
+    | {name: _sql(TABLES + DETECT + COVER + REPORT, select, _FIXTURE_ORDER, "covered") for name, select in _COVER_SELECTS.items()}
+    | {"supporting_lines": _sql(SAM + DETECT + COVER + REPORT, "SELECT cluster_rank, f.coord, f.mcoord, value FROM framed f JOIN summary USING (g, m) JOIN sam_text t ON md5(t.value) = f.line_key", _SAM_ORDER, "covered")}
+    | {"gene_families_literal": SOURCE + FOLD.replace("@symbols@", "SELECT gene_id, gene_name AS symbol FROM fx_genes"), "family_fold": SOURCE + FOLD.replace("@symbols@", _PART_SYMBOLS)}
+)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
 from junctura.functions.columns import family_motif, number_list, percent
 from junctura.operators import annotate, clusters, cover, proximity, report
+from junctura.operators.order import running
 from junctura.plans import detect
 from junctura.sources import fixture as fx
 from junctura.sources import refgene, sam
+from junctura.tables import cut
 
 HEADER_BYTES = 1000
 KEYS = ["g", "m", "is_mate"]
@@ -22,12 +24,18 @@ def mapped(s: SparkSession, d: str, min_mapq: int = 0) -> DataFrame:
     return sam.mapped(reads, min_mapq)
 
 
+def gene_bins(s: SparkSession, d: str) -> DataFrame:
+    """Bins as a table, so that its size decides on a broadcast."""
+    return cut(annotate.gene_bins(fx.genes(s, d)), "bins")
+
+
 def with_gene(s: SparkSession, d: str) -> DataFrame:
-    return annotate.first_gene(mapped(s, d), fx.genes(s, d))
+    return annotate.first_in_bins(mapped(s, d), gene_bins(s, d))
 
 
 def with_mate(s: SparkSession, d: str) -> DataFrame:
-    return annotate.first_gene(with_gene(s, d), fx.genes(s, d), "mchr", "mcoord", "mgene")
+    bins = gene_bins(s, d)
+    return annotate.first_in_bins(annotate.first_in_bins(mapped(s, d), bins), bins, "mchr", "mcoord", "mgene")
 
 
 def distinct_reads(s: SparkSession, d: str) -> DataFrame:
@@ -35,9 +43,8 @@ def distinct_reads(s: SparkSession, d: str) -> DataFrame:
 
 
 def kept(s: SparkSession, d: str) -> DataFrame:
-    """Discordant distinct reads of cross-family clusters."""
-    found = clusters.cross_family(clusters.discordant(with_mate(s, d)), fx.families(s, d))
-    return clusters.dedup_reads(found, fx.ORDER)
+    """Discordant distinct reads of cross-family clusters, as a table."""
+    return detect.distinct_reads(mapped(s, d), fx.genes(s, d), fx.families(s, d), fx.ORDER)
 
 
 def enough(s: SparkSession, d: str) -> DataFrame:
@@ -73,13 +80,37 @@ def chr_lookup(s, d):
     return sam.chromosome_index(names, fx.chromosomes(s, d), "name", "chr").select("name", F.coalesce("chr", F.lit(fx.UNMAPPED)).alias("chr"))
 
 
+def _records(s, d, cfg=FusionConfig()):
+    """(header, chromosomes, parsed reads) of the fixture's SAM text."""
+    head = fx.header(s, d)
+    chrs = sam.chromosomes(head)
+    lines = cut(head.select("value").union(fx.sam_lines(s, d)), "sam")  # stands for the file: its text is not rendered anew for each use
+    return head, chrs, sam.parse_lines(lines, chrs, cfg)
+
+
+def sam_header(s, d):
+    """The chromosome dictionary of the header's lines."""
+    return _records(s, d)[1]
+
+
+def sam_parse(s, d):
+    """Every parsed record of a paired file; index 5 is unmapped."""
+    at = lambda c: F.coalesce(c, F.lit(fx.UNMAPPED)).alias(c)
+    return _records(s, d)[2].select("line_len", at("chr"), "coord", at("mchr"), "mcoord", "mapq", F.hex("line_key").alias("line_key"))
+
+
+def sam_single_end(s, d):
+    """Mapped records of the same text as single-end reads over a quality threshold."""
+    reads = sam.mapped(_records(s, d, FusionConfig(paired=False, min_mapq=4))[2], 4)
+    return reads.groupBy("chr", "mapq").agg(F.count("*").alias("n"), F.sum("coord").alias("coords"), F.sum("line_len").cast("long").alias("bytes"), F.count("mchr").alias("mates"), F.count("mcoord").alias("mate_positions"))
+
+
 def mate_chr_resolve(s, d):
-    chrs = fx.chromosomes(s, d)
-    named = fx.fragments(s, d).join(F.broadcast(chrs.select(F.col("chr").alias("chr_b"), F.col("chr_name").alias("b_name"))), "chr_b")
-    rnext = named.withColumn("rnext", F.when(F.col("l_orderkey") % 89 == 0, "*").when(F.col("chr_a") == F.col("chr_b"), "=").otherwise(F.col("b_name")))
-    found = sam.chromosome_index(rnext, chrs, "rnext", "named_chr")
-    mchr = F.when(F.col("rnext") == "=", F.col("chr_a")).otherwise(F.coalesce("named_chr", F.lit(fx.UNMAPPED)))
-    return found.groupBy("chr_a", "rnext", mchr.alias("mchr")).agg(F.count("*").alias("n"))
+    """Mate columns of SAM lines: same chromosome, none, a name."""
+    head, chrs, reads = _records(s, d)
+    cells = F.split("raw", "\t")
+    known = reads.withColumns({"rnext": cells[6], "chr_a": F.coalesce("chr", F.lit(fx.UNMAPPED))})
+    return known.groupBy("chr_a", "rnext", F.coalesce("mchr", F.lit(fx.UNMAPPED)).alias("mchr")).agg(F.count("*").alias("n"))
 
 
 def orientation_counts(s, d):
@@ -120,8 +151,24 @@ def cluster_stats_by_source(s, d):
     return clusters.stats_by_source(distinct_reads(s, d), "src")
 
 
+def gene_intervals(s, d):
+    """Gene intervals of the transcript table."""
+    return fx.genes(s, d)
+
+
+def exon_table(s, d):
+    """Exons of the transcript table, one row each."""
+    e = fx.exons(s, d).select("gene_id", "gene_name", "exon_count", F.posexplode(F.arrays_zip("starts", "ends", "frames")).alias("k", "e"))
+    return e.select("gene_id", "gene_name", "exon_count", "k", F.col("e.starts").alias("e_start"), F.col("e.ends").alias("e_end"), F.col("e.frames").alias("frame"))
+
+
 def gene_families(s, d):
-    return fx.families(s, d).join(fx.genes(s, d), "gene_id").select("gene_id", family_motif(F.col("gene_name")).alias("motif"), "family_id")
+    return fx.families(s, d).join(fx.exons(s, d), "gene_id").select("gene_id", family_motif(F.col("gene_name")).alias("motif"), "family_id")
+
+
+def gene_families_literal(s, d):
+    """The order-dependent fold over the transcript table's symbols."""
+    return fx.families(s, d, literal=True)
 
 
 def same_family_clusters(s, d):
@@ -161,15 +208,16 @@ def top_cluster(s, d):
 
 
 def cover_neighbours(s, d):
-    """Clusters that share a gene with the largest one."""
-    counts, top = proximity_clusters(s, d), top_cluster(s, d).select(F.col("g").alias("tg"), F.col("m").alias("tm"))
+    """Clusters that share a gene with the largest one (one row, the only thing that is broadcast)."""
+    counts = cut(proximity_clusters(s, d), "counts")
+    top = counts.orderBy(F.desc("n"), "g", "m").limit(1).select(F.col("g").alias("tg"), F.col("m").alias("tm"))
     near = F.col("g").isin(F.col("tg"), F.col("tm")) | F.col("m").isin(F.col("tg"), F.col("tm"))
-    return counts.join(F.broadcast(top), near & ~((F.col("g") == F.col("tg")) & (F.col("m") == F.col("tm")))).select("g", "m", "n")
+    return counts.join(F.broadcast(top.limit(1)), near & ~((F.col("g") == F.col("tg")) & (F.col("m") == F.col("tm")))).select("g", "m", "n")
 
 
 def cover_round1(s, d):
     """Clusters that win the first round, and what it leaves to the others."""
-    winners, left = cover.cover_round(cover.cut(close(s, d)), 5)
+    winners, left = cover.cover_round(cut(close(s, d), "close"), 5)
     return winners.select("g", "m", "n", F.lit(True).alias("winner")).unionByName(clusters.cluster_counts(left).withColumn("winner", F.lit(False)))
 
 
@@ -183,6 +231,19 @@ def set_cover_report(s, d):
     return detect.detect(reads, fx.genes(s, d), fx.families(s, d), fx.exons(s, d), fx.chromosomes(s, d), fx.ORDER, HEADER_BYTES).clusters
 
 
+def report_lines(s, d):
+    """The readable report of the clusters before the cover."""
+    return report.report_lines(cluster_list(s, d))
+
+
+def supporting_lines(s, d):
+    """The whole job from SAM text: lines of the reads of each cluster that the cover keeps; plans carry line keys, text joins at the end."""
+    head, chrs, reads = _records(s, d)
+    result = detect.detect(sam.mapped(reads), fx.genes(s, d), fx.families(s, d), fx.exons(s, d), chrs, ["chr", "mchr", "line_key"], HEADER_BYTES)
+    lines = detect.supporting_lines(result, lines=reads)
+    return lines.select("cluster_rank", "coord", "mcoord", "value")
+
+
 def oriented_reads(s, d):
     return report.orient(close(s, d)).select("g", "m", "chr", "coord", "gene", "mchr", "mcoord", "mgene")
 
@@ -221,8 +282,7 @@ def _refgene(s, d):
     p = s.read.parquet(f"{d}/part.parquet")
     name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "NR_").otherwise("NM_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     rows = p.select(name.alias("name"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("chrom"), F.col("p_type").alias("name2"))
-    names = s.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("c"), F.col("r_regionkey").cast("string")).alias("ref_name"), F.col("r_name").alias("sam_name"))
-    return refgene.rename(rows, names)
+    return refgene.rename(rows, fx.contig_names(s, d))
 
 
 def refgene_rename(s, d):
@@ -244,8 +304,7 @@ def exon_arrays(s, d):
 
 
 def _ranked(s, d, first, then):
-    w = Window.partitionBy("chr").orderBy(first, then, *RID, "mapq")
-    return mapped(s, d).withColumn("rank", F.row_number().over(w).cast("long")).select("chr", "coord", "mcoord", "rank")
+    return running(mapped(s, d), [first, then, *RID, "mapq"], "rank", keys=["chr"]).select("chr", "coord", "mcoord", "rank")
 
 
 def sorted_reads(s, d):
@@ -257,17 +316,26 @@ def sorted_mates(s, d):
 
 
 def cluster_rank_desc(s, d):
-    w = Window.orderBy(F.desc("n"), "g", "m")
-    return proximity_clusters(s, d).withColumn("rank", F.row_number().over(w).cast("long"))
+    return running(proximity_clusters(s, d), [F.desc("n"), "g", "m"], "rank")
+
+
+def cluster_rank_asc(s, d):
+    """Clusters from the smallest to the largest (the ascending merge order)."""
+    return running(proximity_clusters(s, d), ["n", "g", "m"], "rank")
+
+
+def sorted_coordinates(s, d):
+    """Distinct coordinates of each chromosome as one sorted array."""
+    return mapped(s, d).groupBy("chr").agg(F.array_sort(F.collect_set("coord")).alias("c")).select("chr", F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", ",")).alias("digest"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_mapped, chr_counts, mapq_threshold, chr_lookup, mate_chr_resolve, orientation_counts, gene_first_match, gene_all_matches, gene_hit_miss,
-        mate_gene, canonical_pairs, discordant_reads, cluster_counts, cluster_stats_by_source, gene_families, same_family_clusters, cross_family_clusters,
+        sam_header, sam_parse, sam_single_end, scan_mapped, chr_counts, mapq_threshold, chr_lookup, mate_chr_resolve, orientation_counts, gene_first_match, gene_all_matches, gene_hit_miss,
+        mate_gene, canonical_pairs, discordant_reads, cluster_counts, cluster_stats_by_source, gene_intervals, exon_table, gene_families, gene_families_literal, same_family_clusters, cross_family_clusters,
         dedup_reads, min_support, min_support_reads, proximity_reads, proximity_tight, proximity_clusters, top_cluster, cover_neighbours, cover_round1,
-        set_cover, set_cover_report, oriented_reads, exon_frames, exon_match_pct, breakpoints, breakpoints_literal, cluster_byte_index, cluster_list,
-        fusion_report, refgene_rename, family_fold, exon_arrays, sorted_reads, sorted_mates, cluster_rank_desc,
+        set_cover, set_cover_report, report_lines, supporting_lines, oriented_reads, exon_frames, exon_match_pct, breakpoints, breakpoints_literal, cluster_byte_index, cluster_list,
+        fusion_report, refgene_rename, family_fold, exon_arrays, sorted_reads, sorted_mates, cluster_rank_desc, cluster_rank_asc, sorted_coordinates,
     )
 }

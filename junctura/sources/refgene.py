@@ -1,4 +1,7 @@
-"""Reference tables from a UCSC transcript table: gene intervals, exons, families."""
+"""Reference tables from a UCSC transcript table: gene intervals, exons, families.
+
+Rows with a null name, chromosome or end are in no table; repeated transcripts are one gene; no rows give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from junctura.functions.columns import family_motif, number_list
+from junctura.operators.order import running
 
+#: Distinct gene symbols that the order-dependent fold takes: ten times those of any annotated genome.
+SYMBOLS = 1_000_000
 SCHEMA = (
     "bin int, name string, chrom string, strand string, txStart long, txEnd long, cdsStart long, cdsEnd long, exonCount int, "
     "exonStarts string, exonEnds string, score int, name2 string, cdsStartStat string, cdsEndStat string, exonFrames string"
@@ -21,6 +28,12 @@ def read_refgene(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=SCHEMA)
 
 
+def parse_refgene(lines: DataFrame) -> DataFrame:
+    """The columns of SCHEMA from tab-separated lines (value); lines with fewer columns have nulls for the rest."""
+    cells = F.split("value", "\t")
+    return lines.select(*[F.get(cells, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(StructType.fromDDL(SCHEMA))])
+
+
 def read_chromosome_map(spark: SparkSession, path: str) -> DataFrame:
     """(ref_name, sam_name) of lines ``ref_name=sam_name``."""
     part = F.split("value", "=", 2)
@@ -29,7 +42,7 @@ def read_chromosome_map(spark: SparkSession, path: str) -> DataFrame:
 
 def rename(refgene: DataFrame, names: DataFrame) -> DataFrame:
     """Transcripts on listed chromosomes under their other name (chrom), mRNA accessions only, with gene_id, their number."""
-    kept = refgene.filter(F.col("name").startswith("NM_")).join(F.broadcast(names), F.col("chrom") == F.col("ref_name"))
+    kept = refgene.filter(F.col("name").startswith("NM_")).join(names, F.col("chrom") == F.col("ref_name"))
     number = F.regexp_extract("name", r"^NM_(\d+)", 1)
     return kept.withColumn("gene_id", number.cast("long")).withColumn("chrom", F.col("sam_name")).drop("ref_name", "sam_name")
 
@@ -37,7 +50,7 @@ def rename(refgene: DataFrame, names: DataFrame) -> DataFrame:
 def gene_intervals(renamed: DataFrame, chrs: DataFrame) -> DataFrame:
     """(chr, tx_start, tx_end, gene_id); rows that end before they start stay out."""
     dim = chrs.select("chr", F.col("chr_name").alias("chrom"))
-    return renamed.filter("txStart <= txEnd").join(F.broadcast(dim), "chrom").select("chr", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"), "gene_id")
+    return renamed.filter("txStart <= txEnd").join(dim, "chrom").select("chr", F.col("txStart").alias("tx_start"), F.col("txEnd").alias("tx_end"), "gene_id")
 
 
 def exon_table(renamed: DataFrame) -> DataFrame:
@@ -50,18 +63,22 @@ def families(renamed: DataFrame, literal: bool = False) -> DataFrame:
     """(gene_id, family_id): symbols are ranked by motif, descending.
 
     ``literal`` folds the symbols in descending order: a row stays in a family while the family's motif begins with
-    the row's own. That order-dependent fold runs over the distinct symbols (a reference's, not reads) in one group.
+    the row's own. That order-dependent fold takes the distinct symbols of a reference (not reads) in one task, which
+    refuses more than SYMBOLS of them.
     """
-    rows = renamed.select("gene_id", F.col("name2").alias("symbol")).distinct()
+    rows = renamed.select("gene_id", F.col("name2").alias("symbol")).filter("symbol is not null").distinct()
     if not literal:
-        rank = F.dense_rank().over(Window.orderBy(family_motif(F.col("symbol")).desc())) - 1
-        return rows.select("gene_id", rank.cast("long").alias("family_id")).groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
+        rows = rows.select("gene_id", family_motif(F.col("symbol")).alias("motif")).distinct()
+        ranked = running(rows.select("motif").distinct(), [F.desc("motif")], "rank").select("motif", (F.col("rank") - 1).alias("family_id"))
+        return rows.join(ranked, "motif").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, family, at = [], -1, None
+        held: list[str] = []
         for f in frames:
             held += f["symbol"].tolist()
-        out = []
+            if len(held) > SYMBOLS:
+                raise ValueError(f"more than {SYMBOLS} distinct gene symbols")
+        out, family, at = [], -1, None
         for symbol in sorted(held, reverse=True):
             motif = re.match(r"..[A-Z]*|.*", symbol, re.S)[0]
             if at is None or not at.startswith(motif):
@@ -70,7 +87,7 @@ def families(renamed: DataFrame, literal: bool = False) -> DataFrame:
         yield pd.DataFrame(out, columns=["symbol", "family_id"])
 
     folded = rows.select("symbol").distinct().coalesce(1).mapInPandas(fold, "symbol string, family_id long")
-    return rows.join(F.broadcast(folded), "symbol").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
+    return rows.join(folded, "symbol").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
 
 
 def build_reference(refgene: DataFrame, names: DataFrame, chrs: DataFrame, literal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

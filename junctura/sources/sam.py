@@ -7,40 +7,47 @@ from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
 
+HEAD_ROWS = 1000
+
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of the ``@`` lines of a file, in file order.
+    """(line_no, value) of the ``@`` lines at the start of a file, in file order. Only the head of the file is read.
 
-    Headers stand at the start of their file, so their order is that of the lines within the first split.
+    ``take`` reads a file's splits in order and stops as soon as it has enough rows; it asks for more until a
+    record line (or the file's end) is seen, so no header is too long.
     """
-    lines = spark.read.text(path).filter(F.col("value").startswith("@"))
-    by = Window.orderBy("_at")
-    return lines.withColumn("_at", F.monotonically_increasing_id()).select(F.row_number().over(by).alias("line_no"), "value")
+    n = HEAD_ROWS
+    while True:
+        rows = [r.value for r in spark.read.text(path).take(n)]
+        head = next((i for i, x in enumerate(rows) if not x.startswith("@")), len(rows))
+        if head < len(rows) or len(rows) < n:
+            return spark.createDataFrame(list(enumerate(rows[:head], 1)), "line_no int, value string")
+        n *= 8
 
 
 def chromosomes(header: DataFrame) -> DataFrame:
-    """(chr, chr_name) in header order, from 0, of the ``@SQ`` lines."""
+    """(chr, chr_name) in header order, from 0, of the ``@SQ`` lines; a header is small by its kind."""
     names = header.filter(F.col("value").startswith("@SQ")).select("line_no", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chr_name"))
     return names.select((F.row_number().over(Window.orderBy("line_no")) - 1).cast("int").alias("chr"), "chr_name")
 
 
 def chromosome_index(df: DataFrame, chrs: DataFrame, name: str, out: str) -> DataFrame:
-    """``df`` with the index of chromosome ``name``; null if it is unknown. A header's dictionary is small and broadcast."""
+    """``df`` with the index of chromosome ``name``; null if it is unknown."""
     dim = chrs.select(F.col("chr_name").alias("_name"), F.col("chr").alias(out))
-    return df.join(F.broadcast(dim), F.col(name) == F.col("_name"), "left").drop("_name")
+    return df.join(dim, F.col(name) == F.col("_name"), "left").drop("_name")
 
 
-def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, chromosomes, reads). Reads: raw, line_len, chr, coord, mchr, mcoord, mapq; unmapped ends have a null chr.
+def parse_lines(lines: DataFrame, chrs: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
+    """Reads of (value): line_key, raw, line_len, chr, coord, mchr, mcoord, mapq; unmapped ends have a null chr.
 
-    Lines without a position or with fewer than eleven columns are passed over. Single-end input has null mates.
+    Header lines, null lines, lines without a position and lines with fewer than eleven columns are passed over. Single-end input
+    has null mates. Equal lines stay. ``line_key`` is a digest of the line: plans carry it instead of ``raw``, which
+    Spark then does not even read out of a line, and fetch the text at the end.
     """
-    header = header_lines(spark, path)
-    chrs = chromosomes(header)
-    cells = F.split("value", "\t", 12)
-    rows = spark.read.text(path).filter(~F.col("value").startswith("@")).withColumn("c", cells).filter(F.size("c") >= 11)
+    rows = lines.filter(~F.col("value").startswith("@")).withColumn("c", F.split("value", "\t", 12)).filter(F.size("c") >= 11)
     mate = F.when(F.col("c")[6] == "=", F.col("c")[2]).otherwise(F.col("c")[6])
     parsed = rows.select(
+        F.unhex(F.md5("value")).alias("line_key"),
         F.col("value").alias("raw"),
         (F.octet_length("value") + 1).alias("line_len"),
         F.col("c")[2].alias("rname"),
@@ -50,7 +57,14 @@ def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig())
         F.expr("try_cast(c[7] as bigint)" if cfg.paired else "cast(null as bigint)").alias("mcoord"),
     ).filter("coord is not null")
     placed = chromosome_index(chromosome_index(parsed, chrs, "rname", "chr"), chrs, "mname", "mchr")
-    return header, chrs, placed.select("raw", "line_len", "chr", "coord", "mchr", "mcoord", "mapq")
+    return placed.select("line_key", "raw", "line_len", "chr", "coord", "mchr", "mcoord", "mapq")
+
+
+def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, chromosomes, reads) of a file; see ``parse_lines``."""
+    header = header_lines(spark, path)
+    chrs = chromosomes(header)
+    return header, chrs, parse_lines(spark.read.text(path), chrs, cfg)
 
 
 def mapped(reads: DataFrame, min_mapq: int = 0) -> DataFrame:

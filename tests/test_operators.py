@@ -141,3 +141,80 @@ def test_single_end_has_no_clusters(spark, tmp_path):
     genes = spark.createDataFrame([(0, 1000, 2000, 1)], GENES)
     assert detect.candidates(sam.mapped(reads, 5), genes, cfg).count() == 0
     assert sam.mapped(reads, 30).count() == 0 and sam.mapped(reads, 29).filter(F.col("chr").isNull()).count() == 0
+
+
+def test_ranges_rank_and_sum(spark):
+    from junctura.operators.order import running
+
+    rng = random.Random(2)
+    rows = [(rng.choice("aab"), rng.randrange(40), rng.choice([None, 1, 5])) for _ in range(300)] + [(None, 3, 2)]
+    out = running(spark.createDataFrame(rows, "k string, x int, w int"), ["x"], "rank", {"w": "before"}, ["k"])
+    for k in ("a", "b", None):
+        got = sorted((r["rank"], r.x, r.w, r.before) for r in out.collect() if r.k == k)
+        assert [r[0] for r in got] == list(range(1, len(got) + 1)) and [r[1] for r in got] == sorted(x for j, x, _ in rows if j == k)
+        assert [r[3] for r in got] == [sum(r[2] or 0 for r in got[:i]) for i in range(len(got))]
+    assert running(spark.createDataFrame([], "x int"), ["x"], "rank").count() == 0
+
+
+def test_components(spark):
+    from junctura.tables import components
+
+    edges = [(i, i + 1) for i in range(100, 130)] + [(5, 4), (4, 5), (7, 7), (None, 3), (129, 100)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 131)} | {4: 4, 5: 4, 7: 7}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from junctura.tables import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, other=None: {"spark.master": "spark://host:7077"}.get(name, other))
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+
+
+def test_nulls_empties_and_clashing_names(spark):
+    """Null positions, genes and chromosomes, no rows, and columns with the names of inner ones."""
+    schema = "chr int, coord long, mchr int, mcoord long, hits string, component string, count string, n string"
+    rows = [(0, 1500, 0, 5500, "h", "c", "k", "n"), (None, 1500, 0, 5500, "h", "c", "k", "n"), (0, None, 0, 5500, "h", "c", "k", "n"), (0, 1500, None, None, "h", "c", "k", "n")]
+    reads = spark.createDataFrame(rows, schema)
+    genes = spark.createDataFrame([(0, 1000, 2000, 1), (0, 5000, 6000, 2), (None, 0, 9999, 3), (0, None, 5, 4), (0, 1000, 2000, None)], GENES)
+    found = detect.candidates(reads, genes)
+    assert [(r.gene, r.mgene, r.hits, r.component, r["count"], r.n) for r in found.collect()] == [(1, 2, "h", "c", "k", "n")]
+    assert detect.candidates(reads.filter("false"), genes).count() == 0 and detect.candidates(reads, genes.filter("false")).count() == 0
+    held = spark.createDataFrame([(1, 2, i if i else None, 7, True, "s", "x", i) for i in range(8)], "g long, m long, coord long, mcoord long, is_mate boolean, component string, _x string, id int").drop("_x")
+    assert sorted(r.id for r in cover.greedy_cover(held, 5).collect()) == list(range(8))
+    assert sorted(r.id for r in cover.greedy_cover(held, 5, task_reads=0).collect()) == list(range(8))
+    assert cover.greedy_cover(held.filter("false"), 5).count() == 0
+    assert sorted(r.id for r in proximity.l1_neighbours(held, ["g", "m"], "coord", "mcoord", 1).collect()) == list(range(1, 8))
+    assert proximity.l1_neighbours(held.filter("false"), ["g", "m"], "coord", "mcoord", 1).count() == 0
+    again = held.union(held).withColumn("mcoord", F.when(F.col("coord") < 4, 0).otherwise(F.col("mcoord")))
+    kept = clusters.dedup_reads(again, ["id"])
+    assert kept.columns == held.columns and kept.filter("mcoord = 0").count() == 6 and kept.filter("coord >= 4 or coord is null").count() == 5
+    assert clusters.dedup_reads(again.filter("false"), ["id"]).count() == 0
+
+
+def test_header_is_read_from_the_head_of_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sam, "HEAD_ROWS", 2)
+    head = ["@HD", *[f"@SQ\tSN:c{i}\tLN:5" for i in range(30)]]
+    (tmp_path / "a.sam").write_text("\n".join([*head, "r1\t0\tc1", "@late"]))
+    assert [(r.line_no, r.value) for r in sam.header_lines(spark, str(tmp_path / "a.sam")).collect()] == list(enumerate(head, 1))
+    (tmp_path / "b.sam").write_text("\n".join(head))
+    assert sam.header_lines(spark, str(tmp_path / "b.sam")).count() == 31
+    (tmp_path / "c.sam").write_text("")
+    assert sam.header_lines(spark, str(tmp_path / "c.sam")).count() == 0
+
+
+def test_late_lines_equal_carried_ones(spark, tmp_path):
+    write_case(tmp_path)
+    header, chrs, reads = sam.read_sam(spark, str(tmp_path / "in.sam"))
+    tables = refgene.build_reference(refgene.read_refgene(spark, str(tmp_path / "ref.txt")), refgene.read_chromosome_map(spark, str(tmp_path / "names.txt")), chrs)
+    genes, exons, families = tables
+    early = detect.detect(sam.mapped(reads), genes, families, exons, chrs, ["chr", "mchr", "raw"])
+    late = detect.detect(sam.mapped(reads), genes, families, exons, chrs, ["chr", "mchr", "line_key"])
+    assert "raw" not in late.reads.columns
+    text = lambda df: sorted(r.value for r in df.collect())
+    assert text(detect.supporting_lines(late, lines=reads)) == text(detect.supporting_lines(early)) and len(text(detect.supporting_lines(early))) == 16

@@ -1,56 +1,72 @@
-"""Byte-level encoding with a public tokenizer.
+"""Byte-level encoding with the tokenizers library and a public tokenizer file.
 
-Texts in Latin letters go through the ranks file of the same vocabulary, which gives the same ids in less time
-(tests hold both against each other); all others through the tokenizer file. Texts with a special token's content
-go through the tokenizer file as it is (``library_ids``); ``ids`` takes such content as ordinary text.
+All ids come from the library. It splits a text into pre-tokens before it merges, so a text's ids are those of its
+pre-tokens one after another: texts in Latin letters are cut by the file's pattern, and the library encodes only pre-tokens that
+are not in the worker's memo (bounded; started anew when full). Other texts, whose letters two Unicode versions might class
+differently, and texts with a special token's content go to the library whole. Tests hold all of it against the unchanged library.
 """
 
 from __future__ import annotations
 
-import base64
-import functools
 import os
 import re
 
 import numpy as np
-import tiktoken
+import regex
 from tokenizers import Tokenizer
 
+from junctura.llm.common import resident
+
 OTHER = re.compile("[^\x00-ɏ]")
+MEMO_ROWS = 250_000
 
 
 class Coder:
-    def __init__(self, path: str, ranks_path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.latin = tiktoken.Encoding("latin", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.find = regex.compile(pattern).findall
+        self.memo: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> list[int]:
-        if OTHER.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.latin.encode_ordinary(text)
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each pre-token."""
+        memo = self.memo
+        new = list({x for x in parts if x not in memo})
+        if new:
+            if len(memo) + len(new) > MEMO_ROWS:
+                memo.clear()
+                new = list(set(parts))
+            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                memo[x] = np.array(e.ids, "<u2").tobytes()
+        return [memo[x] for x in parts]
 
-    def library_ids(self, text: str) -> list[int]:
-        """Ids of the tokenizer file's default setting: contents of added tokens become those tokens."""
-        if not any(a in text for a in self.added):
-            return self.ids(text)
-        self.tokenizer.encode_special_tokens = False
-        try:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        finally:
-            self.tokenizer.encode_special_tokens = True
+    def _whole(self, text: str, ordinary: bool) -> bytes:
+        self.tokenizer.encode_special_tokens = ordinary
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def counts(self, parts: list[str]) -> list[int]:
+        """Number of ids of each pre-token, special tokens' contents as ordinary text."""
+        if any(OTHER.search(x) for x in set(parts)):
+            return [len(self.ids(x)) for x in parts]
+        return [len(x) // 2 for x in self._parts(parts)]
 
     def packed(self, text: str) -> bytes:
-        """``library_ids`` as little-endian 16-bit integers."""
-        return np.array(self.library_ids(text), "<u2").tobytes()
+        """Ids of the library's default setting as little-endian 16-bit integers: contents of added tokens become those tokens."""
+        if OTHER.search(text) or any(a in text for a in self.added):
+            return self._whole(text, False)
+        return b"".join(self._parts(self.find(text)))
+
+    def library_ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u2").tolist()
+
+    def ids(self, text: str) -> list[int]:
+        """Ids with special tokens' contents as ordinary text."""
+        data = self._whole(text, True) if OTHER.search(text) else b"".join(self._parts(self.find(text)))
+        return np.frombuffer(data, "<u2").tolist()
 
 
-@functools.lru_cache(maxsize=2)
-def coder(path: str, ranks_path: str, pattern: str) -> Coder:
-    return Coder(path, ranks_path, pattern)
+def coder(path: str, pattern: str) -> Coder:
+    return resident(("bytes", path, pattern), lambda: Coder(path, pattern))

@@ -1,22 +1,23 @@
 """Edit-aware token counts over pre-token segment trees.
 
 A document keeps a segment tree over its pre-tokens: leaves hold character lengths and token counts, inner nodes
-their sums. Ends of leaves are ends of pre-tokens. An edit finds its leaf by descending over character sums, cuts text
+their sums. ``build_trees`` stores the leaves beside the text; ``edit_trees`` opens stored trees for later edits and gives them
+back for the next ones, so that a text is encoded as a whole only once. An edit finds its leaf by descending over character sums, cuts text
 into pre-tokens anew from BACK characters before the edit until a cut falls on an old one behind the edit, encodes
-only these, puts their sums into the first touched leaf, empties the other touched ones and updates the sums above.
+only these, puts each into a leaf of its own (touched leaves first; where they are too few, leaves are dealt anew, without
+encoding) and updates the sums above.
 
 Why this is exact: the pattern never looks back, so pre-tokens from a cut on depend on the text behind it
 alone, and it looks at most two characters beyond a pre-token's end, so those that end BACK characters before an
 edit stay.
 
 Null texts count as empty. Edits of a row (start, end, text) apply one after another to the text as it then is;
-positions are code points and are clipped to it. Null edits change nothing.
+positions are code points and are clipped to it; equal edits apply each. Null edits change nothing. Rows with null or repeated ids are rows like
+others; no rows give no rows; other columns are ignored. Special tokens' contents count as ordinary text.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,33 +27,30 @@ from pyspark.sql import functions as F
 from junctura.llm.bpe import Coder, coder
 from junctura.llm.common import documents, map_batches
 from junctura.llm.token_store import tokenizer
+from junctura.tables import cut
 
-BACK, MEMO_ROWS = 3, 250_000
+BACK = 3
+EDIT = "array<struct<start:int,end:int,text:string>>"
 
 
 class Counter:
-    """Pre-tokens of text and their token counts, remembered."""
+    """Pre-tokens of text and their token counts."""
 
     def __init__(self, encode: Coder, pattern: str) -> None:
         self.encode, self.find = encode, regex.compile(pattern)
-        self.memo: dict[str, int] = {}
 
-    def count(self, token: str) -> int:
-        n = self.memo.get(token)
-        if n is None:
-            if len(self.memo) >= MEMO_ROWS:
-                self.memo.clear()
-            n = self.memo[token] = len(self.encode.ids(token))
-        return n
+    def parts(self, text: str) -> tuple[list[int], list[int]]:
+        """(characters, tokens) of each pre-token of ``text``."""
+        parts = self.find.findall(text)
+        return list(map(len, parts)), self.encode.counts(parts)
 
 
-@functools.lru_cache(maxsize=2)
-def counter(files: tuple[str, str, str]) -> Counter:
-    return Counter(coder(*files), files[2])
+def counter(files: tuple[str, str]) -> Counter:
+    return Counter(coder(*files), files[1])
 
 
 class PretokenTree:
-    """Sums over pre-tokens in heap order: node 1 is the root, node i has children 2i and 2i + 1, leaf k is node cap + k."""
+    """Sums over pre-tokens in heap order: node 1 is the root, node i has children 2i and 2i + 1, leaf k is node cap + k; a leaf without characters is free."""
 
     def __init__(self, lengths: list[int], counts: list[int]) -> None:
         self.size = max(1, len(lengths))
@@ -70,9 +68,12 @@ class PretokenTree:
 
     @classmethod
     def of(cls, text: str, counts: Counter) -> PretokenTree:
-        parts = counts.find.findall(text)
-        known = counts.memo.get
-        return cls(list(map(len, parts)), [known(p) or counts.count(p) for p in parts])
+        return cls(*counts.parts(text))
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, tokens) of the leaves that are not free."""
+        chars, tokens = self.chars[self.cap :], self.tokens[self.cap :]
+        return chars[chars > 0], tokens[chars > 0]
 
     def total(self) -> int:
         return int(self.tokens[1])
@@ -104,57 +105,95 @@ class PretokenTree:
         shift = len(after) - len(text)
         leaf, begin = self.leaf_at(start - BACK)
         last, old = leaf, begin + self.chars[leaf + self.cap]  # the old text ends at ``old`` after leaf ``last``
-        encoded, tokens, at = 0, 0, begin
+        parts, at = [], begin
         for m in counts.find.finditer(after, begin):
             while last + 1 < self.size and (old < end or old + shift < at):
                 last += 1
                 old += self.chars[last + self.cap]
-            if old >= end and old + shift == at >= start + len(new) and encoded:
+            if old >= end and old + shift == at >= start + len(new) and parts:
                 break
-            encoded += 1
-            tokens += counts.count(m[0])
+            parts.append(m[0])
             at = m.end()
         else:
             last = self.size - 1
-        self._set(leaf, at - begin, tokens)
-        for i in range(leaf + 1, last + 1):
-            if self.chars[i + self.cap]:
-                self._set(i, 0, 0)
-        return after, encoded
+        self._replace(leaf, last, [len(x) for x in parts], counts.encode.counts(parts))
+        return after, len(parts)
+
+    def _replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Leaves ``first`` to ``last`` become these, one a pre-token."""
+        if len(chars) <= last - first + 1:
+            for k in range(first, last + 1):
+                i = k - first
+                c, t = (chars[i], tokens[i]) if i < len(chars) else (0, 0)
+                if c or self.chars[k + self.cap]:
+                    self._set(k, c, t)
+            return
+        a, b = self.cap + first, self.cap + last + 1
+        held = np.concatenate([self.chars[self.cap : a], chars, self.chars[b : self.cap + self.size]]), np.concatenate([self.tokens[self.cap : a], tokens, self.tokens[b : self.cap + self.size]])
+        used = held[0] > 0
+        self.__init__(held[0][used], held[1][used])
+
+
+def build_trees(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, chars, tokens): each text (null: empty) with the leaves of its tree, to be stored."""
 
+    def make(batch: pa.RecordBatch) -> dict:
+        counts = counter(files)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        chars, tokens = zip(*map(counts.parts, texts), strict=True)
+        return {"doc_id": batch.column(0), "text": texts, "chars": chars, "tokens": tokens}
 
-def edited_counts(rows: DataFrame, files: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """(doc_id, n_tokens, n_pretokens, after, encoded, text): counts before, and after each edit, with the pre-tokens each encoded, and the final text.
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id", "text"], make, "doc_id long, text string, chars array<int>, tokens array<int>")
 
+
+def edit_trees(trees: DataFrame, files: tuple[str, str], edits_col: str = "edits") -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, after, encoded, text, chars, tokens) of stored trees (see ``build_trees``) with a column of edits.
+
+    Counts before, and after each edit, with the pre-tokens each encoded; then the text and leaves after all edits.
     ``edits``: array<struct<start, end, text>>.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
         counts = counter(files)
-        names = ("n_tokens", "n_pretokens", "after", "encoded", "text")
+        names = ("n_tokens", "n_pretokens", "after", "encoded", "text", "chars", "tokens")
         out = []
-        for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            now = text or ""
-            tree = PretokenTree.of(now, counts)
-            n, parts = tree.total(), tree.size if now else 0
+        for now, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            tree = PretokenTree(chars, tokens)
+            n, parts = tree.total(), len(chars)
             after, encoded = [], []
             for e in edits or []:
                 if e is not None:
                     now, k = tree.edit(now, e["start"] or 0, e["end"] or 0, e["text"] or "", counts)
                     encoded.append(k)
                     after.append(tree.total())
-            out.append((n, parts, after, encoded, now))
+            out.append((n, parts, after, encoded, now, *tree.leaves()))
         return {"doc_id": batch.column(0)} | dict(zip(names, zip(*out, strict=True), strict=True))
 
-    ready = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
-    return map_batches(ready, ["id", "text", "edits"], make, "doc_id long, n_tokens long, n_pretokens long, after array<bigint>, encoded array<bigint>, text string")
+    ready = trees.select("doc_id", "text", "chars", "tokens", F.col(edits_col).cast(EDIT).alias("edits"))
+    return map_batches(ready, ready.columns, make, "doc_id long, n_tokens long, n_pretokens long, after array<bigint>, encoded array<bigint>, text string, chars array<int>, tokens array<int>")
+
+
+def edited_counts(rows: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, after, encoded, text) of rows without a stored tree: it is built and edited at once."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        counts = counter(files)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "text": texts, "edits": batch.column(2)} | dict(zip(("chars", "tokens"), zip(*map(counts.parts, texts), strict=True), strict=True))
+
+    ready = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDIT).alias("edits"))
+    built = map_batches(ready, ready.columns, make, f"doc_id long, text string, chars array<int>, tokens array<int>, edits {EDIT}")
+    return edit_trees(built, files).drop("chars", "tokens")
 
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every whole document before and after three edits: an insertion at a third, a deletion at the half, a replacement at two thirds of its length."""
-    n = F.length(F.coalesce("text", F.lit("")))
+    """Counts of every whole document before and after three edits: an insertion at a third, a deletion at the half, a replacement at two thirds of its length.
+
+    The trees are stored first; the edits open them.
+    """
+    trees = cut(build_trees(documents(spark, sf_dir), tokenizer()), "trees")
+    n = F.length("text")
     edit = lambda at, size, text: F.struct(F.floor(at).cast("int").alias("start"), (F.floor(at) + size).cast("int").alias("end"), F.lit(text).alias("text"))
-    docs = documents(spark, sf_dir).withColumn("edits", F.array(edit(n / 3, 0, " [note 1]\n"), edit(n / 2, 5, ""), edit(n * 2 / 3, 3, "é's  ")))
-    found = edited_counts(docs, tokenizer())
+    found = edit_trees(trees.withColumn("edits", F.array(edit(n / 3, 0, " [note 1]\n"), edit(n / 2, 5, ""), edit(n * 2 / 3, 3, "é's  "))), tokenizer())
     total = F.aggregate("encoded", F.lit(0).cast("long"), lambda a, b: a + b)
     return found.select("doc_id", "n_tokens", "n_pretokens", *[F.get("after", F.lit(k)).alias(f"n_after_{k + 1}") for k in range(3)], total.alias("n_encoded"), F.sha2("text", 256).alias("text_sha256"))

@@ -1,13 +1,15 @@
 """Licence scans over a positional rare-token index, in DataFrame functions only.
 
-The index lists, for every word of the licence templates, its IDF over the templates and its postings (template,
-position). All of a file's licence words are looked up (the index is small, so their postings are bounded), and their
-places minus the postings' positions give offsets: words of one template at one offset stand as they do in the
-template. An offset's share of the IDF of the template's RARE rarest words is its score. A label counts if at some
-offset the score reaches LEAST and the template's mandatory phrase stands; the best such offset gives its score.
-
-Everything happens within a row: no shuffle, no keys, so null or repeated ids do no harm. Only texts with a
-word that every phrase here needs are cut into words (a necessary condition). Null and empty texts have none.
+The index holds, for every licence template, its RARE highest-IDF words (of equal ones the longer) with the positions where they
+stand: word -> IDF and postings (template, position). All of a file's words that are in the index are looked up (the index is small, so their
+postings are bounded), and their places minus the postings' positions give offsets: words of one template at one offset stand as they
+do in the template. An offset's share of the IDF of the template's indexed words is its score. A label counts if at some
+offset the score reaches LEAST and the template's mandatory phrase stands; the best such offset gives its score, and
+equal ones give the same.
+
+Everything happens within a row: no shuffle, no keys, so null or repeated ids and repeated rows do no harm; other columns are
+ignored; no rows give no rows. Only texts with a word that each phrase here needs are cut into words (a necessary
+condition that is made from the phrases). Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -36,11 +38,23 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("agpl", "gnu affero general public license", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common development and distribution license", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl", "boost software license", "distributed under the boost software license version 1 0"),
+    ("cc0", "cc0 1 0 universal", "to the extent possible under law the author has waived all copyright and related rights under cc0 1 0 universal"),
+    ("cc-by-sa", "cc by sa", "this work is licensed under cc by sa 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("artistic", "artistic license", "you may redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("eupl", "european union public licence", "licensed under the european union public licence"),
+    ("ofl", "sil open font license", "this font software is licensed under the sil open font license version 1 1"),
+    ("wtfpl", "do what the fuck you want to public license", "everyone is permitted to copy and distribute verbatim or modified copies under the do what the fuck you want to public license"),
+    ("ms-pl", "microsoft public license", "this code is licensed under the microsoft public license"),
+    ("psf", "psf license agreement", "licensed to you under the terms of the psf license agreement for python"),
 )
-#: Function words and numbers are left out of the index: IDF over a few templates cannot tell that prose is full of them.
-COMMON = "0 2 3 4 a an and any are as at be by can for form free if in into is it may not of or out s that the this to under use v was with without work you".split()
-#: Every phrase above holds one of these.
-NEEDED = r"(?i)licen|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|permission[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+is|redistribution|creative|unencumbered"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,16 +63,29 @@ RARE, LEAST = 12, 0.6
 
 @functools.cache
 def index() -> tuple[dict[str, tuple[float, list[tuple[int, int]]]], list[float]]:
-    """(word -> (IDF, postings), by template: IDF of its RARE highest words)."""
+    """(word -> (IDF, postings), by template: IDF of its indexed words at all their positions)."""
     words = [t.split() for _, _, t in TEMPLATES]
-    postings: dict[str, list[tuple[int, int]]] = {}
+    idf = {w: math.log(1 + len(words) / sum(w in ws for ws in words)) for ws in words for w in ws}
+    table: dict[str, tuple[float, list[tuple[int, int]]]] = {}
+    most = []
     for t, ws in enumerate(words):
+        rare = set(sorted(set(ws), key=lambda w: (-idf[w], -len(w), w))[:RARE])
+        most.append(sum(idf[w] for w in ws if w in rare))
         for p, w in enumerate(ws):
-            if w not in COMMON:
-                postings.setdefault(w, []).append((t, p))
-    idf = {w: math.log(1 + len(words) / len({t for t, _ in ps})) for w, ps in postings.items()}
-    most = [sum(sorted((idf[w] for w in ws if w in idf), reverse=True)[:RARE]) for ws in words]
-    return {w: (idf[w], ps) for w, ps in postings.items()}, most
+            if w in rare:
+                table.setdefault(w, (idf[w], []))[1].append((t, p))
+    return table, most
+
+
+@functools.cache
+def needed() -> str:
+    """A pattern that every text with one of the phrases matches: each phrase's longest word, or the whole phrase if its words are short."""
+    wanted = set()
+    for phrase in (*(p for p, _ in BASE), *(p for _, p, _ in TEMPLATES)):
+        longest = max(phrase.split(), key=len)
+        wanted.add(longest if len(longest) > 3 else GAP.join(phrase.split()))
+    least = [w for w in wanted if not any(v != w and v in w for v in wanted)]
+    return "(?i)" + "|".join(sorted(least))
 
 
 def words_of(text: Column) -> Column:
@@ -108,7 +135,7 @@ def found_templates(scores: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row; other columns are ignored."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), GAP, "")).cast("long").alias("n_words"), F.when(text.rlike(NEEDED), words_of(text)).alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), GAP, "")).cast("long").alias("n_words"), F.when(text.rlike(needed()), words_of(text)).alias("words"))
     places = rows.withColumns({f"p{k}": starts(F.col("words"), phrase) for k, (phrase, _) in enumerate(BASE)}).withColumn("scores", F.when(F.col("words").isNotNull(), template_scores(F.col("words"))))
     found = places.withColumn("found", F.when(F.col("scores").isNotNull(), found_templates(F.col("scores"))))
     at = F.flatten(F.array(*[F.col(f"p{k}") for k in range(len(BASE))]))

@@ -4,22 +4,27 @@ Items and documents are sequences of words (ASCII letters, digits and non-ASCII;
 spaces separate). A document holds an item when some run of its words is within ``max_edits`` (a share of
 the item's words, 0.2 by default) of the whole item in word edit distance.
 
-Items of fewer than LONG words are found without loss: with k edits allowed, one of an item's k + 1 parts stands
-unchanged in every occurrence, and all places of all parts are looked up. Long items' candidates come from a CGK
-random walk: the walk reads a word, writes it, and steps on or stays by a random
-bit of that word and step, so that a bounded edit distance becomes a bounded Hamming distance between walks.
-Walks start at every word of an item and at every fourth word of a document; LSH keys take some of the
-written positions; repetitions use new walks and positions. Each candidate is then verified by the exact
-semi-global edit distance (bit-parallel) between the whole item and the words around it.
+Candidates come from a CGK random walk: the walk reads a word, writes it, and steps on or stays by a random
+bit of that word and step, so that a bounded edit distance becomes a bounded Hamming distance between walks. LSH keys take
+some of the written positions; repetitions use new walks. Each candidate is then verified by the exact
+semi-global edit distance (bit-parallel) between the whole item and the words around it, which also gives its place.
+
+* Items of LONG words or more: walks of STEPS steps start at every word of an item and at every fourth word of a document; keys take
+  SAMPLE of the steps, in REPS repetitions.
+* Shorter items have few words, so their keys take the whole of short walks that start at every word of both sides: with k edits allowed some
+  s = (n - k) / (k + 1) words, rounded up, stand unchanged in a row, and a walk of s steps reads no more, so no occurrence is lost. Of
+  SHORT_REPS walks an item uses, at each of its words, the one that reads the most words there: it is the most telling.
 
 ``benchmark`` is a query set: it is cut into blocks of bounded bytes, each indexed on the driver and sent with
 the task closure, and every block meets all documents. Documents are never shuffled.
 
-Null or wordless texts hold nothing; items without words are never found; null ids are passed on as they are.
+Null or wordless texts hold nothing; items without words are never found; null ids, of items too, are passed on as they are, and
+rows and items that repeat are found each. No documents or no items give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,83 +32,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import blocks, documents, map_batches, map_rows
+from junctura.llm.common import blocks, documents, map_batches, map_rows, texts_of
 from junctura.llm.words import U64, mix, splitmix, word_hashes
 
 MAX_EDITS = 0.2
-#: Items of LONG words or more (shorter ones are cut into parts): walks of STEPS steps (about STEPS / 2 words) start at each word of an item
-#: and at every STRIDE-th word of a text, so an occurrence of n words has about (n - STEPS / 2) / STRIDE tries of REPS keys.
 LONG, STEPS, STRIDE, SAMPLE, REPS = 20, 16, 4, 4, 10
-BLOCK_BYTES, ITEM_BYTES = 1 << 21, 8 << 20
+SHORT_STEPS, SHORT_REPS = 4, 8
+#: Bytes of texts worked on at once, and of an indexed block of items: an index takes about 25 bytes for each.
+BLOCK_BYTES, ITEM_BYTES = 1 << 21, 2 << 20
 PAD = 512
 
 
-@dataclass
-class Level:
-    """Walks with their stride and, for each repetition, sampled steps, sorted keys and what they stand for."""
-
-    steps: int
-    stride: int
-    keys: list[np.ndarray]
-    item: list[np.ndarray]
-    offset: list[np.ndarray]
-    bits: list[np.ndarray]
-    samples: list[set[int]]
+class Keys:
+    """Sorted LSH keys, and for each the item and the word of it that it stands for."""
 
+    def __init__(self, keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.offset = keys[order], np.asarray(item, np.int32)[order], np.asarray(offset, np.int32)[order]
+        # by a key's high bits, whether any key has them
+        self.shift = U64(64 - min(20, max(10, len(keys).bit_length() + 4)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(self.keys >> self.shift).astype(np.int64)] = True
 
-@dataclass
-class Parts:
-    """Parts of one length: sorted keys, and the item and the place in it that each stands for."""
-
-    size: int
-    keys: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
-    bits: np.ndarray
+    def meet(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ``keys``, entries) of all equal pairs."""
+        near = np.flatnonzero(self.bits[(keys >> self.shift).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, keys[near], "left"), np.searchsorted(self.keys, keys[near], "right")
+        n = hi - lo
+        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
+        return np.repeat(near, n), entry
 
 
 @dataclass
 class Index:
+    """Ids and words of the items; keys of the long items' walks by repetition; keys of the short ones' by repetition and steps."""
+
     ids: list
-    words: list[list[int]]
-    levels: list[Level]
-    parts: list[Parts]
+    words: list[np.ndarray]
+    long_: list[Keys]
+    short: dict[tuple[int, int], Keys]
     max_edits: float
 
 
-def run_keys(words: np.ndarray, size: int) -> np.ndarray:
-    """Keys of all runs of ``size`` words."""
-    n = max(0, len(words) - size + 1)
-    keys = np.full(n, size, U64)
-    for k, scale in enumerate(splitmix(size, 7000) | U64(1)):
-        keys += words[k : k + n] * scale
-    return mix(keys)
-
-
-def present(keys: np.ndarray) -> np.ndarray:
-    """By the high bits of a key, whether any of ``keys`` has them."""
-    bits = np.zeros(1 << 20, bool)
-    bits[(keys >> U64(44)).astype(np.int64)] = True
-    return bits
-
-
-def short_parts(runs: list[np.ndarray], chosen: list[int], max_edits: float) -> list[Parts]:
-    """Each chosen item in one part more than it may have edits."""
-    rows: dict[int, list[tuple[int, int, int]]] = {}
-    for i in chosen:
-        w = runs[i]
-        n = min(len(w), int(max_edits * len(w)) + 1)
-        edges = [len(w) * k // n for k in range(n + 1)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows.setdefault(b - a, []).append((int(run_keys(w[a:b], b - a)[0]), i, a))
-    out = []
-    for size, found in sorted(rows.items()):
-        found.sort()
-        keys = np.array([k for k, _, _ in found], U64)
-        out.append(Parts(size, keys, np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]), present(keys)))
-    return out
-
-
 def walk_keys(words: np.ndarray, starts: np.ndarray, steps: int, rep: int, samples: set[int]) -> np.ndarray:
     """LSH keys of CGK walks from ``starts``; ``words`` must go on for ``steps`` words after the last start."""
     at, key = starts.copy(), np.full(len(starts), rep + 1, U64)
@@ -125,43 +95,58 @@ def _samples(steps: int, size: int, rep: int) -> set[int]:
     return {j * room + int(r % U64(max(1, room - 1))) for j, r in enumerate(splitmix(size, 5000 + 97 * rep))}
 
 
+def short_walks(words: np.ndarray, starts: np.ndarray, rep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, words moved on) of walks from ``starts`` after 1, 2, ... SHORT_STEPS steps."""
+    at, key = starts.copy(), np.full(len(starts), rep + 1, U64)
+    for turn in splitmix(SHORT_STEPS, 3000 + rep) | U64(1):
+        word = words[at]
+        key = (key ^ word) * U64(0x9E3779B97F4A7C15)
+        key ^= key >> U64(32)
+        yield mix(key), at - starts
+        at = at + ((word * turn) >> U64(63)).view(np.int64)
+
+
+def _long_keys(runs: list[np.ndarray], chosen: list[int]) -> list[Keys]:
+    padded = [np.concatenate([runs[i], splitmix(STEPS + 1, 9000 + i)]) for i in chosen]
+    base = np.cumsum([0, *(len(p) for p in padded)])[:-1]
+    text = np.concatenate(padded)
+    tries = [max(1, len(runs[i]) - STEPS // 2 + 1) for i in chosen]
+    starts = np.concatenate([b + np.arange(n) for b, n in zip(base, tries, strict=True)])
+    item, offset = np.repeat(chosen, tries), np.concatenate([np.arange(n) for n in tries])
+    return [Keys(walk_keys(text, starts, STEPS, rep, _samples(STEPS, SAMPLE, rep)), item, offset) for rep in range(REPS)]
+
+
+def _short_keys(runs: list[np.ndarray], chosen: list[int], max_edits: float) -> dict[tuple[int, int], Keys]:
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for i in chosen:
+        n, k = len(runs[i]), int(max_edits * len(runs[i]))
+        steps = min(SHORT_STEPS, max(1, -(-(n - k) // (k + 1))))
+        starts = np.arange(n - steps + 1)
+        text = np.concatenate([runs[i], splitmix(SHORT_STEPS, 9000 + i)])
+        walks = [list(short_walks(text, starts, rep))[steps - 1] for rep in range(SHORT_REPS)]
+        best = np.argmax([moved for _, moved in walks], axis=0)
+        for o in starts.tolist():
+            rep = int(best[o])
+            found.setdefault((rep, steps), []).append((int(walks[rep][0][o]), i, o))
+    return {at: Keys(*(np.array(x, t) for x, t in zip(zip(*rows, strict=True), (U64, np.int32, np.int32), strict=True))) for at, rows in found.items()}
+
+
 def build_index(items: list[tuple[object, str]], max_edits: float = MAX_EDITS) -> Index:
     hashed, first = word_hashes([(t or "").encode() for _, t in items], letters_only=True)
     runs = [hashed[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     long_ = [i for i, w in enumerate(runs) if len(w) >= LONG]
     short = [i for i, w in enumerate(runs) if 0 < len(w) < LONG]
-    levels = []
-    if long_:
-        level = Level(STEPS, STRIDE, [], [], [], [], [])
-        padded = [np.concatenate([runs[i], splitmix(STEPS + 1, 9000 + i)]) for i in long_]
-        base = np.cumsum([0, *(len(p) for p in padded)])[:-1]
-        text = np.concatenate(padded)
-        tries = [max(1, len(runs[i]) - STEPS // 2 + 1) for i in long_]
-        starts = np.concatenate([b + np.arange(n) for b, n in zip(base, tries, strict=True)])
-        item = np.repeat(long_, tries)
-        offset = np.concatenate([np.arange(n) for n in tries])
-        for rep in range(REPS):
-            samples = _samples(STEPS, SAMPLE, rep)
-            keys = walk_keys(text, starts, STEPS, rep, samples)
-            order = np.argsort(keys, kind="stable")
-            level.keys.append(keys[order])
-            level.item.append(item[order])
-            level.offset.append(offset[order])
-            level.bits.append(present(keys))
-            level.samples.append(samples)
-        levels.append(level)
-    return Index([i for i, _ in items], [w.tolist() for w in runs], levels, short_parts(runs, short, max_edits), max_edits)
+    return Index([i for i, _ in items], runs, _long_keys(runs, long_) if long_ else [], _short_keys(runs, short, max_edits), max_edits)
 
 
-def edit_distance_within(item: list[int], text: list[int]) -> int:
-    """Least word edit distance between ``item`` and any run of ``text`` (bit-parallel, one column a word)."""
+def _columns(item: list[int], text: Iterable[int], anchored: bool) -> Iterator[int]:
+    """Edit distance of ``item`` and the words of ``text`` up to each word: from the first one if ``anchored``, else from the best one."""
     m = len(item)
     full, high = (1 << m) - 1, 1 << (m - 1)
     places: dict[int, int] = {}
     for i, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << i
     up, down, score = full, 0, m
-    best = m
     for w in text:
         eq = places.get(w, 0)
         across = (((eq & up) + up) ^ up) | eq
@@ -170,10 +155,26 @@ def edit_distance_within(item: list[int], text: list[int]) -> int:
             score += 1
         elif minus & high:
             score -= 1
-        plus, minus = plus << 1, minus << 1
+        plus, minus = plus << 1 | anchored, minus << 1
         up, down = (minus | ~(eq | down | plus)) & full, plus & (eq | down) & full
-        best = min(best, score)
-    return best
+        yield score
+
+
+def edit_distance_within(item: list[int], text: list[int]) -> int:
+    """Least word edit distance between ``item`` and any run of ``text`` (bit-parallel, one column a word)."""
+    return min(_columns(item, text, False), default=len(item)) if text else len(item)
+
+
+def locate(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
+    """(distance, first word) of the first best place of ``item`` in ``text``, if that is within ``most``."""
+    best, end = len(item), 0
+    for j, score in enumerate(_columns(item, text, False), 1):
+        if score < best:
+            best, end = score, j
+    if best > most:
+        return None
+    back = _columns(item[::-1], reversed(text[:end]), True)
+    return best, end - next((j for j, score in enumerate(back, 1) if score == best), 0)
 
 
 def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -> list[list[tuple[int, int, int]]]:
@@ -185,36 +186,34 @@ def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -
     doc_of = np.repeat(np.arange(len(texts)), count)
     within = np.arange(len(words)) - np.repeat(first[:-1], count)
     padded = np.concatenate([words, splitmix(PAD, 31337)])
-    found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     seen: set[tuple[int, int, int]] = set()
-    for level in index.levels:
-        starts = np.flatnonzero(within % level.stride == 0)
-        for rep in range(REPS):
-            for at in range(0, len(starts), 1 << 15):
-                part = starts[at : at + (1 << 15)]
-                keys = walk_keys(padded, part, level.steps, rep, level.samples[rep])
-                near = np.flatnonzero(level.bits[rep][(keys >> U64(44)).astype(np.int64)])
-                if not len(near):
-                    continue
-                lo, hi = np.searchsorted(level.keys[rep], keys[near], "left"), np.searchsorted(level.keys[rep], keys[near], "right")
-                for p, a, b in zip(part[near[hi > lo]].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    d = int(doc_of[p])
-                    for e in range(a, b):
-                        seen.add((d, int(level.item[rep][e]), p - int(level.offset[rep][e])))
-    for parts in index.parts:
-        keys = run_keys(words, parts.size)
-        near = np.flatnonzero(parts.bits[(keys >> U64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(parts.keys, keys[near], "left"), np.searchsorted(parts.keys, keys[near], "right")
-        for p, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for e in range(a, b):
-                seen.add((int(doc_of[p]), int(parts.item[e]), p - int(parts.offset[e])))
+
+    def note(starts: np.ndarray, keys: np.ndarray, held: Keys) -> None:
+        number, entry = held.meet(keys)
+        if len(number):
+            p = starts[number]
+            seen.update(zip(doc_of[p].tolist(), held.item[entry].tolist(), (p - held.offset[entry]).tolist(), strict=True))
+
+    strided = np.flatnonzero(within % STRIDE == 0)
+    for rep, held in enumerate(index.long_):
+        for at in range(0, len(strided), 1 << 15):
+            part = strided[at : at + (1 << 15)]
+            note(part, walk_keys(padded, part, STEPS, rep, _samples(STEPS, SAMPLE, rep)), held)
+    for rep in sorted({rep for rep, _ in index.short}):
+        for at in range(0, len(words), 1 << 15):
+            part = np.arange(at, min(len(words), at + (1 << 15)))
+            for steps, (keys, _) in enumerate(short_walks(padded, part, rep), 1):
+                if (rep, steps) in index.short:
+                    note(part, keys, index.short[rep, steps])
+    found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
     for d, i, begin in sorted(seen):
-        item = index.words[i]
+        item = index.words[i].tolist()
         k = int(max_edits * len(item))
         lo, hi = max(int(first[d]), begin - 2 * k - 1), min(int(first[d + 1]), begin + len(item) + 2 * k + 1)
-        distance = edit_distance_within(item, words[lo:hi].tolist())
-        if distance <= k and (i not in found[d] or distance < found[d][i][0]):
-            found[d][i] = (distance, max(0, begin - int(first[d])))
+        place = locate(item, words[lo:hi].tolist(), k)
+        if place:
+            x, w = place[0], place[1] + lo - int(first[d])
+            found[d][i] = min(found[d].get(i, (x, w)), (x, w))
     return [sorted((i, x, w) for i, (x, w) in f.items()) for f in found]
 
 
@@ -224,7 +223,7 @@ def _indexes(items: DataFrame, id_col: str, text_col: str, max_edits: float):
     n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES
     for k in range(n):
         block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield build_index(sorted((r.id, r.text) for r in block.filter("id is not null").collect()), max_edits)
+        yield build_index(sorted(((r.id, r.text) for r in block.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), max_edits)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
@@ -234,8 +233,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         def make(batch: pa.RecordBatch, index: Index = index) -> dict:
             rows: list[tuple] = []
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for start, part in blocks(texts, BLOCK_BYTES):
+            for start, part in blocks(texts_of(batch.column(1)), BLOCK_BYTES):
                 for d, held in enumerate(find_items(index, part, max_edits)):
                     rows += [(batch.column(0)[start + d].as_py(), index.ids[i], x, w, len(index.words[i])) for i, x, w in held]
             return dict(zip(("doc_id", "item_id", "distance", "at_word", "item_words"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True))
@@ -250,8 +248,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_
     for index in _indexes(items, "item_id", "text", max_edits):
 
         def change(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            clean = [not held for _, part in blocks(texts, BLOCK_BYTES) for held in find_items(index, part, max_edits)]
+            clean = [not held for _, part in blocks(texts_of(batch.column("text")), BLOCK_BYTES) for held in find_items(index, part, max_edits)]
             return batch.filter(pa.array(clean, pa.bool_()))
 
         docs = map_rows(docs, change)

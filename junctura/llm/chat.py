@@ -5,19 +5,23 @@ Grammar of a formatted conversation (all of it, no other text)::
     conversation = turn*
     turn         = '<turn role="' role '" esc="' ( "0" | "1" ) '">\\n' body '\\n</turn>\\n'
 
-A body holds no '</turn>' and no '<turn' (the parser refuses the latter). A text is first written as it is (esc="0"). The
-rendered conversation is parsed again and its turns are compared with the source; where they differ,
-texts with control strings are written escaped (esc="1"): '\\' as '\\b', then '<' as '\\l', which leaves no control
-string and is undone in the opposite order. Roles are always escaped so, with '"' as '\\q' and '>' as '\\g' too.
-The second parse must give the source, else the conversation is reported with ``ok`` false.
-
-Turns are ordered by turn, then role and text; null roles and texts count as empty; rows without a conversation id
-form one conversation. The loss mask covers the bodies of assistant turns. A conversation becomes one value by
-definition; its rows are rendered before they are gathered, so that only finished strings meet.
+A body holds no '</turn>' and no '<turn'; an escaped one holds no '<'; a role holds none of '"<>'. The parser checks
+each turn against this and gives a null text for one that breaks it, so that such a conversation never equals its source.
+
+A conversation is first written as it is (all turns esc="0"), parsed again and compared with the source. Where they differ,
+turns with control strings are written escaped (esc="1"): '\\' as '\\b', then '<' as '\\l', which leaves no control
+string and is undone in the opposite order; if they still differ, all turns are. Each try is made only for conversations that
+the one before did not give back, and ``ok`` says whether the last one did. Roles are always escaped so, with '"' as '\\q' and '>' as '\\g' too.
+
+Turns are ordered by turn, then role and text, so ties have one order and equal rows stand next to each other; null roles and
+texts count as empty; rows without a conversation id form one conversation; no rows give no conversations; other columns are ignored.
+The loss mask covers the bodies of assistant turns. A conversation becomes one value by definition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +47,31 @@ def render_turn(role: Column, text: Column, escape: Column) -> Column:
     return F.concat(F.lit('<turn role="'), _swap(role, ROLE), F.lit('" esc="'), F.when(escape, "1").otherwise("0"), F.lit('">\n'), body, F.lit(END))
 
 
+HEAD = r'<turn role="[^"<>]*" esc="[01]">\n'
+
+
 def parse(formatted: Column) -> Column:
-    """array<struct<role, text, body>> of the turns of a formatted conversation, by the grammar alone."""
-    chunks = F.filter(F.split(formatted, "</turn>", -1), lambda c: c != "\n")
+    """array<struct<role, text, body, head, size>> of the turns of a formatted conversation, by the grammar alone; null parts where it is broken."""
+    chunks = F.split(formatted, "</turn>", -1)
+    whole = F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))
+    # each step names its values once, so that nothing is computed again for each use
+    lines = F.transform(whole, lambda c, i: F.when(i == 0, c).when(c.startswith("\n"), F.substr(c, F.lit(2))))  # without the line break of the end before
+    heads = F.transform(lines, lambda c: F.struct(c.alias("c"), c.rlike(rf"\A{HEAD}(?s:.*)\n\z").alias("sound"), F.substring_index(c, '">\n', 1).alias("head")))
+    bodies = F.transform(heads, lambda t: F.struct(t["sound"], t["head"], F.length(t["c"]).alias("length"), F.substr(t["c"], F.length(t["head"]) + 4, F.length(t["c"]) - F.length(t["head"]) - 4).alias("raw"), t["head"].endswith('esc="1').alias("escaped")))
 
-    def turn(c: Column) -> Column:
-        c = F.regexp_replace(c, r"\A\n|\n\z", "")  # the end of the turn before, the line break before the end of this one
-        head = F.substring_index(c, '">\n', 1)
-        raw = F.substr(c, F.length(head) + F.lit(4))
-        role = F.substring_index(F.substr(head, F.lit(len('<turn role="') + 1)), '" esc="', 1)
-        text = F.when(head.endswith('esc="1'), _swap(raw, _undo(BODY))).when(~raw.contains("<turn"), raw)
-        return F.struct(_swap(role, _undo(ROLE)).alias("role"), text.alias("text"), raw.alias("body"), F.length(c).alias("size"), F.length(head).alias("head"))
+    def turn(t: Column) -> Column:
+        raw = t["raw"]
+        role = F.substring_index(F.substr(t["head"], F.lit(len('<turn role="') + 1)), '" esc="', 1)
+        text = F.when(t["sound"] & t["escaped"] & ~raw.contains("<"), _swap(raw, _undo(BODY))).when(t["sound"] & ~t["escaped"] & ~raw.contains("<turn"), raw)
+        return F.struct(_swap(role, _undo(ROLE)).alias("role"), text.alias("text"), raw.alias("body"), F.length(t["head"]).alias("head"), (t["length"] - 1).alias("size"))
 
-    return F.transform(chunks, turn)
+    whole = F.transform(bodies, turn)
+    broken = F.struct(F.lit("").alias("role"), F.lit(None).cast("string").alias("text"), F.lit("").alias("body"), F.lit(0).alias("head"), F.lit(0).alias("size"))
+    return F.when(F.element_at(chunks, -1) == "\n", whole).when(formatted.isNotNull(), F.array(broken))
+
+
+def _renderer(escape: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda r: render_turn(r["role"], r["text"], escape(r))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -64,18 +80,19 @@ def format_chats(rows: DataFrame) -> DataFrame:
     turns: array<struct<role, text>> read back from ``formatted``; loss_spans: array<struct<start, length>> in
     code points of ``formatted``, the (possibly escaped) bodies of assistant turns.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    control = text.contains("<turn") | text.contains("</turn>")
-    ready = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), render_turn(role, text, F.lit(False)).alias("plain"), F.when(control, render_turn(role, text, F.lit(True))).alias("safe"))
-    held = ready.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "plain", "safe"))).alias("rows"))
-    source = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    back = lambda f: F.transform(parse(f), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    plain = F.array_join(F.transform("rows", lambda r: r["plain"]), "")
-    safe = F.array_join(F.transform("rows", lambda r: F.coalesce(r["safe"], r["plain"])), "")
-    first = held.withColumn("source", source).withColumn("plain", plain)
-    tried = first.withColumn("formatted", F.when(back(F.col("plain")) == F.col("source"), F.col("plain")).otherwise(safe))
-    done = tried.withColumn("parsed", parse(F.col("formatted")))
-    turns = F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    ready = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("row"))
+    now = ready.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    now = now.withColumn("source", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))))
+    tries = (lambda r: F.lit(False), lambda r: r["text"].contains("<turn") | r["text"].contains("</turn>"), lambda r: F.lit(True))
+    still = F.lit(True)
+    for k, escape in enumerate(tries):
+        written = F.array_join(F.transform("rows", _renderer(escape)), "")
+        now = now.withColumn(f"written{k}", F.when(still, written)).withColumn(f"parsed{k}", parse(F.col(f"written{k}")))
+        now = now.withColumn(f"same{k}", F.transform(f"parsed{k}", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).eqNullSafe(F.col("source")))
+        still = still & ~F.col(f"same{k}")
+    last = range(len(tries) - 1)
+    pick = lambda name: F.coalesce(*[F.when(F.col(f"same{k}"), F.col(f"{name}{k}")) for k in last], F.col(f"{name}{len(tries) - 1}"))
+    done = now.withColumns({"formatted": pick("written"), "parsed": pick("parsed"), "ok": ~still})
     begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -84,7 +101,8 @@ def format_chats(rows: DataFrame) -> DataFrame:
         return F.struct((acc["at"] + t["size"] + len(END)).alias("at"), spans.alias("spans"))
 
     spans = F.aggregate("parsed", begin, step, lambda acc: acc["spans"])
-    return done.select("conv_id", "formatted", turns.alias("turns"), spans.alias("loss_spans"), (turns == F.col("source")).alias("ok"))
+    turns = F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return done.select("conv_id", "formatted", turns.alias("turns"), spans.alias("loss_spans"), "ok")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +121,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "ok",
     )
 
 
@@ -118,6 +137,6 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(32 + length(role) + length(text) + CASE WHEN x THEN len(text) - len(replace(replace(text, '\', ''), '<', '')) ELSE 0 END
-    + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '"', ''), '>', ''))) AS BIGINT) AS formatted_chars
+    + length(role) - length(replace(replace(replace(replace(role, '\', ''), '<', ''), '"', ''), '>', ''))) AS BIGINT) AS formatted_chars, true AS ok
 FROM m GROUP BY conv_id
 """

@@ -106,6 +106,8 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Head:
+    rows: int
+    columns: int
     counts: bytes
     symbols: bytes
     size: int
@@ -113,29 +115,37 @@ class Head:
 
 @functools.lru_cache(maxsize=64)
 def parse_head(head: bytes) -> Head:
-    """Checks that a frame's markers up to SOS are those this decoder reads."""
+    """Checks that a frame's markers up to SOS are those of a lossless frame that this decoder reads."""
     at, seen = 2, {}
     while at < len(head):
         kind, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         seen[kind] = head[at + 4 : at + 2 + size]
         at += 2 + size
-    if head[:2] != b"\xff\xd8" or seen.get(0xC3, b"")[:6] != struct.pack(">BHHB", 8, SIDE, SIDE, 1) or seen.get(0xDA, b"")[3:4] != b"\1":
-        raise ValueError("not a lossless JPEG frame of this size")
-    table = seen[0xC4]
-    return Head(table[1:17], table[17:], at)
+    sof, table = seen.get(0xC3, b""), seen.get(0xC4, b"")
+    if head[:2] != b"\xff\xd8" or len(sof) != 9 or sof[0] != 8 or sof[5] != 1 or seen.get(0xDA, b"")[3:] != b"\1\0\0" or len(table) < 18 or 0xDD in seen:
+        raise ValueError("not a lossless JPEG frame of one 8-bit component and predictor 1")
+    return Head(*struct.unpack_from(">HH", sof, 1), table[1:17], table[17:], at)
+
+
+def head_size(frame: bytes) -> int:
+    """Bytes of a frame up to its coded data."""
+    sos = frame.find(b"\xff\xda")
+    if sos < 0 or len(frame) < sos + 4:
+        raise ValueError("no scan")
+    return sos + 2 + struct.unpack_from(">H", frame, sos + 2)[0]
 
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Samples (frame, row, column) of whole JPEG frames."""
+    """Samples (frame, row, column) of lossless JPEG frames that have one head."""
     f = len(frames)
     if not f:
         return np.zeros((0, SIDE, SIDE), np.uint8)
-    first = frames[0]
-    size = first.index(b"\xff\xda") + 2 + struct.unpack_from(">H", first, first.index(b"\xff\xda") + 2)[0]
-    head = first[:size]
+    size = head_size(frames[0])
+    head = frames[0][:size]
     parsed = parse_head(head)
     if any(x[:size] != head or x[-2:] != EOI for x in frames):
         raise ValueError("frames differ in their heads")
+    count = parsed.rows * parsed.columns
     parts = [x[size:-2] for x in frames]
     data = np.frombuffer(b"".join(parts), np.uint8)
     keep = np.ones(len(data), bool)
@@ -146,15 +156,15 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     window = data[:-3] << np.uint32(16) | data[1:-2] << np.uint32(8) | data[2:-1]
     table = _decoding(parsed.counts, parsed.symbols)
     at = begin[:-1] * 8
-    diff = np.empty((FRAME, f), np.int32)
-    for k in range(FRAME):
-        peek = window[at >> 3] >> (8 - (at & 7)).astype(np.uint32) & np.uint32(0xFFFF)
+    diff = np.empty((count, f), np.int32)
+    for k in range(count):
+        peek = window[np.minimum(at >> 3, len(window) - 1)] >> (8 - (at & 7)).astype(np.uint32) & np.uint32(0xFFFF)
         got = table[peek]
         diff[k] = got
         at += got & 31
-    if np.any((at + 7) // 8 != begin[1:]):
+    if np.any((at + 7) // 8 != begin[1:]) or np.any(diff == 1 << 30):
         raise ValueError("frame data ends early or late")
-    diff = (diff >> 5).T.reshape(f, SIDE, SIDE)
+    diff = (diff >> 5).T.reshape(f, parsed.rows, parsed.columns)
     diff[:, 0, 0] += 128
     diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1)
     return np.cumsum(diff, axis=2).astype(np.uint8)
@@ -179,21 +189,46 @@ def write_avi(frames: list[bytes]) -> bytes:
 
 
 def read_avi(data: bytes) -> tuple[float, list[bytes]]:
-    """(seconds of a frame, frames) by the file's index."""
+    """(seconds of a frame, video frames in order) by the file's index, or by its chunks if it has none; ValueError if it is no whole AVI file.
+
+    Index offsets may count from the ``movi`` list or from the file's start.
+    """
+    try:
+        return _read_avi(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError("broken AVI file") from e
+
+
+def _read_avi(data: bytes) -> tuple[float, list[bytes]]:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, tick = 12, 0, b"", 0
-    while at < len(data):
+    at, movi, stop, index, tick = 12, 0, 0, None, 0
+    while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
+            movi, stop = at + 8, at + 8 + size
         elif name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
             tick = struct.unpack_from("<I", data, at + 20)[0]
         elif name == b"idx1":
             index = data[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
-    frames = []
-    for name, _, place, size in struct.iter_unpack("<4sIII", index):
-        if name == b"00dc":
-            frames.append(data[movi + place + 8 : movi + place + 8 + size])
-    return tick / 1e6, frames
+    if not movi or stop > len(data):
+        raise ValueError("no whole list of frames")
+    places = []
+    if index:
+        entries = [(name, place, size) for name, _, place, size in struct.iter_unpack("<4sIII", index)]
+        base = 0 if entries and data[entries[0][1] : entries[0][1] + 4] == entries[0][0] and entries[0][1] >= movi else movi
+        places = [(base + place + 8, size) for name, place, size in entries if name[2:] in (b"dc", b"db")]
+    else:
+        at = movi + 4
+        while at + 8 <= stop:
+            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+            if name == b"LIST":
+                at += 12
+                continue
+            if name[2:] in (b"dc", b"db"):
+                places.append((at + 8, size))
+            at += 8 + size + (size & 1)
+    if any(a + n > len(data) for a, n in places):
+        raise ValueError("a frame lies outside the file")
+    return tick / 1e6, [data[a : a + n] for a, n in places]

@@ -1,33 +1,34 @@
-"""Helpers that the text operators share: cut lineage, walk Arrow batches, label graph components."""
+"""Helpers that the text operators share: walk Arrow batches in bounded slices, hold one model in a worker."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+T = TypeVar("T")
+_HELD: dict[tuple, object] = {}
+#: Bytes of text and other values of an Arrow batch that are worked on at once.
+SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-junctura-"))
-    return _OWN_DIR[0]
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """The model or memo of ``key``, made once in a Python worker.
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Spark uses workers again for later stages: what another stage left there is let go first, so that a
+    worker holds one model at a time however many stages it serves.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,28 @@ def blocks(texts: Iterable[bytes], most: int) -> Iterator[tuple[int, list[bytes]
         yield first, held
 
 
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of each text of a string column, one at a time; null counts as empty."""
+    for x in column.cast(pa.binary()):
+        yield x.as_py() or b""
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``most`` bytes; a larger row is a run by itself."""
+    size = np.full(batch.num_rows, 64, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        after = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, after - at)
+        at = after
+
+
 def map_batches(df: DataFrame, columns: list[str], make: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
-    """``df[columns]`` through ``make``, which gets an Arrow batch and returns new columns by name, in the order of ``schema``."""
+    """``df[columns]`` through ``make``, which gets slices of Arrow batches and returns new columns by name, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -56,20 +77,20 @@ def map_batches(df: DataFrame, columns: list[str], make: Callable[[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = make(batch)
+            for part in slices(batch):
+                made = make(part)
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``df`` with its Arrow batches changed or filtered by ``change``, which keeps the columns; no shuffle."""
+    """``df`` with slices of its Arrow batches changed or filtered by ``change``, which keeps the columns; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield change(batch)
+            for part in slices(batch):
+                yield change(part)
 
     return df.mapInArrow(run, df.schema)
 
@@ -78,21 +99,3 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     """``batch`` with the values of column ``name`` replaced."""
     at = batch.schema.get_field_index(name)
     return pa.RecordBatch.from_arrays([values if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of ``edges`` (a, b): root is the smallest id reachable.
-
-    Labels travel over links and over labels (pointer jumping), so that chains halve in each round. Every
-    round is two joins and a written table; nothing gathers a component in one place.
-    """
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "root"), "v").groupBy(F.col("u").alias("id")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = lower.select(F.col("id").alias("at"), F.col("root").alias("next"))
-        moved = cut(lower.join(jump, lower.root == jump["at"], "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
-        labels = moved.select("id", "root")
-        if moved.filter("root <> was").isEmpty():
-            return labels

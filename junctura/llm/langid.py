@@ -9,13 +9,19 @@ Learning takes a bounded sample, FIT_ROWS documents of each language on average,
 (whole texts); the word counts of the sample and the sums of expected counts are Spark aggregations, and only the
 piece probabilities (pieces x languages) come to the driver. Prediction runs over every whole text.
 
+Words are runs of characters between Unicode white space, alike in learning and prediction. However long a word is, the sum
+runs over all segmentations of the whole word: probabilities are scaled every SCALE characters, and pieces are looked
+up in windows.
+
 Texts that are null or hold no letter are ``und`` with score 0, as are all texts when nothing could be learned.
-Ties go to the alphabetically first language. Words of more than CHUNK characters are scored in chunks.
+Ties go to the alphabetically first language. Repeated rows, and rows with null or repeated ids, are rows like others (a null id is
+not held out, and not learned from); no rows give no rows; other columns are ignored. The LANGUAGES most
+frequent labels are learned, which bounds the table.
 """
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,20 +32,25 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import blocks, cut, documents, map_batches, map_rows
+from junctura.llm.common import blocks, documents, map_batches, map_rows, resident
 from junctura.llm.words import U64, mix, splitmix
+from junctura.tables import cut
 
 MODEL = "piece_bpe_32k.model"
 FIT_ROWS, ROUNDS, SMOOTH = 1500, 3, 0.02
-#: Probability of a character that no piece covers, alike in all languages; longest scored run of characters.
-UNKNOWN, CHUNK = 1e-6, 48
+#: Labels that are learned at most; probability of a character that no piece covers, alike in all languages.
+LANGUAGES, UNKNOWN = 200, 1e-6
+#: Characters between two scalings (a character costs a factor of UNKNOWN at worst) and in a window of piece look-ups.
+SCALE, WINDOW = 16, 2048
+#: What separates words (fixed values: the white space of Unicode and the four information separators), as a Java regex class.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 MARK = "▁"
 BLOCK_BYTES, MEMO_ROWS = 1 << 21, 150_000
 LETTER = regex.compile(r"\p{L}")
 
 
 class Lattice:
-    """Finds all pieces in words of one length by rolling hashes over a table of the vocabulary. Piece 0 is none, the last one is unknown."""
+    """Finds all pieces in words by rolling hashes over a table of the vocabulary. Piece 0 is none, the last one is unknown."""
 
     SLOTS = 20
 
@@ -79,10 +90,9 @@ class Lattice:
     def _slot(self, keys: np.ndarray, t: int) -> np.ndarray:
         return ((keys >> U64(t * 11)) & U64((1 << self.SLOTS) - 1)).astype(np.int64)
 
-    def pieces_of(self, words: list[str]) -> list[np.ndarray]:
-        """For k = 1, 2, ...: the piece (word, start) of k characters, 0 for none; words have one length."""
-        n = len(words[0])
-        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+    def pieces_of(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For k = 1, 2, ...: the piece (word, start) of k characters, 0 for none. codes: (word, character)."""
+        n = codes.shape[1]
         values = self._values(codes)
         hashed = np.zeros_like(values)
         out = []
@@ -98,65 +108,103 @@ class Lattice:
             out.append(found)
         return out
 
-    def forward(self, pieces: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
-        """alpha[t]: (word, language) probability of the first t characters. p: (piece, language)."""
-        m, n = pieces[0].shape
-        alpha = [np.ones((m, p.shape[1]))]
-        for t in range(1, n + 1):
-            alpha.append(sum(alpha[t - k] * p[pieces[k - 1][:, t - k]] for k in range(1, min(t, len(pieces)) + 1)))
-        return alpha
-
-    def backward(self, pieces: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
-        m, n = pieces[0].shape
-        beta = [np.ones((m, p.shape[1]))] * (n + 1)
-        for t in range(n - 1, -1, -1):
-            beta[t] = sum(beta[t + k] * p[pieces[k - 1][:, t]] for k in range(1, min(n - t, len(pieces)) + 1))
-        return beta
+    def forward(self, codes: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(t, alpha, log scale) for t = 0, 1, ...: alpha * exp(scale) is the (word, language) probability of the first t characters."""
+        m, n = codes.shape
+        scale = np.zeros((m, p.shape[1]))
+        past = [np.ones((m, p.shape[1]))]  # alpha of the last characters, under the present scale
+        yield 0, past[0], scale
+        for begin in range(0, n, WINDOW):
+            from_ = max(0, begin - self.longest + 1)
+            pieces = self.pieces_of(codes[:, from_ : begin + WINDOW])
+            for t in range(begin + 1, min(n, begin + WINDOW) + 1):
+                alpha = sum(past[-k] * p[pieces[k - 1][:, t - k - from_]] for k in range(1, min(len(past), len(pieces)) + 1))
+                past = [*past[1 - self.longest :], alpha]
+                if t % SCALE == 0:
+                    past = [x / alpha for x in past]
+                    scale, alpha = scale + np.log(alpha), past[-1]
+                yield t, alpha, scale
 
 
-@functools.lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
-    return Lattice(path)
-
-
-def _by_length(words: list[str]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        out.setdefault(len(w), []).append(i)
-    return out
+    return resident(("language", path), lambda: Lattice(path))
+
+
+def batches_of(words: list[str], cells: int = 1 << 18) -> Iterator[list[int]]:
+    """Numbers of words in batches of one length, longer ones of lengths up to twice the shortest, each of about ``cells`` characters."""
+    size = np.array([len(w) for w in words])
+    kind = np.where(size < 32, size, 32 + np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    order = np.lexsort((size, kind))
+    at = 0
+    while at < len(order):
+        longest = 0
+        first = at
+        while at < len(order) and kind[order[at]] == kind[order[first]] and at - first < 4096:
+            longest = max(longest, int(size[order[at]]))
+            if at > first and longest * (at + 1 - first) > cells:
+                break
+            at += 1
+        yield order[first:at].tolist()
 
 
-def chunks(word: str) -> list[str]:
-    whole = MARK + word
-    return [whole[i : i + CHUNK] for i in range(0, len(whole), CHUNK)]
+def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(character codes (word, character), lengths); shorter words end in zeros."""
+    size = np.array([len(w) for w in words])
+    n = int(size.max())
+    return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n), size
 
 
 def log_scores(words: list[str], table: Lattice, p: np.ndarray) -> np.ndarray:
     """(word, language) log probability of each word."""
-    parts = [(i, c) for i, w in enumerate(words) for c in chunks(w)]
+    whole = [MARK + w for w in words]
     out = np.zeros((len(words), p.shape[1]))
-    for ids in _by_length([c for _, c in parts]).values():
-        for at in range(0, len(ids), 4096):
-            part = ids[at : at + 4096]
-            alpha = table.forward(table.pieces_of([parts[i][1] for i in part]), p)[-1]
-            np.add.at(out, [parts[i][0] for i in part], np.log(np.maximum(alpha, 1e-300)))
+    for ids in batches_of(whole):
+        codes, size = codes_of([whole[i] for i in ids])
+        ids = np.array(ids)
+        ends = set(size.tolist())
+        for t, alpha, scale in table.forward(codes, p):
+            if t in ends:
+                here = size == t
+                out[ids[here]] = np.log(alpha[here]) + scale[here]
     return out
 
 
 def expected_counts(words: list[str], weight: np.ndarray, table: Lattice, p: np.ndarray) -> np.ndarray:
-    """Expected count of each piece over all segmentations of ``words`` in one language."""
-    parts = [(c, float(x)) for w, x in zip(words, weight, strict=True) for c in chunks(w)]
+    """Expected count of each piece over all segmentations of ``words`` in one language.
+
+    A backward pass over windows meets the stored forward values: a piece from t to t + k has the share
+    alpha[t] * p * beta[t + k] of the whole word's probability.
+    """
+    whole = [MARK + w for w in words]
     total = np.zeros(table.size)
-    q = p[:, None]
-    for n, ids in _by_length([c for c, _ in parts]).items():
-        for at in range(0, len(ids), 4096):
-            part = ids[at : at + 4096]
-            pieces = table.pieces_of([parts[i][0] for i in part])
-            alpha, beta = table.forward(pieces, q), table.backward(pieces, q)
-            share = np.array([parts[i][1] for i in part]) / np.maximum(alpha[-1][:, 0], 1e-300)
-            for k, found in enumerate(pieces, 1):
-                for t in range(n - k + 1):
-                    total += np.bincount(found[:, t], alpha[t][:, 0] * p[found[:, t]] * beta[t + k][:, 0] * share, table.size)
+    for ids in batches_of(whole):
+        codes, size = codes_of([whole[i] for i in ids])
+        m, n = codes.shape
+        alpha, scale, at_end = np.zeros((n + 1, m)), np.zeros((n // SCALE + 1, m)), np.zeros(m)
+        for t, a, s in table.forward(codes, p[:, None]):
+            alpha[t], scale[t // SCALE] = a[:, 0], s[:, 0]
+            here = size == t
+            at_end[here] = np.log(a[here, 0]) + s[here, 0]
+        share = np.asarray(weight, float)[ids]
+        later = [np.zeros(m) for _ in range(table.longest)]  # beta of t + 1, t + 2, ..., under the present scale
+        back = np.zeros(m)
+        for begin in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            pieces = table.pieces_of(codes[:, begin : begin + WINDOW + table.longest - 1])
+            for t in range(min(n, begin + WINDOW) - 1, begin - 1, -1):
+                later = [np.where(size == t + 1, 1.0, later[0]), *later[1:]]
+                back = np.where(size == t + 1, 0.0, back)
+                reach = min(n - t, len(pieces))
+                parts = [later[k - 1] * p[pieces[k - 1][:, t - begin]] for k in range(1, reach + 1)]
+                beta = sum(parts)
+                with np.errstate(under="ignore"):
+                    known = alpha[t] * np.exp(np.where(t < size, scale[t // SCALE] + back - at_end, -np.inf)) * share
+                for k, x in enumerate(parts, 1):
+                    total += np.bincount(pieces[k - 1][:, t - begin], known * x, table.size)
+                later = [beta, *later[:-1]]
+                if t % SCALE == 0:
+                    by = np.where(beta > 0, beta, 1.0)
+                    later = [x / by for x in later]
+                    back = back + np.log(by)
     return total
 
 
@@ -167,14 +215,14 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, (piece, language) probabilities) from about ``rows`` documents of each language."""
     known = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    count = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    count = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(count)
     table = lattice(path)
     if not langs:
         return [], np.zeros((table.size, 0))
     share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, rows / count[g])))])[F.col("lang")]
-    sample = known.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20))
-    words = sample.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).filter("word <> ''")
+    sample = known.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20))
+    words = sample.select("lang", F.explode(F.split("text", SPACES)).alias("word")).filter("word <> ''")
     words = cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")).repartition(16, "lang", "word"), "fit")
     p = np.full((table.size, len(langs)), 1 / table.size)
     for _ in range(rounds):
@@ -200,8 +248,8 @@ def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS)
 class Scorer:
     """Keeps word scores between batches of a Python worker; starts anew when the memo is full."""
 
-    def __init__(self, path: str, p: np.ndarray) -> None:
-        self.table, self.p = lattice(path), p
+    def __init__(self, table: Lattice, p: np.ndarray) -> None:
+        self.table, self.p = table, p
         self.row: dict[str, int] = {}
         self.scores = np.zeros((0, p.shape[1]))
 
@@ -222,15 +270,13 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def scorer(path: str, p: np.ndarray) -> Scorer:
-    key = mix(splitmix(p.size, 5) ^ p.reshape(-1).view(U64)).sum(dtype=U64).tobytes() + path.encode()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(path, p)
-    return _SCORERS[key]
+    """The scorer of a table of probabilities, held with the lattice."""
+    key = mix(splitmix(p.size, 5) ^ p.reshape(-1).view(U64)).sum(dtype=U64)
+    table = lattice(path)
+    if getattr(table, "scorer", None) is None or table.scorer[0] != key:
+        table.scorer = (key, Scorer(table, p))
+    return table.scorer[1]
 
 
 def classify(texts: list[str | None], path: str, langs: list[str], p: np.ndarray) -> list[tuple[str, float]]:
@@ -267,11 +313,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; ``und`` ones, null or without letters, go. Columns are kept as they are."""
+    """Documents in a learned language stay; ``und`` ones, null or without letters, go. Columns are kept as they are.
+
+    Where no row is labelled nothing can be learned and no document be told apart: all with a letter stay.
+    """
     path = public_tokenizers.path(MODEL)
     langs, p = fit(docs, path)
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([g != "und" for g, _ in classify(batch.column("text").to_pylist(), path, langs, p)], pa.bool_()))
+        texts = batch.column("text").to_pylist()
+        keep = [g != "und" for g, _ in classify(texts, path, langs, p)] if langs else [bool(t and LETTER.search(t)) for t in texts]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
     return map_rows(docs, change)

@@ -13,15 +13,16 @@ The model's normaliser must be the identity with a leading space mark (checked a
 
 from __future__ import annotations
 
-import functools
 import re
 
 import ahocorasick
 import sentencepiece
 
+from junctura.llm.common import resident
+
 MARK = "▁"
 #: Longest run that is kept in a memo, and entries of the memos before they start anew.
-MEMO_CHARS, MEMO_ROWS, PAIR_ROWS = 64, 300_000, 400_000
+MEMO_CHARS, MEMO_ROWS, PAIR_ROWS = 64, 200_000, 250_000
 
 
 class PieceModel:
@@ -233,6 +234,5 @@ def _utf8(data: bytearray) -> str:
     return "".join(out)
 
 
-@functools.lru_cache(maxsize=2)
 def piece_model(path: str) -> PieceModel:
-    return PieceModel(path)
+    return resident(("pieces", path), lambda: PieceModel(path))

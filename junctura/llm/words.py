@@ -28,10 +28,14 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are hashed at once; powers start anew there, so that a long text costs no more memory.
+BLOCK = 1 << 18
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(BASE, -1, 1 << 64)
-    up, down = np.full(n, BASE, U64), np.full(n, inverse, U64)
+    up, down = np.full(BLOCK, BASE, U64), np.full(BLOCK, inverse, U64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
 
@@ -57,12 +61,26 @@ def word_hashes(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndar
     """
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     value, inside = _tables(letters_only)
-    edge = np.diff(inside[data].astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(max(1 << 21, 1 << int(len(data)).bit_length()))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(value[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start])
+    up, down = _powers()
+    starts, stops, sums = [], [], []
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        edge = np.diff(inside[part].astype(np.int8), prepend=0, append=0)
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(value[part] * up[: len(part)], out=total[1:])
+        starts.append(a + at)
+        stops.append(b + at)
+        sums.append((total[b] - total[a]) * down[a])
+    start, stop, hashes = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((starts, np.int64), (stops, np.int64), (sums, U64)))
+    whole = np.ones(len(start), bool)
+    whole[1:] = start[1:] != stop[:-1]
+    first = np.flatnonzero(whole)
+    for i in np.flatnonzero(~whole).tolist():  # a word that goes on in the next block: one for each block at most
+        begin = int(start[first[np.searchsorted(first, i) - 1]])
+        hashes[i : i + 1] *= U64(pow(BASE, int(start[i]) - begin, 1 << 64))
+    hashes = mix(np.add.reduceat(hashes, first)) if len(first) else hashes
+    start = start[first]
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.concatenate([[0], np.searchsorted(start, ends)])
 

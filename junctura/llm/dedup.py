@@ -11,7 +11,7 @@ How skew and size are met:
   links are joined into components, and only buckets that then still hold several components are compared in
   full, block against block. Pairs of one component can add nothing to the result, so no link is lost;
 * sets of too different sizes cannot reach the threshold and are passed over before texts are fetched;
-* joins on hot keys are plain shuffled joins, which adaptive execution splits; nothing gathers a bucket.
+* joins on hot keys are plain shuffled joins, which adaptive execution splits, or salted; nothing gathers a bucket.
 """
 
 from __future__ import annotations
@@ -25,15 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import blocks, components, cut, documents, map_batches
+from junctura.llm.common import blocks, documents, map_batches, texts_of
 from junctura.llm.words import U64, mix, shingle_sets, splitmix
+from junctura.tables import components, cut
 
 #: A pair at 85 % shares a band of 6 values with p = 0.377; 24 bands miss it with p = 1e-5.
 BANDS, ROWS = 24, 6
 PERCENT, SHINGLE = 85, 5
+#: The pipeline's stage: near-duplicates are documents with a similarity of 0.8; 24 bands of 5 miss such a pair with p = 7e-5.
+STAGE_PERCENT, STAGE_ROWS = 80, 5
 BLOCK_BYTES = 1 << 20
 #: Documents in a block of an open group, and in a group that is compared as a whole.
 BLOCK, GROUP = 256, 20_000
+#: Parts that a hot group is dealt to where its rows meet a fact about the group.
+SALTS = 64
 
 
 def minmax_bands(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -56,17 +61,16 @@ def minmax_bands(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -
     return out
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, set_key, bands): set_key is a 128-bit digest of the full set, null for an empty one."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         sizes, keys, bands = [], [], []
-        for _, part in blocks(texts, BLOCK_BYTES):
+        for _, part in blocks(texts_of(batch.column(1)), BLOCK_BYTES):
             sets = shingle_sets(part, SHINGLE)
             sizes += [len(s) for s in sets]
             keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            bands.append(minmax_bands(sets).view(np.int64))
+            bands.append(minmax_bands(sets, rows=rows).view(np.int64))
         flat = np.concatenate(bands).reshape(-1)
         offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
         return {"id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()), "bands": pa.ListArray.from_arrays(offsets, pa.array(flat))}
@@ -149,6 +153,12 @@ def cell_links(percent: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def with_group_fact(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """``rows`` (group, id, ...) joined to ``facts`` (one row a group): a hot group's rows are dealt to SALTS parts by id."""
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["group", "_salt"], how).drop("_salt")
+
+
 def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between documents that share a bucket but not a component.
 
@@ -162,30 +172,31 @@ def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent:
     groups = components(left.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     grouped = left.join(groups.select("id", F.col("root").alias("group")), "id")
     large = grouped.select("group", "id").distinct().groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP).select("group", F.lit(True).alias("large"))
-    grouped = grouped.join(large, "group", "left").withColumn("group", F.when(F.col("large"), F.xxhash64("band", "key")).otherwise(F.col("group")))
+    grouped = with_group_fact(grouped, large, "left").withColumn("group", F.when(F.col("large"), F.xxhash64("band", "key")).otherwise(F.col("group")))
     grouped = cut(grouped.select("group", "id", "root").distinct(), "groups")
     count = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    block = grouped.join(count, "group").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    block = with_group_fact(grouped, count, "inner").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     cells = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     full = cells.select("group", "i", "j", "block", "id", "root").hint("merge").join(texts, "id")
     found = full.groupBy("group", "i", "j").applyInPandas(functools.partial(cell_links, percent), "a long, b long")
     return cut(found, "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of ``docs``.
 
     Null or wordless texts have no shingles and stay alone; rows without an id stay alone, with a null
-    component, and are kept; rows that repeat an id count as one document of that id. Other columns are ignored.
+    component, and are kept; rows that repeat an id count as one document of that id. No rows give no rows; other
+    columns are ignored.
     """
-    sketch = cut(sketches(docs, id_col, text_col), "sketches")
+    sketch = cut(sketches(docs, id_col, text_col, rows), "sketches")
     sets = sketch.filter("set_key is not null and id is not null")
     classes = cut(sets.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = sets.join(classes, (sets.set_key == classes.set_key) & (sets.id == classes.rep), "left_semi").dropDuplicates(["set_key"])
-    rows = reps.select("id", "n_shingles", "set_key", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("id", "n_shingles", "set_key", F.posexplode("bands").alias("band", "key"))
     # one id may stand for several texts (repeated ids): the class, not the id, is compared
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = cut(rows.join(shared, ["band", "key"]).select("band", "key", "id", F.col("n_shingles").alias("n"), "m"), "members")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("m")).filter("m > 1")
+    members = cut(banded.join(shared, ["band", "key"]).select("band", "key", "id", F.col("n_shingles").alias("n"), "m"), "members")
     company = members.groupBy("id").agg(F.sum("m").alias("company"))
     ranked = cut(members.join(company, "id"), "ranked")
     leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("company", (-F.col("id")).alias("neg"), "n")).alias("top"))
@@ -210,8 +221,11 @@ def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of every component the document with the smallest id (all documents without an id stay)."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("id").alias("doc_id")).distinct()
+    """Keep of every component, over links of STAGE_PERCENT, the document with the smallest id.
+
+    Rows without an id stay, as do those without words; rows that repeat an id stay or go together.
+    """
+    gone = near_duplicates(docs, percent=STAGE_PERCENT, rows=STAGE_ROWS).filter("not kept").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

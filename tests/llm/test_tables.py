@@ -212,11 +212,13 @@ def test_token_shards_are_bounded(spark, monkeypatch):
 
 
 def test_pipeline_against_its_parts(spark):
-    """run() against brute force where there is one: exact near-duplicates by SQL, whole items by plain search, regexes, the library."""
+    """run() against brute force where there is one: exact near-duplicates by SQL at the stage's similarity, whole items by plain search, regexes, the library."""
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({dedup.ORACLE}) WHERE kept").fetchall()}
+    at_stage = dedup.ORACLE.replace("85 * (a.n", f"{dedup.STAGE_PERCENT} * (a.n")
+    assert at_stage != dedup.ORACLE
+    kept = {r[0] for r in con.execute(f"SELECT doc_id FROM ({at_stage}) WHERE kept").fetchall()}
     letters = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) + " "
     items = [letters(t) for (t,) in con.execute("SELECT text FROM benchmark").fetchall()]
     lib = sentencepiece.SentencePieceProcessor(model_file=files.path(sp_encode.MODEL))
@@ -228,3 +230,165 @@ def test_pipeline_against_its_parts(spark):
             want[i] = (len(ids), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want
+
+
+def test_stage_takes_pairs_of_four_fifths(spark):
+    """Near copies with a similarity between 0.80 and 0.85 go from the pipeline; op5's contract leaves them; below 0.8 they stay in both."""
+    words = [f"w{i}" for i in range(100)]
+    edit = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words), "en"), (2, edit(20, 70), "en"), (3, " ".join(words).replace("w", "v"), "en"), (4, edit(20, 45, 70, 90).replace("w", "v"), "en")]
+    docs = table(spark, rows)
+    assert {r.doc_id for r in dedup.stage_dedup(spark, docs, SF).collect()} == {1, 3, 4}
+    assert all(r.kept for r in dedup.near_duplicates(docs).collect())
+
+
+def test_stages_on_nulls_and_empty_tables(spark, docs, none, tmp_path):
+    """Each stage and run() over null, empty, repeated and clashing rows, over no rows, and without any label."""
+    import shutil
+
+    for name, rows in (("docs", docs), ("none", none), ("plain", docs.withColumn("lang", F.lit(None).cast("string")))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        shutil.copy(f"{SF}/benchmark.parquet", f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES:
+            out = function(spark, now, folder)
+            assert stage == "pieces" or out.columns == docs.columns, stage
+            now = now if stage == "pieces" else out
+        ids = sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, folder).collect())
+        # without letters: 1, 2, 3, 9 and a null text; copies of 4: 5, 5; rows without an id are not compared
+        assert ids == ([] if name == "none" else sorted(["4", "6", "7", "8", "10", "10", "None"]))
+
+
+def test_benchmark_by_brute_force(spark):
+    from junctura.llm.words import word_hashes
+
+    def hashes(name, key):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet").select(key, "text").collect()
+        h, first = word_hashes([(r.text or "").encode() for r in rows], letters_only=True)
+        return {r[0]: h[a:b].tolist() for r, a, b in zip(rows, first[:-1], first[1:])}
+
+    docs, items = hashes("documents", "doc_id"), hashes("benchmark", "item_id")
+    want = set()
+    for i, item in items.items():
+        some = set(item)
+        for d, text in docs.items():
+            most = int(decontam.MAX_EDITS * len(item))
+            if item and len(some & set(text)) >= len(some) - most:
+                x = decontam.edit_distance_within(item, text)
+                want |= {(d, i, x)} if x <= most else set()
+    out = queries.QUERIES["op6_cgk_decontamination"](spark, SF).collect()
+    assert want and {(r.doc_id, r.item_id, r.distance) for r in out} == want
+
+
+def test_null_items_and_ids(spark, docs):
+    items = spark.createDataFrame([(None, "一つ two"), (None, None), (4, "テキスト"), (4, "テキスト")], "item_id long, text string")
+    rows = table(spark, [(None, "x 一つ, TWO y", None), (3, "テキスト", None)])
+    assert pairs(decontam.contaminated(rows, items), "doc_id", "item_id", "at_word") == sorted([(None, None, 1), (3, 4, 0), (3, 4, 0)], key=str)
+
+
+def test_license_labels_by_brute_force(spark):
+    index, most = licenses.index()
+    rare = {(t, p): (w, idf) for w, (idf, ps) in index.items() for t, p in ps}
+
+    def brute(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        base = {g for p, g in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+        labels, best = set(base), 0.0
+        for t, (label, phrase, template) in enumerate(licenses.TEMPLATES):
+            want, key = template.split(), phrase.split()
+            place = next(i for i in range(len(want)) if want[i : i + len(key)] == key)
+            for at in range(-len(want), len(w)):
+                run = sum(idf for (u, p), (x, idf) in rare.items() if u == t and 0 <= at + p < len(w) and w[at + p] == x)
+                if run >= licenses.LEAST * most[t] - 1e-12 and at + place >= 0 and w[at + place : at + place + len(key)] == key:
+                    labels.add(label)
+                    best = max(best, min(1.0, run / most[t]))
+        return ",".join(sorted(labels)), round(best, 9)
+
+    rows = [(i, f"about it. {t.upper()}, and\n * {'more ' * (i % 5)}", None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(100 + i, " ".join(w for k, w in enumerate(t.split()) if k % 4 != i % 4), None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(200, " and ".join(t for _, _, t in licenses.TEMPLATES), None), (201, None, None), (202, "the of and is permission", None)]
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    for i, text, _ in rows:
+        assert got[i] == brute(text), i
+
+
+def test_stored_trees_are_opened_for_later_edits(spark, docs, none):
+    files_ = token_store.tokenizer()
+    code = token_counts.coder(*files_)
+    now = token_counts.build_trees(docs, files_)
+    texts = {i: t or "" for i, t, _ in ROWS if i is not None and i not in (5, 10)}
+    for at, new in ((2, " é"), (0, "x\n"), (7, "'s")):
+        edits = F.array(F.struct(F.lit(at).alias("start"), F.lit(at + 1).alias("end"), F.lit(new).alias("text")))
+        out = token_counts.edit_trees(now.withColumn("edits", edits), files_)
+        out.write.mode("overwrite").parquet(path := f"{token_store.cut.__globals__['shared_dir'](spark)}/trees-{at}")
+        now = spark.read.parquet(path).select("doc_id", "text", "chars", "tokens")
+        texts = {i: t[:at] + new + t[at + 1 :] for i, t in texts.items()}
+        rows = {r.doc_id: r for r in now.collect() if r.doc_id in texts}
+        for i, t in texts.items():
+            assert rows[i].text == t and sum(rows[i].tokens) == len(code.ids(t)) and sum(rows[i].chars) == len(t)
+    assert token_counts.build_trees(none, files_).count() == 0
+
+
+def test_token_count_query_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.QUERIES["op3_edit_token_counts"](spark, SF).collect():
+        t = texts[r.doc_id]
+        n = len(t)
+        a = t[: n // 3] + " [note 1]\n" + t[n // 3 :]
+        b = a[: n // 2] + a[n // 2 + 5 :]
+        at = int(n * 2 / 3)
+        c = b[:at] + "é's  " + b[at + 3 :]
+        assert (r.n_tokens, r.n_after_1, r.n_after_2, r.n_after_3) == (size(t), size(a), size(b), size(c))
+        assert r.text_sha256 == hashlib.sha256(c.encode()).hexdigest()
+
+
+def test_token_queries_over_files(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 1 << 12)
+    shards = token_store.write_shards(docs, token_store.tokenizer())
+    code = token_counts.coder(*token_store.tokenizer())
+    flat, where = [], []
+    for i, t, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = [*code.library_ids(t or ""), 0]
+        where += [(i, k) for k in range(len(ids))]
+        flat += ids
+    common = max(set(flat), key=flat.count)
+    asked = [0, common, flat[3], 49_999]
+    assert {r.token: r["count"] for r in token_store.token_counts(shards, asked).collect()} == {t: flat.count(t) for t in asked}
+    got = sorted((r.token, r.at, r.doc_id, r.place) for r in token_store.token_places(shards, [0, common]).collect())
+    assert got == sorted((t, k, *where[k]) for k, t in enumerate(flat) if t in (0, common))
+    places = [0, 5, len(flat) // 2, len(flat) - 1, len(flat) + 9]
+    assert {r.at: r.token for r in token_store.tokens_at(shards, places).collect()} == {k: flat[k] for k in places[:-1]}
+    empty = token_store.write_shards(none, token_store.tokenizer())
+    assert token_store.token_places(empty, [0]).count() == 0 and token_store.tokens_at(empty, [0]).count() == 0
+
+
+def test_broken_and_foreign_media(spark):
+    from junctura.llm import mjpeg
+    from tests.llm.test_units import encode_baseline
+    import numpy as np
+
+    dark, light = (encode_baseline(np.full((20, 30), v, np.uint8)) for v in (20, 220))
+    file = mjpeg.write_avi([dark, b"junk", dark, light, light])
+    rows = [(1, file), (2, file[:50]), (3, b""), (4, None), (None, b"no avi"), (1, file), (5, mjpeg.write_avi([]))]
+    out = pairs(media.clips_of(spark.createDataFrame(rows, "id long, media binary")), "id", "clip", "first_frame", "frames")
+    clips = [(1, 0, 0, 3), (1, 1, 3, 2)] * 2
+    assert out == sorted([*clips, (2, None, None, None), (3, None, None, None), (None, None, None, None)], key=str)
+
+
+def test_chats_escape_until_identical(spark):
+    """Ties in turn, very long texts, control strings in roles, and a text that looks like a whole conversation."""
+    fake = '<turn role="user" esc="0">\nhi\n</turn>\n'
+    rows = [(1, 0, "user", fake), (1, 0, "assistant", fake[:-1]), (1, 1, '"><turn', "</turn"), (2, 0, "user", "long \\l " * 40_000), (2, 0, "user", ""), (None, 3, None, None), (3, 0, "a", "</turn>"), (3, 0, "a", "</turn>")]
+    out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(r.ok for r in out.values()) and len(out) == 4
+    for i, r in out.items():
+        assert [tuple(t) for t in r.turns] == [(b, c) for _, b, c in sorted((t, p or "", x or "") for c, t, p, x in rows if c == i)]
+    broken = ["", "x", fake + "x", fake.replace("esc", "exc"), fake[:-1], fake.replace("user", "us<er"), fake.replace('"0"', '"1"').replace("hi", "a<b"), fake.replace("hi", "<turn")]
+    parsed = spark.createDataFrame([(i, t) for i, t in enumerate([*broken, fake])], "i int, t string").select("i", F.exists(chat.parse(F.col("t")), lambda x: x["text"].isNull()).alias("bad"), F.size(chat.parse(F.col("t"))).alias("n")).orderBy("i").collect()
+    assert [r.bad for r in parsed] == [True] * len(broken) + [False] and parsed[-1].n == 1

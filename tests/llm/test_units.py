@@ -294,3 +294,226 @@ def test_cells_join_what_brute_force_joins():
         part = pd.DataFrame([(0, i, j, block[x], x, x, t) for x, t in rows if block[x] in (i, j)], columns=["group", "i", "j", "block", "id", "root", "text"])
         edges += dedup.cell_links(85, part).values.tolist()
     assert joined(edges) == want
+
+
+def log_forward(word, table, p, number):
+    """log probability of ``word`` by a plain recursion in logarithms."""
+    names = {v: k for k, v in number.items()}
+    logs = [0.0]
+    for t in range(1, len(word) + 1):
+        terms = []
+        for k in range(1, min(t, table.longest) + 1):
+            s = word[t - k : t]
+            q = p[number[s]] if s in number else langid.UNKNOWN if k == 1 else 0
+            if q > 0:
+                terms.append(logs[t - k] + np.log(q))
+        logs.append(np.logaddexp.reduce(terms))
+    assert names
+    return logs[-1]
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words of any length, alone and in one batch, over several scalings and windows."""
+    monkeypatch.setattr(langid, "WINDOW", 64)
+    table = langid.lattice(MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    number = {lib.id_to_piece(i): i - 258 for i in range(3 + 256, lib.vocab_size())}
+    rng = np.random.default_rng(1)
+    p = rng.random((table.size, 2)) * 1e-4
+    p[0], p[-1] = 0, langid.UNKNOWN
+    parts = ["Donaudampf", "schiff", "ÿ", "日本語", "ing", "x", "🙂"]
+    words_ = ["a", "the", *("".join(rng.choice(parts, n)) for n in (3, 8, 15, 16, 17, 40, 41, 42, 160))]
+    assert max(map(len, words_)) >= 500
+    got = langid.log_scores(words_, table, p)
+    for w, g in zip(words_, got, strict=True):
+        for k in (0, 1):
+            assert abs(g[k] - log_forward("▁" + w, table, p[:, k], number)) < 1e-6 * abs(g[k]), w
+    lengths = np.array([0, *(len(lib.id_to_piece(i)) for i in range(3 + 256, lib.vocab_size())), 1])
+    c = langid.expected_counts(words_, np.arange(1, len(words_) + 1), table, p[:, 0])
+    assert abs((c * lengths).sum() - sum(k * (1 + len(w)) for k, w in enumerate(words_, 1))) < 1e-6 * c.sum()
+
+
+def test_language_of_texts_by_brute_force():
+    table = langid.lattice(MODEL)
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    number = {lib.id_to_piece(i): i - 258 for i in range(3 + 256, lib.vocab_size())}
+    p = np.random.default_rng(2).random((table.size, 3)) * 1e-3
+    p[0], p[-1] = 0, langid.UNKNOWN
+    texts_ = [None, "", " 12 ", "Hello world", "un\u3000mot\xa0long", "a" * 300, "ß", "word " * 50]
+    for t, (lang, score) in zip(texts_, langid.classify(texts_, MODEL, ["a", "b", "c"], p), strict=True):
+        if not t or not any(x.isalpha() for x in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = np.array([sum(log_forward("▁" + w, table, p[:, k], number) for w in t.split()) for k in range(3)])
+        odds = np.exp(logs - logs.max())
+        assert lang == "abc"[odds.argmax()] and abs(score - odds.max() / odds.sum()) < 1e-6
+    tie = np.repeat(p[:, :1], 2, axis=1)
+    assert langid.classify(["Hello"], MODEL, ["x", "y"], tie) == [("x", 0.5)]
+
+
+def test_learning_and_prediction_split_words_alike(spark):
+    every = [c for c in map(chr, range(1, 0x3100)) if not "\ud800" <= c <= "\udfff"]
+    text = "w" + "w".join(every)
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(text,)], "text string").select(F.filter(F.split("text", langid.SPACES), lambda w: w != "")).first()[0]
+    assert row == text.split()
+
+
+def test_words_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(7)
+    texts_ = ["".join(rng.choice(["a", "B", "é", " ", "  ", "longer", "\n"]) for _ in range(rng.randrange(60))).encode() for _ in range(80)] + [b"x" * 500, b"", b"y z" * 90]
+    want = [words.word_hashes([t]) for t in texts_]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(words, "BLOCK", block)
+        words._powers.cache_clear()
+        hashes, first = words.word_hashes(texts_)
+        for (h, _), a, b in zip(want, first[:-1], first[1:], strict=True):
+            assert hashes[a:b].tolist() == h.tolist()
+    words._powers.cache_clear()
+
+
+def test_every_latin_character_is_encoded_as_by_the_library():
+    ours, lib = coder(*tokenizer()), Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    chars = [chr(c) for c in range(0x260)]
+    for c in chars:
+        for t in (c, f"a{c}b", f" {c} {c}{c}1", f"\n{c}\n", f"'{c}s", f"{c}\u00a0 {c}"):
+            assert ours.library_ids(t) == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    ours.memo.clear()
+    assert ours.counts(["日本", " the", "<|endoftext|>"]) == [len(ours.ids(x)) for x in ("日本", " the", "<|endoftext|>")]
+
+
+def test_wavelet_file_is_compressed_and_finds_places():
+    rng = np.random.default_rng(3)
+    t = (rng.zipf(1.3, 60_000) % 50257).astype(np.uint16)
+    data = WaveletMatrix.build(t, np.arange(3), np.array([0, 10, 20, 60_000])).dump()
+    share = np.bincount(t)[np.unique(t)] / len(t)
+    entropy = -(share * np.log2(share)).sum()
+    assert len(data) * 8 < len(t) * (entropy + 1) * 1.07 + 72 * len(share) + 20_000 and len(data) < 2 * len(t)
+    w = WaveletMatrix.load(data)
+    for token in (1, 2, 5, int(t[-1]), 40_001):
+        assert w.places(token).tolist() == np.flatnonzero(t == token).tolist()
+    assert list(w.documents()) == [(0, 0, 10), (1, 10, 20), (2, 20, 60_000)]
+    one = WaveletMatrix.load(WaveletMatrix.build(np.full(9, 4, np.uint16), np.zeros(0), np.zeros(1)).dump())
+    assert one.tokens().tolist() == [4] * 9 and one.access(3) == 4 and one.select(4, 8) == 8 and one.rank(4, 5) == 5 and one.rank(3, 5) == 0
+
+
+def test_leaves_stay_pretokens_after_many_edits():
+    c = token_counts.counter(tokenizer())
+    rng = random.Random(8)
+    t, lib = "some words and more of them", coder(*tokenizer())
+    tree = token_counts.PretokenTree.of(t, c)
+    most = 0
+    for k in range(300):
+        s = rng.randrange(len(t) + 1)
+        t, n = tree.edit(t, s, s + rng.randrange(4), rng.choice([" new words here", "x", "", "\n\n", "'s"]), c)
+        most = max(most, n)
+        chars, tokens = tree.leaves()
+        assert (chars.tolist(), tokens.tolist()) == tuple(c.parts(t)), k
+    assert tree.total() == len(lib.ids(t)) and most < 20
+
+
+def test_place_of_an_item_is_where_it_stands():
+    index = decontam.build_index([(None, "one two three four five six"), (2, " ".join(f"w{i}" for i in range(30)))])
+    long_ = " ".join(f"w{i}" for i in range(30) if i != 7)
+    texts_ = [b"a b c One two, three four five six d", f"x y {long_} z".encode(), b"one two three five six", b"q one two three new four five six"]
+    assert decontam.find_items(index, texts_) == [[(0, 0, 3)], [(1, 1, 2)], [(0, 1, 0)], [(0, 1, 1)]]
+
+
+def encode_baseline(image, sampling=(1, 1), every=0):
+    """A plain JPEG writer: one quantiser of ones, codes of equal length, chroma of 128 where sampled."""
+    import struct
+
+    from junctura.llm import jpeg
+
+    h, v = sampling
+    rows, columns = image.shape
+    across, down = -(-columns // (8 * h)), -(-rows // (8 * v))
+    full = np.pad(image, ((0, down * 8 * v - rows), (0, across * 8 * h - columns)), mode="edge").astype(float) - 128
+    cos = jpeg._cosines()
+    dc_symbols, ac_symbols = bytes(range(12)), bytes(r << 4 | s for r in range(16) for s in range(11))
+    ac_code = {s: i for i, s in enumerate(ac_symbols)}
+    bits, out, last = [], [], [0, 0, 0]
+
+    def put(value, n):
+        bits.extend(int(b) for b in format(value, f"0{n}b")) if n else None
+
+    def flush():
+        while len(bits) % 8:
+            bits.append(1)
+        data = bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+        bits.clear()
+        out.append(data.replace(b"\xff", b"\xff\0"))
+
+    def block(coefficients, part):
+        z = [int(round(coefficients[i])) for i in jpeg.ZIGZAG]
+        diff, last[part] = z[0] - last[part], z[0]
+        n = abs(diff).bit_length()
+        put(n, 4)
+        put(diff if diff >= 0 else diff + (1 << n) - 1, n)
+        run = 0
+        for c in z[1:]:
+            if not c:
+                run += 1
+                continue
+            while run > 15:
+                put(ac_code[0xF0], 8)
+                run -= 16
+            n = abs(c).bit_length()
+            put(ac_code[run << 4 | n], 8)
+            put(c if c >= 0 else c + (1 << n) - 1, n)
+            run = 0
+        if run:
+            put(ac_code[0], 8)
+
+    mark = lambda kind, body: struct.pack(">HH", 0xFF00 | kind, len(body) + 2) + body
+    parts = 1 if sampling == (1, 1) else 3
+    for m in range(across * down):
+        if every and m and m % every == 0:
+            flush()
+            out.append(bytes([0xFF, 0xD0 + (m // every - 1) % 8]))
+            last[:] = [0, 0, 0]
+        for y in range(v):
+            for x in range(h):
+                r, c = (m // across * v + y) * 8, (m % across * h + x) * 8
+                block((cos @ full[r : r + 8, c : c + 8] @ cos.T).reshape(-1), 0)
+        for part in range(1, parts):
+            block(np.zeros(64), part)
+    flush()
+    sof = struct.pack(">BHHB", 8, rows, columns, parts) + bytes([1, h << 4 | v, 0]) + b"".join(bytes([k, 0x11, 0]) for k in range(2, parts + 1))
+    counts = lambda n, length: bytes(n if k == length else 0 for k in range(1, 17))
+    scan = bytes([parts]) + b"".join(bytes([k, 0]) for k in range(1, parts + 1)) + bytes([0, 63, 0])
+    head = b"\xff\xd8" + mark(0xDB, b"\0" + b"\1" * 64) + mark(0xC0, sof) + mark(0xC4, b"\0" + counts(12, 4) + dc_symbols) + mark(0xC4, b"\x10" + counts(len(ac_symbols), 8) + ac_symbols)
+    return head + (mark(0xDD, struct.pack(">H", every)) if every else b"") + mark(0xDA, scan) + b"".join(out) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("size,sampling,every", [((8, 8), (1, 1), 0), ((37, 50), (1, 1), 3), ((40, 33), (2, 2), 0), ((16, 48), (2, 1), 2)])
+def test_baseline_frames_are_decoded(size, sampling, every):
+    from junctura.llm import jpeg, media
+
+    rng = np.random.default_rng(size[0])
+    image = np.clip(rng.integers(0, 256, size) * 0.3 + np.linspace(0, 180, size[1]), 0, 255).astype(np.uint8)
+    frame = encode_baseline(image, sampling, every)
+    assert np.abs(jpeg.decode_baseline(frame).astype(int) - image).max() <= 2
+    for cut in (0, 2, 30, 200, len(frame) // 2):
+        assert media.decode_one(frame[:cut]) is None
+    lossless = mjpeg.frame_head() + mjpeg.encode_frames(np.full((1, 24, 24), 9, np.uint8))[0] + mjpeg.EOI
+    found = media.decode_any([b"junk", frame, b"", lossless, frame])
+    assert [x.shape for x in found] == [(1, 1), size, size, (24, 24), size] and (found[2] == found[1]).all()
+
+
+def test_avi_index_kinds():
+    import struct
+
+    frames = [b"\xff\xd8one\xff\xd9", b"\xff\xd8three\xff\xd9"]
+    data = mjpeg.write_avi(frames)
+    at = data.index(b"idx1")
+    movi = data.index(b"movi")
+    absolute = bytearray(data)
+    for k in range(2):
+        place = struct.unpack_from("<I", data, at + 16 + 16 * k)[0]
+        struct.pack_into("<I", absolute, at + 16 + 16 * k, place + movi)
+    assert mjpeg.read_avi(data)[1] == mjpeg.read_avi(bytes(absolute))[1] == mjpeg.read_avi(data[:at])[1] == frames
+    for n in (0, 3, 11, 40, movi + 9, at - 3):
+        with pytest.raises(ValueError):
+            mjpeg.read_avi(data[:n])

@@ -1,16 +1,29 @@
 """Queries against their SQL on the smallest tables."""
 
+import functools
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from junctura.plans import oracles
+from junctura.plans import queries as plans
 from junctura.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 CHECKED = sorted(oracles.ORACLES)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Steps that most queries begin with give written tables; one of each serves all tests here."""
+    patch = pytest.MonkeyPatch()
+    for step in (plans.kept, plans.close, plans.gene_bins, plans.summary):
+        patch.setattr(plans, step.__name__, functools.cache(step))
+    yield
+    patch.undo()
+
+
 def norm(rows):
     return sorted(tuple(str(x) for x in r) for r in rows)
 

@@ -47,9 +47,9 @@ class Coder:
         self.tokenizer.encode_special_tokens = ordinary
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def counts(self, parts: list[str]) -> list[int]:
-        """Number of ids of each pre-token, special tokens' contents as ordinary text."""
-        if any(OTHER.search(x) for x in set(parts)):
+    def counts(self, parts: list[str], text: str | None = None) -> list[int]:
+        """Number of ids of each pre-token (of ``text``), special tokens' contents as ordinary text."""
+        if OTHER.search("".join(parts) if text is None else text):
             return [len(self.ids(x)) for x in parts]
         return [len(x) // 2 for x in self._parts(parts)]
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ class Counter:
     def parts(self, text: str) -> tuple[list[int], list[int]]:
         """(characters, tokens) of each pre-token of ``text``."""
         parts = self.find.findall(text)
-        return list(map(len, parts)), self.encode.counts(parts)
+        return list(map(len, parts)), self.encode.counts(parts, text)
 
 
 def counter(files: tuple[str, str]) -> Counter:
@@ -75,6 +76,15 @@ class PretokenTree:
         chars, tokens = self.chars[self.cap :], self.tokens[self.cap :]
         return chars[chars > 0], tokens[chars > 0]
 
+    def dump(self) -> tuple[bytes, bytes]:
+        """``leaves`` as little-endian 32-bit integers."""
+        chars, tokens = self.leaves()
+        return chars.astype("<i4").tobytes(), tokens.astype("<i4").tobytes()
+
+    @classmethod
+    def load(cls, chars: bytes, tokens: bytes) -> PretokenTree:
+        return cls(np.frombuffer(chars, "<i4"), np.frombuffer(tokens, "<i4"))
+
     def total(self) -> int:
         return int(self.tokens[1])
 
@@ -134,16 +144,20 @@ class PretokenTree:
         self.__init__(held[0][used], held[1][used])
 
 
-def build_trees(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, chars, tokens): each text (null: empty) with the leaves of its tree, to be stored."""
+LEAVES = "doc_id long, text string, chars binary, tokens binary"
 
-    def make(batch: pa.RecordBatch) -> dict:
-        counts = counter(files)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        chars, tokens = zip(*map(counts.parts, texts), strict=True)
-        return {"doc_id": batch.column(0), "text": texts, "chars": chars, "tokens": tokens}
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id", "text"], make, "doc_id long, text string, chars array<int>, tokens array<int>")
+def _built(batch: pa.RecordBatch, files: tuple[str, str]) -> dict:
+    counts = counter(files)
+    leaves = [tuple(np.array(x, "<i4").tobytes() for x in counts.parts(t.as_py() or "")) for t in batch.column(1)]
+    chars, tokens = zip(*leaves, strict=True)
+    return {"doc_id": batch.column(0), "text": pc.fill_null(batch.column(1), ""), "chars": chars, "tokens": tokens}
+
+
+def build_trees(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, chars, tokens): each text (null: empty) with the leaves of its tree (little-endian 32-bit integers), to be stored."""
+    ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return map_batches(ready, ["id", "text"], lambda batch: _built(batch, files), LEAVES)
 
 
 def edit_trees(trees: DataFrame, files: tuple[str, str], edits_col: str = "edits") -> DataFrame:
@@ -157,32 +171,26 @@ def edit_trees(trees: DataFrame, files: tuple[str, str], edits_col: str = "edits
         counts = counter(files)
         names = ("n_tokens", "n_pretokens", "after", "encoded", "text", "chars", "tokens")
         out = []
-        for now, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            tree = PretokenTree(chars, tokens)
-            n, parts = tree.total(), len(chars)
+        for text, chars, tokens, edits in zip(*batch.columns[1:], strict=True):
+            now, tree = text.as_py(), PretokenTree.load(chars.as_py(), tokens.as_py())
+            n, parts = tree.total(), len(chars.as_py()) // 4
             after, encoded = [], []
-            for e in edits or []:
+            for e in edits.as_py() or []:
                 if e is not None:
                     now, k = tree.edit(now, e["start"] or 0, e["end"] or 0, e["text"] or "", counts)
                     encoded.append(k)
                     after.append(tree.total())
-            out.append((n, parts, after, encoded, now, *tree.leaves()))
+            out.append((n, parts, after, encoded, now, *tree.dump()))
         return {"doc_id": batch.column(0)} | dict(zip(names, zip(*out, strict=True), strict=True))
 
     ready = trees.select("doc_id", "text", "chars", "tokens", F.col(edits_col).cast(EDIT).alias("edits"))
-    return map_batches(ready, ready.columns, make, "doc_id long, n_tokens long, n_pretokens long, after array<bigint>, encoded array<bigint>, text string, chars array<int>, tokens array<int>")
+    return map_batches(ready, ready.columns, make, "doc_id long, n_tokens long, n_pretokens long, after array<bigint>, encoded array<bigint>, text string, chars binary, tokens binary")
 
 
 def edited_counts(rows: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """(doc_id, n_tokens, n_pretokens, after, encoded, text) of rows without a stored tree: it is built and edited at once."""
-
-    def make(batch: pa.RecordBatch) -> dict:
-        counts = counter(files)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "text": texts, "edits": batch.column(2)} | dict(zip(("chars", "tokens"), zip(*map(counts.parts, texts), strict=True), strict=True))
-
     ready = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDIT).alias("edits"))
-    built = map_batches(ready, ready.columns, make, f"doc_id long, text string, chars array<int>, tokens array<int>, edits {EDIT}")
+    built = map_batches(ready, ready.columns, lambda batch: _built(batch, files) | {"edits": batch.column(2)}, f"{LEAVES}, edits {EDIT}")
     return edit_trees(built, files).drop("chars", "tokens")
 
 

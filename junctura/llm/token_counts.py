@@ -50,6 +50,17 @@ def counter(files: tuple[str, str]) -> Counter:
     return Counter(coder(*files), files[1])
 
 
+def pack(values: list[int] | np.ndarray) -> bytes:
+    """A byte with the width, then the values in that many bytes each: one, or four where a value needs them."""
+    values = np.asarray(values, np.int64)
+    width = 1 if values.max(initial=0) < 256 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class PretokenTree:
     """Sums over pre-tokens in heap order: node 1 is the root, node i has children 2i and 2i + 1, leaf k is node cap + k; a leaf without characters is free."""
 
@@ -77,13 +88,13 @@ class PretokenTree:
         return chars[chars > 0], tokens[chars > 0]
 
     def dump(self) -> tuple[bytes, bytes]:
-        """``leaves`` as little-endian 32-bit integers."""
+        """``leaves``, packed."""
         chars, tokens = self.leaves()
-        return chars.astype("<i4").tobytes(), tokens.astype("<i4").tobytes()
+        return pack(chars), pack(tokens)
 
     @classmethod
     def load(cls, chars: bytes, tokens: bytes) -> PretokenTree:
-        return cls(np.frombuffer(chars, "<i4"), np.frombuffer(tokens, "<i4"))
+        return cls(unpack(chars), unpack(tokens))
 
     def total(self) -> int:
         return int(self.tokens[1])
@@ -149,13 +160,13 @@ LEAVES = "doc_id long, text string, chars binary, tokens binary"
 
 def _built(batch: pa.RecordBatch, files: tuple[str, str]) -> dict:
     counts = counter(files)
-    leaves = [tuple(np.array(x, "<i4").tobytes() for x in counts.parts(t.as_py() or "")) for t in batch.column(1)]
+    leaves = [tuple(pack(x) for x in counts.parts(t.as_py() or "")) for t in batch.column(1)]
     chars, tokens = zip(*leaves, strict=True)
     return {"doc_id": batch.column(0), "text": pc.fill_null(batch.column(1), ""), "chars": chars, "tokens": tokens}
 
 
 def build_trees(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, chars, tokens): each text (null: empty) with the leaves of its tree (little-endian 32-bit integers), to be stored."""
+    """(doc_id, text, chars, tokens): each text (null: empty) with the leaves of its tree (see ``pack``), to be stored."""
     ready = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return map_batches(ready, ["id", "text"], lambda batch: _built(batch, files), LEAVES)
 
@@ -173,7 +184,7 @@ def edit_trees(trees: DataFrame, files: tuple[str, str], edits_col: str = "edits
         out = []
         for text, chars, tokens, edits in zip(*batch.columns[1:], strict=True):
             now, tree = text.as_py(), PretokenTree.load(chars.as_py(), tokens.as_py())
-            n, parts = tree.total(), len(chars.as_py()) // 4
+            n, parts = tree.total(), len(unpack(chars.as_py()))
             after, encoded = [], []
             for e in edits.as_py() or []:
                 if e is not None:

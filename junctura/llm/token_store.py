@@ -58,13 +58,14 @@ def write_shards(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id"
     most = SHARD_BYTES
 
     def build(batches):
-        encode = coder(*files).packed
-        end = np.array([END], "<u2").tobytes()
-        shard, size, ids, ends, parts = None, 0, [], [], []
+        encode = coder(*files).encode
+        shard, size, ids, texts = None, 0, [], []
 
         def done():
-            tokens = np.frombuffer(b"".join(parts), "<u2")
-            starts = np.cumsum([0, *ends])
+            coded, sizes = encode(texts)
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+            tokens = np.full(starts[-1], END, "<u2")
+            tokens[np.arange(len(coded)) + np.repeat(np.arange(len(sizes)), sizes)] = coded
             data = WaveletMatrix.build(tokens, np.array([NO_ID if i is None else i for i in ids], np.int64), starts).dump()
             return pa.RecordBatch.from_pydict({"shard": [shard], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [len(tokens)], "data": [data]}, schema=pa.schema([("shard", pa.int64()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())]))
 
@@ -76,12 +77,10 @@ def write_shards(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id"
                     shard = part << 32
                 elif part != shard >> 32 or size + own > most:
                     yield done()
-                    shard, size, ids, ends, parts = shard + 1 if part == shard >> 32 else part << 32, 0, [], [], []
+                    shard, size, ids, texts = shard + 1 if part == shard >> 32 else part << 32, 0, [], []
                 size += own
-                coded = encode(text)
                 ids.append(key)
-                ends.append(len(coded) // 2 + 1)
-                parts += [coded, end]
+                texts.append(text)
         if ids:
             yield done()
 

@@ -55,6 +55,11 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def parted(values: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Stable partition of ``values`` by a bit each, zeros first (places, not masks: masks of random bits are slow to follow)."""
+    return np.concatenate([np.compress(~one, values), np.compress(one, values)])
+
+
 class Plane:
     """Bits of a level with rank and select."""
 
@@ -130,7 +135,7 @@ class WaveletMatrix:
         for level in range(levels):
             one = (now & now.dtype.type(1 << level)) != 0
             self.planes.append(Plane.of(one))
-            now = np.concatenate([now[~one], now[one]])
+            now = parted(now, one)
             now = now[: len(now) - self.ended(level + 1)]
         return self
 
@@ -167,7 +172,7 @@ class WaveletMatrix:
         place = np.arange(self.n, dtype=np.uint32)
         for level, plane in enumerate(self.planes):
             one = plane.unpacked()
-            place = np.concatenate([place[~one], place[one]])
+            place = parted(place, one)
             keep = len(place) - self.ended(level + 1)
             a, b = self.first[level + 1], self.first[level + 2]
             out[place[keep:]] = np.repeat(self.symbols[a:b], self.freqs[a:b])

@@ -4,9 +4,9 @@ All ids come from the library. It splits a text into pre-tokens before it merges
 pre-tokens one after another.
 
 Many texts at once (``encode``) are cut before each space that follows a character which nobody takes for white space: a
-pre-token holds white space only at its start or throughout, so one always ends there. The distinct pieces of all texts,
-joined again, are encoded once, and the ids' byte lengths tell where each piece ends. Texts with other white space
-before a space, or with a special token's content, go to the library whole.
+pre-token holds white space only at its start or throughout, so one always ends there. Texts are taken in blocks; a block's
+distinct pieces that the worker does not remember (bounded; started anew when full and of little help) are joined again and encoded, and the ids' byte lengths tell
+where each piece ends. Texts with other white space before a space, or with a special token's content, go to the library whole.
 
 Single pre-tokens (``counts``, ``ids``): texts in Latin letters are cut by the file's pattern, and the library encodes only those
 that are not in the worker's memo (bounded; started anew when full). Other texts, whose letters two Unicode versions might class
@@ -32,6 +32,8 @@ MEMO_ROWS = 250_000
 BLANK_END = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]\z"
 #: Bytes of distinct pieces in one call of the library.
 CALL_BYTES = 256 << 10
+#: Bytes of text that are cut into pieces at once (or one longer text), and pieces to remember.
+BLOCK_BYTES, MEMO_PIECES = 8 << 20, 600_000
 
 
 class Coder:
@@ -43,6 +45,7 @@ class Coder:
             raise ValueError("ids do not fit 16 bits")
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self._forget()
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one character of a byte-level token is one byte
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
@@ -69,9 +72,28 @@ class Coder:
             return [len(self.ids(x)) for x in parts]
         return [len(x) // 2 for x in self._parts(parts)]
 
+    def _forget(self) -> None:
+        self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u2"), np.zeros(0, np.int32)
+
+    def _rows(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each of ``pieces``, ids of all rows, ids of each row): rows are the known pieces, then new ones."""
+        row = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy().copy()
+        new = row < 0
+        more = int(new.sum())
+        full = len(self.known) + more > MEMO_PIECES
+        if full and len(self.known) and 2 * more > len(pieces):  # what is known helps little here
+            self._forget()
+            return self._rows(pieces)
+        row[new] = len(self.known) + np.arange(more)
+        fresh = pieces.filter(pa.array(new))
+        ids, sizes = self._pieces(fresh)
+        ids, sizes = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes.astype(np.int32)])
+        if not full:
+            self.known, self.known_ids, self.known_sizes = pa.concat_arrays([self.known, fresh]), ids, sizes
+        return row, ids, sizes
+
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each piece) of ``pieces``, each with a space before it."""
-        self.tokenizer.encode_special_tokens = False
         end = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         ids, sizes = [], []
         at = 0
@@ -91,8 +113,23 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text) in the library's default setting: contents of added tokens become those tokens."""
-        if not texts:
-            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        made = [(np.zeros(0, "<u2"), np.zeros(0, np.int64))]
+        self.tokenizer.encode_special_tokens = False
+        block, size = [], 0
+        for text in texts:
+            own = len(text.encode()) + 1
+            if block and size + own > BLOCK_BYTES:
+                made.append(self._block(block))
+                block, size = [], 0
+            block.append(text)
+            size += own
+        if block:
+            made.append(self._block(block))
+        pa.default_memory_pool().release_unused()
+        ids, sizes = zip(*made, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         column = pa.array(texts, pa.string())
         whole = np.zeros(len(texts), bool)
         for a in self.added:
@@ -111,25 +148,25 @@ class Coder:
         inner[starts[:-1]] = False
         asked = np.zeros(len(blank), bool)
         asked[number[inner]] = True
-        ids, sizes = self._pieces(words.dictionary.filter(pa.array(asked & ~blank)))
+        order = np.full(len(blank), -1)
+        order[asked & ~blank], ids, sizes = self._rows(words.dictionary.filter(pa.array(asked & ~blank)))
 
-        # one row of ids for each of these pieces, then one for each text that is encoded by itself: blank ends, heads, whole texts
+        # one row of ids for each of these pieces and known ones, then one for each text that is encoded by itself: blank ends, heads, whole texts
         heads = [t if w else x for t, x, w in zip(texts, alone, whole.tolist(), strict=True)]
         ends = [" " + x for x in words.dictionary.filter(pa.array(asked & blank)).to_pylist()]
         place = {x: i for i, x in enumerate(dict.fromkeys(ends + heads), len(sizes))}
         found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2") for x in place]
         ids = np.concatenate([ids, *found])
-        sizes = np.concatenate([sizes, np.array([len(x) for x in found], np.int64)])
-        order = np.cumsum(asked & ~blank) - 1
+        sizes = np.concatenate([sizes, np.array([len(x) for x in found], np.int32)])
         order[asked & blank] = [place[x] for x in ends]
         row = order[number]
         row[starts[:-1]] = [place[x] for x in heads]
         inner[starts[:-1]] = True
         row = row[inner]
         size = sizes[row]
-        end = np.concatenate([[0], np.cumsum(size)])
+        end = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         kind = np.int32 if max(end[-1], len(ids)) < 1 << 31 else np.int64
-        at = np.repeat(((np.cumsum(sizes) - sizes)[row] - end[:-1]).astype(kind), size)
+        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[row] - end[:-1]).astype(kind), size)
         at += np.arange(len(at), dtype=kind)
         last = np.concatenate([[0], np.cumsum(np.add.reduceat(inner, starts[:-1], dtype=np.int64))])
         return ids[at], np.diff(end[last])

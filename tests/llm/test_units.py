@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from junctura.llm import automaton, decontam, dedup, langid, mjpeg, pieces, secret_scan, token_counts, words
+from junctura.llm import automaton, bpe, decontam, dedup, langid, mjpeg, pieces, secret_scan, token_counts, words
 from junctura.llm.bpe import coder
 from junctura.llm.token_store import tokenizer
 from junctura.llm.wavelet import WaveletMatrix
@@ -61,6 +61,25 @@ def test_packed_ids_equal_the_unchanged_library():
     assert ours.library_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
+@pytest.mark.parametrize("block, call, memo", [(8 << 20, 256 << 10, 600_000), (200, 40, 60), (1, 1, 0)])
+def test_ids_of_many_texts_equal_the_unchanged_library(monkeypatch, block, call, memo):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", block)
+    monkeypatch.setattr(bpe, "CALL_BYTES", call)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", memo)
+    ours, lib = bpe.Coder(*tokenizer()), Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    blanks = [" ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u180e", "\u200b", "\u2003", "\u2028", "\u3000", "\ufeff"]
+    odd = ["".join(rng.choice([" ", rng.choice(blanks), rng.choice(PARTS)]) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    many = ["", " ", "  ", " a", "a ", "a  ", "a <|endoftext|> b", "x\n", "x \n", "x" * 3000, *texts(500, 30, 6), *odd, *odd[:50]]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in many]
+    for _ in range(2):  # the second time from what is remembered
+        ids, sizes = ours.encode(many)
+        ends = np.cumsum(sizes)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    ids, sizes = ours.encode([])
+    assert len(ids) == len(sizes) == 0
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 50257, 3000).astype(np.uint16)

@@ -536,3 +536,41 @@ def test_avi_index_kinds():
     for n in (0, 3, 11, 40, movi + 9, at - 3):
         with pytest.raises(ValueError):
             mjpeg.read_avi(data[:n])
+
+
+def test_one_pass_equals_each_rule_as_a_regex():
+    rules = secret_scan.RULES
+    scan = secret_scan.scanner()
+    rng = random.Random(8)
+    leads = ["ghp_", "xoxb-", "AKIA", "github_pat_", "glpat-", "npm_", "sk_live_", "hf_", "dop_v1_", "shpat_", "lin_api_", "dapi", "https://hooks.slack.com/services/", "token=", "secret: "]
+    fill = ["0123456789abcdef" * 2, "ABCDEFGH12345678", "xyz" * 12, "Zz9_", "-", "_", "/", ".", " ", "é", "\n", "=", ":", '"', "g", "https://hooks.", "sk_", "dop_"]
+    seen = set()
+    for _ in range(4000):
+        t = "".join(rng.choice(rng.choice([leads, fill])) for _ in range(rng.randrange(1, 14)))
+        want = []
+        for k, r in enumerate(rules):
+            if not r.block:
+                matches = re.finditer(f"(?P<lead>{r.lead})(?P<body>{r.unit}+)", t, re.A)
+                want += [(m.start(), k, m.start("lead" if r.whole else "body"), m.end()) for m in matches if m.end() - m.start("lead" if r.whole else "body") >= r.least]
+        assert secret_scan.spans(t, scan) == sorted(want), t
+        seen |= {k for _, k, _, _ in want}
+    assert seen == {k for k, r in enumerate(rules) if not r.block}
+
+
+def test_joined_automata_are_minimal():
+    made = [automaton.watch_rule("", "[0-9]", 2), automaton.watch_rule("ab?", "[a-c]", 1), automaton.watch_rule("x+y", "", 0)]
+    both = automaton.joined(made)
+    group = np.unique(both.accept, return_inverse=True)[1]
+    while True:
+        finer = np.unique(np.column_stack([group, group[both.table]]), axis=0, return_inverse=True)[1].reshape(-1)
+        if finer.max() == group.max():
+            break
+        group = finer
+    assert len(set(group.tolist())) == len(both.table)
+    classes, table, accept, state = both.flat()
+    rng = random.Random(3)
+    states = [(m.flat(), m.flat()[3]) for m in made]
+    for b in bytes(rng.choice(b"01abcxyz") for _ in range(3000)):
+        state = table[state + classes[b]]
+        states = [(f, f[1][s + f[0][b]]) for f, s in states]
+        assert accept[state] == sum(bool(f[2][s]) << k for k, (f, s) in enumerate(states))

@@ -8,8 +8,9 @@ How skew and size are met:
 
 * documents with equal sets are one class from the start (aggregated before anything is compared);
 * in each band's bucket all members are compared with one leader, the one with most company over all bands;
-  links are joined into components, and only buckets that then still hold several components are compared in
-  full, block against block. Pairs of one component can add nothing to the result, so no link is lost;
+  links are joined into components. Documents of buckets that then still hold several components meet once more
+  by their rarest shingles, an exact rule, and only there blocks are compared with blocks. Pairs of one
+  component can add nothing to the result, so no link is lost;
 * sets of too different sizes cannot reach the threshold and are passed over before texts are fetched;
 * joins on hot keys are plain shuffled joins, which adaptive execution splits, or salted; nothing gathers a bucket.
 """
@@ -35,8 +36,8 @@ PERCENT, SHINGLE = 85, 5
 #: The pipeline's stage: near-duplicates are documents with a similarity of 0.8; 24 bands of 5 miss such a pair with p = 7e-5.
 STAGE_PERCENT, STAGE_ROWS = 80, 5
 BLOCK_BYTES = 1 << 20
-#: Documents in a block of an open group, and in a group that is compared as a whole.
-BLOCK, GROUP = 256, 20_000
+#: Documents in a block of those that share a rare shingle.
+BLOCK = 256
 #: Parts that a hot group is dealt to where its rows meet a fact about the group.
 SALTS = 64
 
@@ -102,6 +103,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     return map_batches(full, ["a", "b", "ta", "tb"], make, "a long, b long")
 
 
+def shingled(texts: DataFrame) -> DataFrame:
+    """(id, text_key, shingles): the full set of each text; an id may have several texts."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = [s for _, part in blocks(texts_of(batch.column(2)), BLOCK_BYTES) for s in shingle_sets(part, SHINGLE)]
+        offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+        flat = np.concatenate([np.zeros(0, U64), *sets]).view(np.int64)
+        return {"id": batch.column(0), "text_key": batch.column(1), "shingles": pa.ListArray.from_arrays(offsets, pa.array(flat))}
+
+    return map_batches(texts.select("id", F.xxhash64("text").alias("text_key"), "text"), ["id", "text_key", "text"], make, "id long, text_key long, shingles array<bigint>")
+
+
 def cell_links(percent: int, rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the two sides of a cell, as a forest: enough to join what they join, one row a document at most.
 
@@ -162,24 +175,34 @@ def with_group_fact(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
 def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between documents that share a bucket but not a component.
 
-    Buckets with more than one component are joined to groups (by shared documents; a bucket by itself where a
-    group would exceed GROUP documents). A group's documents are dealt to blocks, and each pair of blocks is a
-    cell that one task compares exactly: no row is made for a pair, and no task holds more than two blocks.
+    Such open documents are brought together anew by rare shingles. A document of n shingles shares at least
+    need = ceil(percent * n / 100) of them with each partner, hence one of its n - need + 1 rarest (in one order
+    for all documents); shingles that no other open document has come first and are never looked up. Documents that merely share
+    a passage so drop out before any comparison. Of rare shingles with the same documents one is kept; two
+    documents are a pair, more are dealt to blocks, and each pair of blocks is a cell that one task compares exactly.
     """
     placed = members.filter("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("first")).filter("lo < hi")
-    left = cut(placed.join(mixed.select("band", "key", "first"), ["band", "key"]).select("band", "key", "first", "id", "root"), "open")
-    groups = components(left.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    grouped = left.join(groups.select("id", F.col("root").alias("group")), "id")
-    large = grouped.select("group", "id").distinct().groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP).select("group", F.lit(True).alias("large"))
-    grouped = with_group_fact(grouped, large, "left").withColumn("group", F.when(F.col("large"), F.xxhash64("band", "key")).otherwise(F.col("group")))
-    grouped = cut(grouped.select("group", "id", "root").distinct(), "groups")
-    count = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    block = with_group_fact(grouped, count, "inner").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    left = cut(placed.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("id", "root").distinct(), "open")
+    if left.isEmpty():
+        return left.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    sets = cut(shingled(texts.join(left.hint("merge"), "id", "left_semi")), "sets")
+    each = sets.select("id", "text_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("docs")).filter("docs > 1")
+    held = each.join(shared.hint("merge"), "shingle").groupBy("id", "text_key", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("shared"))
+    rare = held.withColumn("take", F.expr(f"size(shared) - (n * {percent}L + 99) div 100 + 1")).filter("take > 0")
+    rare = rare.select("id", F.explode(F.slice("shared", F.lit(1), F.col("take").cast("int"))).alias("s")).select("id", F.col("s.shingle").alias("group"))
+    rare = cut(rare.distinct().join(left, "id"), "rare")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    kinds = rare.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size"), *marks)
+    kinds = cut(kinds.filter("lo < hi").groupBy("size", "mark0", "mark1").agg(F.min("group").alias("group"), F.first("a").alias("a"), F.first("b").alias("b")), "kinds")
+    pairs = confirm(cut(kinds.filter("size = 2").select("a", "b"), "pairs"), texts, percent)
+    count = kinds.filter("size > 2").select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("n"))
+    block = with_group_fact(rare, count, "inner").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     cells = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     full = cells.select("group", "i", "j", "block", "id", "root").hint("merge").join(texts, "id")
     found = full.groupBy("group", "i", "j").applyInPandas(functools.partial(cell_links, percent), "a long, b long")
-    return cut(found, "links")
+    return cut(pairs.union(found), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, rows: int = ROWS) -> DataFrame:

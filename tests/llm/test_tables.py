@@ -1,6 +1,7 @@
 """Operators over small tables: nulls, empty and long texts, repeated rows, empty tables, clashing columns; and brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -393,3 +394,33 @@ def test_chats_escape_until_identical(spark):
     broken = ["", "x", fake + "x", fake.replace("esc", "exc"), fake[:-1], fake.replace("user", "us<er"), fake.replace('"0"', '"1"').replace("hi", "a<b"), fake.replace("hi", "<turn")]
     parsed = spark.createDataFrame([(i, t) for i, t in enumerate([*broken, fake])], "i int, t string").select("i", F.exists(chat.parse(F.col("t")), lambda x: x["text"].isNull()).alias("bad"), F.size(chat.parse(F.col("t"))).alias("n")).orderBy("i").collect()
     assert [r.bad for r in parsed] == [True] * len(broken) + [False] and parsed[-1].n == 1
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_open_buckets_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    stems = [[f"s{k}w{i}" for i in range(60)] for k in range(8)]
+    texts = {}
+    for i in range(90):
+        own = list(stems[i % 8]) if i % 3 else [f"d{i}w{k}" for k in range(60)]
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(60)] = f"x{rng.randrange(6)}"
+        texts[i] = passage + own
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+
+    def joined(edges):
+        root = {i: i for i in sets}
+        for _ in range(90):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    members = spark.createDataFrame([(0, 7, i, len(sets[i]), 90) for i in texts], "band int, key long, id long, n long, m long")
+    rows = [(i, " ".join(w)) for i, w in texts.items()]
+    stored = spark.createDataFrame([*rows, rows[4]], "id long, text string")
+    found = dedup.open_links(members, spark.createDataFrame([], "id long, root long"), stored, 85).collect()
+    assert 20 < len(linked) and {(min(r), max(r)) for r in found} <= set(linked)
+    assert joined([tuple(r) for r in found]) == joined(linked)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from junctura.llm import chat, decontam, dedup, langid, licenses, media, repair, secret_scan, sp_encode, token_counts, token_store
+from junctura.llm import chat, decontam, dedup, langid, licenses, media, mtree, repair, secret_scan, sp_encode, token_counts, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_avi_media": media.op9_avi_media,
     "op10_wavelet_tokens": token_store.op10_wavelet_tokens,
+    "op11_exact_top_k": mtree.op11_exact_top_k,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLES = {
     "op5_minmax_dedup": dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_exact_top_k": mtree.ORACLE,
     "op13_conversation_repair": repair.ORACLE,
 }

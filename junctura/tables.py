@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,15 +36,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATH_OF[table] = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Removes a table that ``cut`` gave, once nothing reads it any more: the tables of rounds before the last."""
+    path = _PATH_OF.pop(table)
+    _WRITTEN.remove(path)
+    _remove(table.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes the tables that this process wrote; what was made from them must have been read or written by then."""
-    conf = spark._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _remove(spark, _WRITTEN.pop())
 
 
 def components(edges: DataFrame) -> DataFrame:

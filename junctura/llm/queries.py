@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from junctura.llm import chat, decontam, dedup, langid, licenses, media, mtree, repair, secret_scan, sp_encode, token_counts, token_store
+from junctura.llm import chat, decontam, dedup, langid, licenses, media, mtree, repair, secret_scan, sp_encode, token_counts, token_store, yinyang
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_avi_media": media.op9_avi_media,
     "op10_wavelet_tokens": token_store.op10_wavelet_tokens,
     "op11_exact_top_k": mtree.op11_exact_top_k,
+    "op12_yinyang_clusters": yinyang.op12_yinyang_clusters,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op5_minmax_dedup": dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
     "op11_exact_top_k": mtree.ORACLE,
+    "op12_yinyang_clusters": yinyang.ORACLE,
     "op13_conversation_repair": repair.ORACLE,
 }

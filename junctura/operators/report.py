@@ -29,13 +29,29 @@ def exon_arrays(exons: DataFrame) -> DataFrame:
     return exons.select("gene_id", "gene_name", row.alias("exons"))
 
 
-def with_frames(oriented: DataFrame, exons: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
-    """Adds frame, mframe and both gene names; genes without exons give -2 and a null name."""
+def first_genes(oriented: DataFrame, order: list[str]) -> DataFrame:
+    """(g, m, gene, mgene): the genes of each cluster's first read by (coord, mcoord), then ``order``; an aggregation with partial results."""
+    by = list(dict.fromkeys(["coord", "mcoord", *order]))
+    first = F.min(F.struct(*[F.col(c).alias(f"by_{c}") for c in by], "gene", "mgene")).alias("f")
+    return oriented.groupBy("g", "m").agg(first).select("g", "m", "f.gene", "f.mgene")
+
+
+def with_frames(oriented: DataFrame, exons: DataFrame, cfg: FusionConfig = FusionConfig(), order: list[str] | None = None) -> DataFrame:
+    """Adds frame, mframe and both gene names; genes without exons give -2 and a null name.
+
+    compat "literal": the exon lists (and names) of a cluster are those of its first read's genes, for all its reads, and a list's first frame is
+    given for every hit. A first read whose gene has no exons gives -2 and a null name to the whole cluster.
+    """
     table = exon_arrays(exons)
-    a = table.select(F.col("gene_id").alias("gene"), F.col("gene_name"), F.col("exons").alias("_a"))
-    b = table.select(F.col("gene_id").alias("mgene"), F.col("gene_name").alias("mgene_name"), F.col("exons").alias("_b"))
     literal = cfg.compat == "literal"
-    joined = oriented.join(a, "gene", "left").join(b, "mgene", "left")
+    a = table.select(F.col("gene_id").alias("_gene"), F.col("gene_name"), F.col("exons").alias("_a"))
+    b = table.select(F.col("gene_id").alias("_mgene"), F.col("gene_name").alias("mgene_name"), F.col("exons").alias("_b"))
+    if literal:
+        lists = first_genes(oriented, order or []).withColumnsRenamed({"gene": "_gene", "mgene": "_mgene"})
+        listed = lists.join(a, "_gene", "left").join(b, "_mgene", "left").drop("_gene", "_mgene")  # one row a cluster
+        joined = oriented.join(listed, ["g", "m"])
+    else:
+        joined = oriented.join(a, F.col("gene") == F.col("_gene"), "left").join(b, F.col("mgene") == F.col("_mgene"), "left").drop("_gene", "_mgene")
     return joined.withColumns({"frame": F.coalesce(exon_frame(F.col("_a"), F.col("coord"), cfg.slack, literal), F.lit(-2)), "mframe": F.coalesce(exon_frame(F.col("_b"), F.col("mcoord"), cfg.slack, literal), F.lit(-2))}).drop("_a", "_b")
 
 

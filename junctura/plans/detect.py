@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
 from junctura.operators import annotate, clusters, proximity, report
 from junctura.operators.cover import greedy_cover
+from junctura.sources import sam, sam_bytes
 from junctura.tables import cut
 
 
@@ -45,18 +45,13 @@ def detect(reads: DataFrame, genes: DataFrame, families: DataFrame, exons: DataF
     """``reads``: mapped records with chr, coord, mchr, mcoord, line_len; ``order`` ranks equal records. Other columns stay behind."""
     slim = reads.select(*dict.fromkeys(["chr", "coord", "mchr", "mcoord", "line_len", *order]))
     won = greedy_cover(supported(slim, genes, families, order, cfg), cfg.min_reads)
-    framed = cut(report.with_frames(report.orient(won), exons, cfg), "supporting")
+    framed = cut(report.with_frames(report.orient(won), exons, cfg, order), "supporting")
     summary = report.summarize(framed, header_bytes, ["coord", "mcoord", *[c for c in order if c not in ("coord", "mcoord")]], cfg)
     return FusionResult(framed, summary, report.cluster_list(summary, chrs))
 
 
-def supporting_lines(result: FusionResult, raw: str = "raw", lines: DataFrame | None = None) -> DataFrame:
-    """(cluster_rank, coord, mcoord, value): raw lines by cluster, then position.
-
-    ``lines``: (line_key, raw) of the source, joined here by line_key, so that only supporting reads meet their text;
-    without it, the reads carry the text themselves.
-    """
+def supporting_lines(result: FusionResult, path: str) -> DataFrame:
+    """(cluster_rank, coord, mcoord, file, position, line_len, value): lines by cluster, then position. Their text is read from the SAM files
+    at ``path`` by byte ranges; nothing else of these is read or shuffled."""
     ranked = result.reads.join(result.summary.select("g", "m", "cluster_rank"), ["g", "m"])
-    if lines is not None:
-        ranked = ranked.join(lines.select("line_key", raw).dropDuplicates(["line_key"]), "line_key")
-    return ranked.select("cluster_rank", "coord", "mcoord", F.col(raw).alias("value"))
+    return sam_bytes.fetch(ranked.select("cluster_rank", "coord", "mcoord", *sam.PLACE, "line_len"), path)

@@ -28,18 +28,23 @@ WITH RECURSIVE fx_genes AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 AS seg, l_linenumber AS src, mapq, chr_a AS chr, pos_a AS coord, chr_b AS mchr, pos_b AS mcoord FROM fx_frag
   UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2, l_linenumber, mapq, chr_b, pos_b, chr_a, pos_a FROM fx_frag
 )"""
-#: The records as SAM text that can be parsed.
-SAM = SOURCE + r""", sam_text AS (
-  SELECT r.*, CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END AS rnext,
-    concat_ws(chr(9), 'r' || concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey, seg), '0', coalesce(a.r_name, '*'), coord, mapq, '10M',
-      CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END, mcoord, '0', 'ACGT', '*', 'NM:i:0') AS value
+#: The records as the lines of SAM files, with their places; fx_reads are those that can be parsed.
+SAM = SOURCE + r""", sam_whole AS (
+  SELECT r.*, CAST(l_orderkey % 16 AS INT) AS file, CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END AS rnext,
+    concat_ws(chr(9), 'r' || concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey, seg), '0', coalesce(a.r_name, '*'), CASE WHEN l_orderkey % 101 = 0 THEN 'x' ELSE CAST(coord AS VARCHAR) END, mapq, '10M',
+      CASE WHEN chr = mchr THEN '=' ELSE coalesce(b.r_name, '*') END, mcoord) AS begin
   FROM fx_records r LEFT JOIN region a ON chr = a.r_regionkey LEFT JOIN region b ON mchr = b.r_regionkey
-  WHERE l_orderkey % 101 <> 0 AND l_orderkey % 103 <> 0
-), fx_reads AS (SELECT *, md5(value) AS line_key, CAST(strlen(value) + 1 AS INT) AS line_len FROM sam_text)
+), sam_lines AS (SELECT *, CASE WHEN l_orderkey % 103 = 0 THEN begin ELSE concat_ws(chr(9), begin, '0', 'ACGT', '*', 'NM:i:0') END AS value FROM sam_whole
+), sam_head AS (SELECT strlen('@HD' || chr(9) || 'VN:1.0') + 1 + (SELECT sum(strlen('@SQ' || chr(9) || 'SN:' || r_name || chr(9) || 'LN:99999999') + 1) FROM region) AS bytes
+), sam_text AS (
+  SELECT *, CAST(bytes + coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, seg, mapq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position,
+    CAST(strlen(value) + 1 AS INT) AS line_len
+  FROM sam_lines, sam_head
+), fx_reads AS (SELECT *, md5(value) AS line_key FROM sam_text WHERE l_orderkey % 101 <> 0 AND l_orderkey % 103 <> 0)
 """
 TABLES = SOURCE + r""", fx_reads AS (SELECT *, 100 + l_linenumber AS line_len FROM fx_records)
 """
-#: From reads to the clusters before the cover. @order@ ranks equal reads.
+#: From reads to the clusters before the cover. @ties@ ranks equal reads.
 DETECT = r""", mapped AS (SELECT * FROM fx_reads WHERE chr < 5 AND mapq > 0),
 point_gene AS MATERIALIZED (
   SELECT chr, coord, gene_id AS gene FROM (
@@ -49,7 +54,7 @@ point_gene AS MATERIALIZED (
 mate AS MATERIALIZED (SELECT r.*, p.gene AS mgene FROM hit r JOIN point_gene p ON r.mchr = p.chr AND r.mcoord = p.coord),
 pairs AS (SELECT *, least(gene, mgene) AS g, greatest(gene, mgene) AS m, gene > mgene AS swapped, coord > mcoord AS is_mate FROM mate),
 disc AS (SELECT * FROM pairs WHERE gene - mgene <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY g, m, coord, mcoord ORDER BY chr, mchr, @order@) AS rn FROM disc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY g, m, coord, mcoord ORDER BY @ties@) AS rn FROM disc),
 dd AS MATERIALIZED (SELECT * FROM ranked WHERE rn = 1 OR mcoord = 0),
 fam AS (SELECT dd.* FROM dd JOIN fx_families a ON g = a.gene_id JOIN fx_families b ON m = b.gene_id WHERE a.family_id <> b.family_id),
 sup AS MATERIALIZED (SELECT * FROM fam WHERE (g, m) IN (SELECT (g, m) FROM fam GROUP BY g, m HAVING count(*) > 5)),
@@ -92,7 +97,7 @@ REPORT = r""", oriented AS (
   SELECT o.*, CAST(coalesce(a.frame, -2) AS INT) AS frame, CAST(coalesce(b.frame, -2) AS INT) AS mframe
   FROM oriented o LEFT JOIN point_frame a ON o.gene = a.gene AND o.coord = a.pos LEFT JOIN point_frame b ON o.mgene = b.gene AND o.mcoord = b.pos
 ), firsts AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY coord, mcoord, chr, mchr, @order@) AS rn1 FROM framed) WHERE rn1 = 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, m ORDER BY coord, mcoord, @ties@) AS rn1 FROM framed) WHERE rn1 = 1
 ), summed AS (
   SELECT g, m, count(*) AS nbreads, CAST(sum(line_len) AS BIGINT) AS offset_length, max(least(coord, mcoord)) AS fb_start, min(greatest(coord, mcoord)) AS fb_end,
     count(*) FILTER (frame >= 0 AND mframe >= 0 AND (frame + 1) % 3 = mframe) * 100 // count(*) AS exon_match_percent
@@ -114,18 +119,21 @@ winners AS MATERIALIZED (SELECT g, m, n FROM ends JOIN best USING (gene_id) GROU
 places AS (SELECT DISTINCT unnest([g, m]) AS gene_id, coord AS pos, mcoord AS mpos FROM close WHERE (g, m) IN (SELECT (g, m) FROM winners)),
 taken AS MATERIALIZED (SELECT gene_id, pos FROM places UNION SELECT gene_id, mpos FROM places)
 """
-#: The order-dependent family fold over @symbols@ (gene_id, symbol).
+#: The order-dependent family fold over @symbols@ (gene_id, symbol), line by line in descending order.
 FOLD = r""", named AS (@symbols@),
-ranked_symbols AS MATERIALIZED (SELECT symbol, regexp_extract(symbol, '^(..[A-Z]*)', 1) AS motif, row_number() OVER (ORDER BY symbol DESC) AS i FROM (SELECT DISTINCT symbol FROM named)),
+ranked_lines AS MATERIALIZED (SELECT line, regexp_extract(line, '^(..[A-Z]*)', 1) AS motif, row_number() OVER (ORDER BY line DESC) AS i FROM (SELECT DISTINCT symbol || chr(9) || gene_id AS line FROM named)),
 fold AS (
-  SELECT i, symbol, motif AS held, CAST(0 AS BIGINT) AS family_id FROM ranked_symbols WHERE i = 1
+  SELECT i, line, motif AS held, CAST(0 AS BIGINT) AS family_id FROM ranked_lines WHERE i = 1
   UNION ALL
-  SELECT r.i, r.symbol, CASE WHEN starts_with(held, motif) THEN held ELSE motif END, family_id + CASE WHEN starts_with(held, motif) THEN 0 ELSE 1 END
-  FROM fold JOIN ranked_symbols r ON r.i = fold.i + 1
+  SELECT r.i, r.line, CASE WHEN starts_with(r.line, held) THEN held ELSE motif END, family_id + CASE WHEN starts_with(r.line, held) THEN 0 ELSE 1 END
+  FROM fold JOIN ranked_lines r ON r.i = fold.i + 1
 )
-SELECT gene_id, min(family_id) AS family_id FROM named JOIN fold USING (symbol) GROUP BY gene_id
+SELECT gene_id, min(family_id) AS family_id FROM named JOIN fold ON fold.line = symbol || chr(9) || gene_id GROUP BY gene_id
 """
 
+#: The first exon's frame of a gene's list, where the first exon that ends after the place begins near enough.
+_LITERAL = """CAST(CASE WHEN (SELECT min_by(e_start, k) FROM fx_exons e WHERE e.gene_id = {0} AND e_end > {1}) <= {1} + 50 THEN (SELECT min_by(frame, k) FROM fx_exons e WHERE e.gene_id = {0}) ELSE -2 END AS INT)"""
+
 _SELECTS = {
     "scan_mapped": f"SELECT {RID}, mapq, chr, coord, mchr, mcoord FROM mapped",
     "chr_counts": "SELECT chr, count(*) AS n FROM fx_reads GROUP BY chr",
@@ -159,6 +167,8 @@ _SELECTS = {
         AND (m, coord) NOT IN (SELECT (gene_id, pos) FROM taken) AND (m, mcoord) NOT IN (SELECT (gene_id, pos) FROM taken) GROUP BY g, m""",
     "oriented_reads": "SELECT g, m, chr, coord, gene, mchr, mcoord, mgene FROM oriented",
     "exon_frames": "SELECT g, m, coord, mcoord, gene, mgene, frame, mframe FROM framed",
+    "exon_frames_literal": f"""SELECT o.g, o.m, o.coord, o.mcoord, o.gene, o.mgene, x.gene_name, y.gene_name AS mgene_name, {_LITERAL.format('f.gene', 'o.coord')} AS frame, {_LITERAL.format('f.mgene', 'o.mcoord')} AS mframe
+        FROM oriented o JOIN firsts f USING (g, m) LEFT JOIN fx_genes x ON x.gene_id = f.gene LEFT JOIN fx_genes y ON y.gene_id = f.mgene""",
     "exon_match_pct": "SELECT g, m, exon_match_percent FROM summed",
     "breakpoints": "SELECT g, m, max(least(coord, mcoord)) AS fb_start, min(greatest(coord, mcoord)) AS fb_end FROM close GROUP BY g, m",
     "breakpoints_literal": "SELECT g, m, max(CASE WHEN is_mate THEN mcoord ELSE coord END) AS fb_start, min(CASE WHEN is_mate THEN coord ELSE mcoord END) AS fb_end FROM oriented GROUP BY g, m",
@@ -168,7 +178,8 @@ _SELECTS = {
     "gene_intervals": "SELECT chr, tx_start, tx_end, gene_id FROM fx_genes",
     "exon_table": "SELECT gene_id, gene_name, CAST(4 AS INT) AS exon_count, k, e_start, e_end, frame FROM fx_exons JOIN fx_genes USING (gene_id)",
     "cluster_rank_asc": "SELECT g, m, n, row_number() OVER (ORDER BY n, g, m) AS rank FROM counts",
-    "sorted_coordinates": "SELECT chr, count(*) AS n, md5(string_agg(coord, ',' ORDER BY coord)) AS digest FROM (SELECT DISTINCT chr, coord FROM mapped) GROUP BY chr",
+    "sorted_coordinates": """SELECT chr, count(*) AS n, CAST(sum(CAST(rank AS HUGEINT) * (coord * 48271 % 2147483647)) % 2147483647 AS BIGINT) AS digest
+        FROM (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY coord) AS rank FROM (SELECT DISTINCT chr, coord FROM mapped)) GROUP BY chr""",
     "fusion_report": "SELECT count(*) AS clusters, CAST(sum(nbreads) AS BIGINT) AS reads, max(nbreads) AS largest, count(*) FILTER (exon_match_percent > 10) * 100 // count(*) AS in_frame_pct FROM summary",
     "refgene_rename": "SELECT CAST(p_partkey AS BIGINT) AS gene_id, r_name AS chrom FROM part JOIN region ON p_partkey % 7 = r_regionkey WHERE p_partkey % 3 <> 0",
     "exon_arrays": "SELECT gene_id, count(*) AS exon_count, CAST(sum(e_start) AS BIGINT) AS sum_starts, max(e_end) AS last_end FROM fx_exons GROUP BY gene_id",
@@ -178,6 +189,7 @@ _SELECTS = {
 }
 
 _SAM_SELECTS = {
+    "sam_positions": "SELECT file, position, line_len, md5(value) AS digest FROM sam_text",
     "sam_header": "SELECT CAST(r_regionkey AS INT) AS chr, r_name AS chr_name FROM region",
     "sam_parse": "SELECT line_len, chr, coord, mchr, mcoord, mapq, upper(line_key) AS line_key FROM fx_reads",
     "sam_single_end": """SELECT chr, mapq, count(*) AS n, CAST(sum(coord) AS BIGINT) AS coords, CAST(sum(line_len) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS mates, CAST(0 AS BIGINT) AS mate_positions
@@ -188,19 +200,20 @@ _COVER_SELECTS = {
     "set_cover": "SELECT g, m, count(*) AS n FROM covered GROUP BY g, m",
     "set_cover_report": "SELECT * FROM listed",
 }
-_FIXTURE_ORDER, _SAM_ORDER = f"{RID}, mapq", "line_key"
+_FIXTURE_ORDER, _SAM_ORDER = f"{RID}, mapq", "file, position"
 _PART_SYMBOLS = """SELECT CAST(p_partkey AS BIGINT) AS gene_id, CASE WHEN substr(p_type, 5, 1) BETWEEN 'A' AND 'Z' THEN concat(substr(p_type, 1, 4), '1', substr(p_type, 6)) ELSE p_type END AS symbol
   FROM part JOIN region ON p_partkey % 7 = r_regionkey WHERE p_partkey % 3 <> 0"""
 
 
 def _sql(parts: str, select: str, order: str, reads: str = "close") -> str:
-    return f"{parts}\n{select}".replace("@order@", order).replace("@reads@", reads)
+    ties = order if order == _SAM_ORDER else f"chr, mchr, {order}"
+    return f"{parts}\n{select}".replace("@order@", order).replace("@ties@", ties).replace("@reads@", reads)
 
 
 ORACLES = (
     {name: _sql(TABLES + DETECT + REPORT + ROUND, select, _FIXTURE_ORDER) for name, select in _SELECTS.items()}
     | {name: _sql(SAM, select, _SAM_ORDER) for name, select in _SAM_SELECTS.items()}
     | {name: _sql(TABLES + DETECT + COVER + REPORT, select, _FIXTURE_ORDER, "covered") for name, select in _COVER_SELECTS.items()}
-    | {"supporting_lines": _sql(SAM + DETECT + COVER + REPORT, "SELECT cluster_rank, f.coord, f.mcoord, value FROM framed f JOIN summary USING (g, m) JOIN sam_text t ON md5(t.value) = f.line_key", _SAM_ORDER, "covered")}
+    | {"supporting_lines": _sql(SAM + DETECT + COVER + REPORT, "SELECT cluster_rank, f.coord, f.mcoord, file, position, t.line_len, value FROM framed f JOIN summary USING (g, m) JOIN sam_text t USING (file, position)", _SAM_ORDER, "covered")}
     | {"gene_families_literal": SOURCE + FOLD.replace("@symbols@", "SELECT gene_id, gene_name AS symbol FROM fx_genes"), "family_fold": SOURCE + FOLD.replace("@symbols@", _PART_SYMBOLS)}
 )

@@ -11,10 +11,11 @@ from junctura.operators import annotate, clusters, cover, proximity, report
 from junctura.operators.order import running
 from junctura.plans import detect
 from junctura.sources import fixture as fx
-from junctura.sources import refgene, sam
+from junctura.sources import refgene, sam, sam_bytes
 from junctura.tables import cut
 
 HEADER_BYTES = 1000
+PRIME = 2**31 - 1
 KEYS = ["g", "m", "is_mate"]
 RID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seg"]
 
@@ -84,7 +85,7 @@ def _records(s, d, cfg=FusionConfig()):
     """(header, chromosomes, parsed reads) of the fixture's SAM text."""
     head = fx.header(s, d)
     chrs = sam.chromosomes(head)
-    lines = cut(head.select("value").union(fx.sam_lines(s, d)), "sam")  # stands for the file: its text is not rendered anew for each use
+    lines = cut(head.select("value").union(fx.sam_lines(s, d).select("value")), "sam")  # stands for the file: its text is not rendered anew for each use
     return head, chrs, sam.parse_lines(lines, chrs, cfg)
 
 
@@ -237,11 +238,17 @@ def report_lines(s, d):
 
 
 def supporting_lines(s, d):
-    """The whole job from SAM text: lines of the reads of each cluster that the cover keeps; plans carry line keys, text joins at the end."""
-    head, chrs, reads = _records(s, d)
-    result = detect.detect(sam.mapped(reads), fx.genes(s, d), fx.families(s, d), fx.exons(s, d), chrs, ["chr", "mchr", "line_key"], HEADER_BYTES)
-    lines = detect.supporting_lines(result, lines=reads)
-    return lines.select("cluster_rank", "coord", "mcoord", "value")
+    """The whole job from SAM files: lines of the reads of each cluster that the cover keeps; plans carry places in the files, text is read by them at the end."""
+    path = fx.sam_files(s, d)
+    _, chrs, reads = sam.read_sam(s, path)
+    result = detect.detect(sam.mapped(reads), fx.genes(s, d), fx.families(s, d), fx.exons(s, d), chrs, sam.PLACE, HEADER_BYTES)
+    return detect.supporting_lines(result, path)
+
+
+def sam_positions(s, d):
+    """Every line of the SAM files but their headers, with its place."""
+    lines = sam_bytes.read(s, fx.sam_files(s, d)).filter(~F.col("value").startswith("@"))
+    return lines.select("file", "position", "line_len", F.md5("value").alias("digest"))
 
 
 def oriented_reads(s, d):
@@ -252,6 +259,12 @@ def exon_frames(s, d):
     return framed(s, d).select("g", "m", "coord", "mcoord", "gene", "mgene", "frame", "mframe")
 
 
+def exon_frames_literal(s, d):
+    """Frames by the exon lists of each cluster's first read, and by their first exon."""
+    framed = report.with_frames(report.orient(close(s, d)), fx.exons(s, d), FusionConfig(compat="literal"), fx.ORDER)
+    return framed.select("g", "m", "coord", "mcoord", "gene", "mgene", "gene_name", "mgene_name", "frame", "mframe")
+
+
 def exon_match_pct(s, d):
     return report.match_percent(framed(s, d))
 
@@ -325,17 +338,22 @@ def cluster_rank_asc(s, d):
 
 
 def sorted_coordinates(s, d):
-    """Distinct coordinates of each chromosome as one sorted array."""
-    return mapped(s, d).groupBy("chr").agg(F.array_sort(F.collect_set("coord")).alias("c")).select("chr", F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", ",")).alias("digest"))
+    """Distinct coordinates of each chromosome in order: their number, and a digest that depends on their order.
+
+    The digest is a sum of values times ranks, modulo a prime; ranks come from ranges, so no chromosome is gathered.
+    """
+    ranked = running(mapped(s, d).select("chr", "coord").distinct(), ["coord"], "rank", keys=["chr"])
+    weighed = F.col("rank").cast("decimal(18,0)") * (F.col("coord") * 48271 % PRIME).cast("decimal(10,0)")
+    return ranked.groupBy("chr").agg(F.count("*").alias("n"), (F.sum(weighed) % PRIME).cast("long").alias("digest"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        sam_header, sam_parse, sam_single_end, scan_mapped, chr_counts, mapq_threshold, chr_lookup, mate_chr_resolve, orientation_counts, gene_first_match, gene_all_matches, gene_hit_miss,
+        sam_header, sam_parse, sam_positions, sam_single_end, scan_mapped, chr_counts, mapq_threshold, chr_lookup, mate_chr_resolve, orientation_counts, gene_first_match, gene_all_matches, gene_hit_miss,
         mate_gene, canonical_pairs, discordant_reads, cluster_counts, cluster_stats_by_source, gene_intervals, exon_table, gene_families, gene_families_literal, same_family_clusters, cross_family_clusters,
         dedup_reads, min_support, min_support_reads, proximity_reads, proximity_tight, proximity_clusters, top_cluster, cover_neighbours, cover_round1,
-        set_cover, set_cover_report, report_lines, supporting_lines, oriented_reads, exon_frames, exon_match_pct, breakpoints, breakpoints_literal, cluster_byte_index, cluster_list,
+        set_cover, set_cover_report, report_lines, supporting_lines, oriented_reads, exon_frames, exon_frames_literal, exon_match_pct, breakpoints, breakpoints_literal, cluster_byte_index, cluster_list,
         fusion_report, refgene_rename, family_fold, exon_arrays, sorted_reads, sorted_mates, cluster_rank_desc, cluster_rank_asc, sorted_coordinates,
     )
 }

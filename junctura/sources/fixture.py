@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.sources import refgene
+from junctura.tables import new_folder
 
 UNMAPPED = 5
+#: Files that the SAM text is written to, by order number.
+FILES = 16
 ORDER = ["chr", "mchr", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seg", "mapq"]
 READ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seg", "src", "mapq", "chr", "coord", "mchr", "mcoord"]
 
@@ -93,7 +96,7 @@ def header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(value): the read records as SAM lines; a mate on the same chromosome is ``=``, unmapped ends are ``*``.
+    """The read records as SAM lines (value), with what orders them; a mate on the same chromosome is ``=``, unmapped ends are ``*``.
 
     Records of orders divisible by 101 have no number for their position, those of orders divisible by 103 are cut short.
     """
@@ -104,4 +107,16 @@ def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rnext = F.when(F.col("chr") == F.col("mchr"), "=").otherwise(F.coalesce("mname", F.lit("*")))
     pos = F.when(F.col("l_orderkey") % 101 == 0, "x").otherwise(F.col("coord").cast("string"))
     whole = _join(name, "0", F.coalesce("name", F.lit("*")), pos, F.col("mapq"), "10M", rnext, F.col("mcoord"), "0", "ACGT", "*", "NM:i:0")
-    return r.select(F.when(F.col("l_orderkey") % 103 == 0, F.substring_index(whole, "\t", 8)).otherwise(whole).alias("value"))
+    return r.select(*READ[:5], "mapq", F.when(F.col("l_orderkey") % 103 == 0, F.substring_index(whole, "\t", 8)).otherwise(whole).alias("value"))
+
+
+def sam_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of FILES text files: each has the header, then the lines of its orders in order."""
+    by = [*READ[:5], "mapq"]
+    name = lambda k: F.lpad(k.cast("string"), 2, "0").alias("k")
+    body = sam_lines(spark, sf_dir).select(name(F.col("l_orderkey") % FILES), F.lit(None).cast("int").alias("line_no"), *by, "value")
+    every = F.explode(F.sequence(F.lit(0), F.lit(FILES - 1)))
+    heads = header(spark, sf_dir).select("line_no", "value", every.alias("k")).select(name(F.col("k")), "line_no", *[F.lit(None).cast(body.schema[c].dataType).alias(c) for c in by], "value")
+    path = new_folder(spark, "sam")
+    heads.union(body).repartition("k").sortWithinPartitions("k", F.asc_nulls_last("line_no"), *by).select("k", "value").write.partitionBy("k").text(path)
+    return path

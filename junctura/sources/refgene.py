@@ -5,19 +5,14 @@ Rows with a null name, chromosome or end are in no table; repeated transcripts a
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from junctura.functions.columns import family_motif, number_list
 from junctura.operators.order import running
+from junctura.tables import cut
 
-#: Distinct gene symbols that the order-dependent fold takes: ten times those of any annotated genome.
-SYMBOLS = 1_000_000
 SCHEMA = (
     "bin int, name string, chrom string, strand string, txStart long, txEnd long, cdsStart long, cdsEnd long, exonCount int, "
     "exonStarts string, exonEnds string, score int, name2 string, cdsStartStat string, cdsEndStat string, exonFrames string"
@@ -60,34 +55,27 @@ def exon_table(renamed: DataFrame) -> DataFrame:
 
 
 def families(renamed: DataFrame, literal: bool = False) -> DataFrame:
-    """(gene_id, family_id): symbols are ranked by motif, descending.
+    """(gene_id, family_id): symbols are ranked by motif, descending; a gene of several symbols has the smallest of their families.
+
+    ``literal``: as by a pass over lines ``symbol<TAB>gene_id`` in descending order, in which a line stays in the family of the line before while
+    it begins with that family's motif (a line's first two characters and the capitals that follow), and else begins a family with its own.
 
-    ``literal`` folds the symbols in descending order: a row stays in a family while the family's motif begins with
-    the row's own. That order-dependent fold takes the distinct symbols of a reference (not reads) in one task, which
-    refuses more than SYMBOLS of them.
+    That needs no pass. Lines that begin with one motif stand together in this order, so a family is all lines from the first one with its
+    motif to the last one that begins with it; hence all lines of one motif are in one family, that of the motif, among it and the shorter ones it begins
+    with, whose first line comes first. So motifs meet their beginnings in a join, and families are ranked by their first lines.
     """
     rows = renamed.select("gene_id", F.col("name2").alias("symbol")).filter("symbol is not null").distinct()
     if not literal:
         rows = rows.select("gene_id", family_motif(F.col("symbol")).alias("motif")).distinct()
         ranked = running(rows.select("motif").distinct(), [F.desc("motif")], "rank").select("motif", (F.col("rank") - 1).alias("family_id"))
         return rows.join(ranked, "motif").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[str] = []
-        for f in frames:
-            held += f["symbol"].tolist()
-            if len(held) > SYMBOLS:
-                raise ValueError(f"more than {SYMBOLS} distinct gene symbols")
-        out, family, at = [], -1, None
-        for symbol in sorted(held, reverse=True):
-            motif = re.match(r"..[A-Z]*|.*", symbol, re.S)[0]
-            if at is None or not at.startswith(motif):
-                family, at = family + 1, motif
-            out.append((symbol, family))
-        yield pd.DataFrame(out, columns=["symbol", "family_id"])
-
-    folded = rows.select("symbol").distinct().coalesce(1).mapInPandas(fold, "symbol string, family_id long")
-    return rows.join(folded, "symbol").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
+    line = F.concat("symbol", F.lit("\t"), F.coalesce(F.col("gene_id").cast("string"), F.lit("")))
+    lines = rows.select("gene_id", line.alias("line")).withColumn("motif", F.regexp_extract("line", "^((?s:..)[A-Z]*)", 1))
+    motifs = cut(lines.groupBy("motif").agg(F.max("line").alias("top")), "motifs")
+    begins = motifs.select("motif", F.explode(F.transform(F.sequence(F.lit(2), F.length("motif")), lambda n: F.substring("motif", F.lit(1), n))).alias("begin"))
+    held = begins.join(motifs.select(F.col("motif").alias("begin"), "top"), "begin").groupBy("motif").agg(F.max(F.struct("top", "begin")).alias("f")).select("motif", "f.top")
+    ranked = running(held.select("top").distinct(), [F.desc("top")], "rank").select("top", (F.col("rank") - 1).alias("family_id"))
+    return lines.select("gene_id", "motif").distinct().join(held, "motif").join(ranked, "top").groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
 
 
 def build_reference(refgene: DataFrame, names: DataFrame, chrs: DataFrame, literal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
+from junctura.sources import sam_bytes
 
+PLACE = ["file", "position"]
 HEAD_ROWS = 1000
 
 
@@ -41,12 +43,14 @@ def parse_lines(lines: DataFrame, chrs: DataFrame, cfg: FusionConfig = FusionCon
     """Reads of (value): line_key, raw, line_len, chr, coord, mchr, mcoord, mapq; unmapped ends have a null chr.
 
     Header lines, null lines, lines without a position and lines with fewer than eleven columns are passed over. Single-end input
-    has null mates. Equal lines stay. ``line_key`` is a digest of the line: plans carry it instead of ``raw``, which
-    Spark then does not even read out of a line, and fetch the text at the end.
+    has null mates. Equal lines stay. ``line_key`` is a digest of the line. Lines with a place (file, position) keep it:
+    plans carry it instead of ``raw`` and fetch the text at the end.
     """
+    place = [c for c in PLACE if c in lines.columns]
     rows = lines.filter(~F.col("value").startswith("@")).withColumn("c", F.split("value", "\t", 12)).filter(F.size("c") >= 11)
     mate = F.when(F.col("c")[6] == "=", F.col("c")[2]).otherwise(F.col("c")[6])
     parsed = rows.select(
+        *place,
         F.unhex(F.md5("value")).alias("line_key"),
         F.col("value").alias("raw"),
         (F.octet_length("value") + 1).alias("line_len"),
@@ -57,14 +61,14 @@ def parse_lines(lines: DataFrame, chrs: DataFrame, cfg: FusionConfig = FusionCon
         F.expr("try_cast(c[7] as bigint)" if cfg.paired else "cast(null as bigint)").alias("mcoord"),
     ).filter("coord is not null")
     placed = chromosome_index(chromosome_index(parsed, chrs, "rname", "chr"), chrs, "mname", "mchr")
-    return placed.select("line_key", "raw", "line_len", "chr", "coord", "mchr", "mcoord", "mapq")
+    return placed.select(*place, "line_key", "raw", "line_len", "chr", "coord", "mchr", "mcoord", "mapq")
 
 
 def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, chromosomes, reads) of a file; see ``parse_lines``."""
+    """(header, chromosomes, reads with their places) of a file or a folder of files with one header; see ``parse_lines``."""
     header = header_lines(spark, path)
     chrs = chromosomes(header)
-    return header, chrs, parse_lines(spark.read.text(path), chrs, cfg)
+    return header, chrs, parse_lines(sam_bytes.read(spark, path), chrs, cfg)
 
 
 def mapped(reads: DataFrame, min_mapq: int = 0) -> DataFrame:

@@ -28,13 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; ``clear`` removes it."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: computed once, short lineage, survives lost executors.
 
     Joins then know the table's size in bytes, so Spark itself broadcasts it only below its threshold.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATH_OF[table] = path

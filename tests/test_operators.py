@@ -1,6 +1,7 @@
 """Boundary cases by hand, and operators against plain loops on random rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,12 +89,35 @@ def test_cover_strategies_agree(spark):
     assert sorted(map(tuple, cover.greedy_cover(reads, 5, task_reads=0).collect())) == want
 
 
+def fold(lines):
+    """Family of each line ``symbol<TAB>id``, by the pass itself."""
+    out, held, family = {}, None, -1
+    for line in sorted(lines, reverse=True):
+        if held is None or not line.startswith(held):
+            held, family = re.match("(?s:..)[A-Z]*", line)[0], family + 1
+        out[line] = family
+    return out
+
+
 def test_family_motifs(spark):
-    rows = spark.createDataFrame([(1, "ABCD1"), (2, "ABC1"), (3, "C1orf2"), (4, "ABCX")], "gene_id long, name2 string")
+    rows = spark.createDataFrame([(1, "ABCD1"), (2, "ABC1"), (3, "C1orf2"), (4, "ABCX"), (5, "ABCa")], "gene_id long, name2 string")
     plain = {r.gene_id: r.family_id for r in refgene.families(rows).collect()}
-    assert plain == {3: 0, 4: 1, 1: 2, 2: 3}
+    assert plain == {3: 0, 4: 1, 1: 2, 2: 3, 5: 3}
     folded = {r.gene_id: r.family_id for r in refgene.families(rows, literal=True).collect()}
-    assert folded == {3: 0, 4: 1, 1: 2, 2: 2}  # the fold keeps ABC with ABCD
+    assert folded == {3: 0, 5: 1, 4: 1, 1: 1, 2: 1}  # ABCa comes first with the motif ABC, and ABCX and ABCD begin with it
+
+
+def test_family_fold_against_the_pass(spark):
+    rng = random.Random(8)
+    symbols = ["".join(rng.choices("AB1b", k=rng.randrange(0, 7))) for _ in range(400)] + ["", "A", "A", "AB", "é", "ÀB"]
+    rows = [(i, s) for i, s in enumerate(symbols)] + [(3, "A"), (3, "AB1"), (500, None)]
+    want = {}
+    for line, family in fold({f"{s}\t{i}" for i, s in rows if s is not None}).items():
+        i = int(line.split("\t")[1])
+        want[i] = min(want.get(i, family), family)
+    got = {r.gene_id: r.family_id for r in refgene.families(spark.createDataFrame(rows, "gene_id long, name2 string"), literal=True).collect()}
+    assert got == want
+    assert refgene.families(spark.createDataFrame([], "gene_id long, name2 string"), literal=True).count() == 0
 
 
 def write_case(tmp_path):

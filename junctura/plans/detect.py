@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from junctura.config import FusionConfig
 from junctura.operators import annotate, clusters, proximity, report
 from junctura.operators.cover import greedy_cover
+from junctura.plans.counters import Counters, NoCounters
 from junctura.sources import sam, sam_bytes
 from junctura.tables import cut
 
@@ -22,30 +23,37 @@ class FusionResult:
     clusters: DataFrame
 
 
-def candidates(reads: DataFrame, genes: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:
+def candidates(reads: DataFrame, genes: DataFrame, cfg: FusionConfig = FusionConfig(), counters: Counters = NoCounters()) -> DataFrame:
     """Discordant reads: both ends in a gene, and not the same. The genes' bins are written once for both joins."""
     bins = cut(annotate.gene_bins(genes, cfg.slack), "bins")
-    return clusters.discordant(annotate.first_in_bins(annotate.first_in_bins(reads, bins, "chr", "coord", "gene"), bins, "mchr", "mcoord", "mgene"))
+    hits = counters.by_chr(annotate.first_in_bins(counters.by_chr(reads, "mapped"), bins, "chr", "coord", "gene"), "gene_hits")
+    both = counters.by_chr(annotate.first_in_bins(hits, bins, "mchr", "mcoord", "mgene"), "mate_hits", "mchr")
+    return counters.rows(clusters.discordant(both), "discordant")
 
 
-def distinct_reads(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig()) -> DataFrame:
+def distinct_reads(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig(), counters: Counters = NoCounters()) -> DataFrame:
     """Distinct reads of cross-family clusters, as a written table: what follows reads them several times, the source only once."""
-    found = clusters.cross_family(candidates(reads, genes, cfg), families)
-    return cut(clusters.dedup_reads(found, order), "distinct")
+    found = counters.rows(clusters.cross_family(candidates(reads, genes, cfg, counters), families), "cross_family")
+    return cut(counters.rows(clusters.dedup_reads(found, order), "distinct"), "distinct")
 
 
-def supported(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig()) -> DataFrame:
+def supported(reads: DataFrame, genes: DataFrame, families: DataFrame, order: list[str], cfg: FusionConfig = FusionConfig(), counters: Counters = NoCounters()) -> DataFrame:
     """Distinct reads of cross-family clusters that have enough reads, before and after the proximity filter, as a written table."""
-    enough = clusters.min_support(distinct_reads(reads, genes, families, order, cfg), cfg.min_reads)
-    close = cut(proximity.l1_neighbours(enough, ["g", "m", "is_mate"], "coord", "mcoord", cfg.radius), "close")
+    enough = clusters.min_support(distinct_reads(reads, genes, families, order, cfg, counters), cfg.min_reads)
+    close = cut(counters.rows(proximity.l1_neighbours(enough, ["g", "m", "is_mate"], "coord", "mcoord", cfg.radius), "close"), "close")
     return clusters.min_support(close, cfg.min_reads)
 
 
-def detect(reads: DataFrame, genes: DataFrame, families: DataFrame, exons: DataFrame, chrs: DataFrame, order: list[str], header_bytes: int = 0, cfg: FusionConfig = FusionConfig()) -> FusionResult:
-    """``reads``: mapped records with chr, coord, mchr, mcoord, line_len; ``order`` ranks equal records. Other columns stay behind."""
+def detect(
+    reads: DataFrame, genes: DataFrame, families: DataFrame, exons: DataFrame, chrs: DataFrame, order: list[str], header_bytes: int = 0, cfg: FusionConfig = FusionConfig(), counters: Counters = NoCounters()
+) -> FusionResult:
+    """``reads``: mapped records with chr, coord, mchr, mcoord, line_len; ``order`` ranks equal records. Other columns stay behind.
+
+    ``counters`` are told how many reads go into and come out of each step.
+    """
     slim = reads.select(*dict.fromkeys(["chr", "coord", "mchr", "mcoord", "line_len", *order]))
-    won = greedy_cover(supported(slim, genes, families, order, cfg), cfg.min_reads)
-    framed = cut(report.with_frames(report.orient(won), exons, cfg, order), "supporting")
+    won = greedy_cover(supported(slim, genes, families, order, cfg, counters), cfg.min_reads)
+    framed = cut(counters.rows(report.with_frames(report.orient(won), exons, cfg, order), "supporting"), "supporting")
     summary = report.summarize(framed, header_bytes, ["coord", "mcoord", *[c for c in order if c not in ("coord", "mcoord")]], cfg)
     return FusionResult(framed, summary, report.cluster_list(summary, chrs))
 

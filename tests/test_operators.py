@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from junctura.config import FusionConfig
 from junctura.operators import annotate, clusters, cover, proximity, report
 from junctura.plans import detect
-from junctura.sources import refgene, sam
+from junctura.sources import refgene, sam, sam_bytes
 
 GENES = "chr int, tx_start long, tx_end long, gene_id long"
 
@@ -39,7 +39,7 @@ def test_first_match_random(spark):
 def test_exon_frames(spark):
     exons = spark.createDataFrame([(1, "A", 2, [100, 300], [200, 400], [0, 2])], "gene_id long, gene_name string, exon_count int, starts array<long>, ends array<long>, frames array<int>")
     at = [99, 50, 49, 199, 200, 250, 249, 399, 400]
-    rows = spark.createDataFrame([(1, 1, x, x) for x in at], "gene long, mgene long, coord long, mcoord long")
+    rows = spark.createDataFrame([(1, 1, 1, 1, x, x) for x in at], "g long, m long, gene long, mgene long, coord long, mcoord long")
     got = {r.coord: r.frame for r in report.with_frames(rows, exons).collect()}
     assert got == {99: 0, 50: 0, 49: -2, 199: 0, 200: -2, 250: 2, 249: -2, 399: 2, 400: -2}
     literal = {r.coord: r.frame for r in report.with_frames(rows, exons, FusionConfig(compat="literal")).collect()}
@@ -145,16 +145,65 @@ def test_sam_job_end_to_end(spark, tmp_path):
     genes, exons, families = refgene.build_reference(refgene.read_refgene(spark, str(tmp_path / "ref.txt")), refgene.read_chromosome_map(spark, str(tmp_path / "names.txt")), chrs)
     assert {(r.chr, r.gene_id) for r in genes.collect()} == {(0, 1), (1, 2)}
     size = sum(len(x) + 1 for x in head)
-    result = detect.detect(sam.mapped(reads), genes, families, exons, chrs, ["chr", "mchr", "raw"], size, cfg)
-    write_result(result, header, str(tmp_path / "out"), one_file=True)
-    line = next((tmp_path / "out/cluster_list.cl").glob("part-*")).read_text().splitlines()
-    text = next((tmp_path / "out/reads.sam").glob("part-*")).read_text()
+    result = detect.detect(sam.mapped(reads), genes, families, exons, chrs, sam.PLACE, size, cfg)
+    assert "raw" not in result.reads.columns
+    write_result(result, header, str(tmp_path / "out"), str(tmp_path / "in.sam"))
+    line = "".join(p.read_text() for p in sorted((tmp_path / "out/cluster_list.cl").glob("part-*"))).splitlines()
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out/reads.sam").glob("part-*")))
     assert len(line) == 1
     cells = line[0].split("\t")
     assert cells[:5] == ["2", "1", "BBB1(2)", "AAA1(1)", "16"]
     assert cells[7:] == ["1121", "5100", "0"]
     part = text[int(cells[5]) : int(cells[5]) + int(cells[6])]
     assert text.startswith("\n".join(head)) and len(part.splitlines()) == 16 and part.endswith("\n") and int(cells[5]) + int(cells[6]) == len(text)
+    listed = [r.split("\t") for p in (tmp_path / "out/reads.index").glob("part-*") for r in p.read_text().splitlines()]
+    at = 0
+    for name, first, size in listed:
+        assert int(first) == at and (tmp_path / "out/reads.sam" / name).stat().st_size == int(size)
+        at += int(size)
+    assert at == len(text)
+
+
+def test_clusters_are_read_through_the_index_of_many_parts(spark, tmp_path):
+    from junctura.sources import indexed
+
+    rng = random.Random(6)
+    lines = [(c, i, f"cluster {c} line {i} " + "x" * rng.randrange(40)) for c in range(1, 30) for i in range(rng.randrange(1, 30))]
+    out = str(tmp_path / "reads.sam")
+    spark.createDataFrame(lines, "c int, i int, value string").repartitionByRange(7, "c", "i").sortWithinPartitions("c", "i").select("value").write.text(out)
+    assert len(indexed.parts(out)) >= 7
+    rows, want, at = [], {}, 0
+    for c in range(1, 30):
+        want[c] = "".join(f"{v}\n" for k, _, v in lines if k == c)
+        rows.append((c, at, len(want[c])))
+        at += len(want[c])
+    got = {}
+    for r in sorted(indexed.cluster_bytes(spark.createDataFrame(rows, "cluster_rank long, offset_start long, offset_length long"), out).collect()):
+        got[r.cluster_rank] = got.get(r.cluster_rank, "") + r.value
+    assert got == want
+
+
+def test_job_from_the_command_line(spark, tmp_path):
+    """A reference built, saved and read again gives the same report; counters agree with the rows; the log grows."""
+    import json
+
+    from junctura.__main__ import main
+
+    write_case(tmp_path)
+    at = lambda name: str(tmp_path / name)
+    common = ["--sam", at("in.sam"), "--log", at("log")]
+    main([*common, "--refgene", at("ref.txt"), "--chr-names", at("names.txt"), "--save-reference", at("prepared"), "--out", at("a")])
+    main([*common, "--reference-dir", at("prepared"), "--out", at("b")])
+    text = lambda name: [p.read_text() for p in sorted((tmp_path / name).glob("part-*"))]
+    assert text("a/cluster_list.cl") == text("b/cluster_list.cl") and text("a/reads.sam") == text("b/reads.sam")
+    log = [r.split("\t") for r in (tmp_path / "log").read_text().splitlines()]
+    assert [r[1] for r in log] == ["scan", "reference", "detect", "write", "total"] * 2
+    found = json.loads(log[4][3])
+    assert found == json.loads(log[9][3])
+    assert found["reads_by_chr"] == {"1": 10, "2": 8, "unmapped": 1} and found["mapped_by_chr"] == {"1": 9, "2": 8} and found["clusters"] == 1
+    assert (found["gene_hits"], found["gene_misses"], found["mate_hits"], found["discordant"], found["duplicates_removed"], found["supporting_reads"]) == (17, 0, 17, 16, 0, 16)
+    with pytest.raises(SystemExit):
+        main([*common, "--out", at("c")])
 
 
 def test_single_end_has_no_clusters(spark, tmp_path):
@@ -232,13 +281,105 @@ def test_header_is_read_from_the_head_of_a_file(spark, tmp_path, monkeypatch):
     assert sam.header_lines(spark, str(tmp_path / "c.sam")).count() == 0
 
 
-def test_late_lines_equal_carried_ones(spark, tmp_path):
+def test_fetched_lines_equal_the_text(spark, tmp_path):
     write_case(tmp_path)
-    header, chrs, reads = sam.read_sam(spark, str(tmp_path / "in.sam"))
-    tables = refgene.build_reference(refgene.read_refgene(spark, str(tmp_path / "ref.txt")), refgene.read_chromosome_map(spark, str(tmp_path / "names.txt")), chrs)
-    genes, exons, families = tables
-    early = detect.detect(sam.mapped(reads), genes, families, exons, chrs, ["chr", "mchr", "raw"])
-    late = detect.detect(sam.mapped(reads), genes, families, exons, chrs, ["chr", "mchr", "line_key"])
-    assert "raw" not in late.reads.columns
-    text = lambda df: sorted(r.value for r in df.collect())
-    assert text(detect.supporting_lines(late, lines=reads)) == text(detect.supporting_lines(early)) and len(text(detect.supporting_lines(early))) == 16
+    path = str(tmp_path / "in.sam")
+    text = (tmp_path / "in.sam").read_text()
+    header, chrs, reads = sam.read_sam(spark, path)
+    genes, exons, families = refgene.build_reference(refgene.read_refgene(spark, str(tmp_path / "ref.txt")), refgene.read_chromosome_map(spark, str(tmp_path / "names.txt")), chrs)
+    found = detect.supporting_lines(detect.detect(sam.mapped(reads), genes, families, exons, chrs, sam.PLACE), path).collect()
+    assert len(found) == 16 and all(text[r.position : r.position + r.line_len] == r.value + "\n" for r in found)
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1 << 20])
+def test_places_do_not_depend_on_ranges(spark, tmp_path, size):
+    rng = random.Random(size)
+    folder = tmp_path / "d"
+    (folder / "sub").mkdir(parents=True)
+    want = []
+    for k, name in enumerate(["a.sam", "b.sam", "c.sam", "sub/d.sam"]):
+        lines = ["".join(rng.choices("ab\té", k=rng.randrange(9))) for _ in range(rng.randrange(15))] if k != 1 else []
+        data = "\n".join(lines).encode() + (b"\n" if k == 2 and lines else b"")
+        (folder / name).write_bytes(data)
+        at = 0
+        for line in (data[:-1] if data.endswith(b"\n") else data).split(b"\n") if data else []:
+            want.append((k, at, len(line) + 1, line.decode()))
+            at += len(line) + 1
+    (folder / "_SUCCESS").write_text("no line")
+    lines = sam_bytes.read(spark, str(folder), size)
+    assert sorted(map(tuple, lines.collect())) == want
+    some = lines.drop("value").filter("position % 3 <> 1").withColumn("x", F.lit("kept"))
+    got = sorted((r.file, r.position, r.line_len, r.value) for r in sam_bytes.fetch(some, str(folder)).collect())
+    assert got == [w for w in want if w[1] % 3 != 1]
+
+
+def test_long_lines_and_no_files(spark, tmp_path):
+    (tmp_path / "x").write_text("a" * 100_000 + "\n" + "b" * 50_000)
+    assert [(r.position, r.line_len) for r in sam_bytes.read(spark, str(tmp_path / "x"), 1000).collect()] == [(0, 100_001), (100_001, 50_001)]
+    (tmp_path / "none").mkdir()
+    assert sam_bytes.read(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="absent"):
+        sam_bytes.read(spark, str(tmp_path / "absent")).count()
+
+
+def test_prepared_folders(spark, tmp_path):
+    """Both kinds of exon rows, odd names, bad rows, and what is written is read again."""
+    from junctura.sources import prepared
+
+    chrs = spark.createDataFrame([(0, "1"), (1, "HLA*01:01 x+y"), (2, "empty")], "chr int, chr_name string")
+    genes = spark.createDataFrame([(0, 5, 9, 11), (0, 2, 9, 12), (1, 1, 2, 13), (0, 7, 7, 11)], GENES)
+    exons = spark.createDataFrame([(11, "A", 2, [5, 7], [6, 9], [0, -1]), (13, None, 1, [1], [2], [2])], "gene_id long, gene_name string, exon_count int, starts array<long>, ends array<long>, frames array<int>")
+    families = spark.createDataFrame([(12, 0), (11, 1)], "gene_id long, family_id long")
+    at = str(tmp_path / "ref")
+    prepared.write_reference(genes, exons, families, chrs, at)
+    assert (tmp_path / "ref/1.gtf").read_text() == "2\t9\t12\n5\t9\t11\n7\t7\t11\n"
+    assert (tmp_path / "ref/1_exon.gtf").read_text() == "11\tA\t2\t5,7,\t6,9,\t0,-1,\n"
+    assert (tmp_path / "ref/family_gene.txt").read_text() == "11\t1\n12\t0\n"
+    back = prepared.read_reference(spark, at, chrs)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(back[0]) == rows(genes) and rows(back[2]) == rows(families)
+    assert rows(back[1]) == rows(exons.withColumn("gene_name", F.coalesce("gene_name", F.lit(""))))
+    (tmp_path / "ref/1.gtf").write_text("9\t5\t1\nx\t5\t2\n1\t5\n3\t4\t5\n")
+    (tmp_path / "ref/unknown.gtf").write_text("1\t5\t1\n")
+    (tmp_path / "ref/1_exon.gtf").write_text("7\t2\t1,5,\t2,6,\t0,1,\n7\t2\t1,5,\t2,6,\t0,1,\nbad\n8\tB\t1\t3,\t4,\t2,\n")
+    (tmp_path / "ref/empty.gtf").write_text("")
+    genes, exons, _ = prepared.read_reference(spark, at, chrs)
+    assert sorted(map(tuple, genes.collect())) == [(0, 3, 4, 5), (1, 1, 2, 13)]
+    assert {r.gene_id: (r.gene_name, r.exon_count, r.starts, r.ends, r.frames) for r in exons.collect()} == {7: (None, 2, [1, 5], [2, 6], [0, 1]), 8: ("B", 1, [3], [4], [2]), 13: ("", 1, [1], [2], [2])}
+
+
+def test_counters_agree_with_queries(spark):
+    from junctura.plans import queries as q
+    from junctura.plans.counters import Counters
+    from junctura.sources import fixture as fx
+
+    d = "/root/testdata/sf0.001"
+    counters = Counters(5)
+    reads = counters.by_chr(fx.reads(spark, d).withColumn("chr", F.when(F.col("chr") < fx.UNMAPPED, F.col("chr"))), "reads")
+    detect.distinct_reads(sam.mapped(reads), fx.genes(spark, d), fx.families(spark, d), fx.ORDER, counters=counters)
+    v = counters.values()
+    assert v["reads"] == {None if r.chr == fx.UNMAPPED else r.chr: r.n for r in q.chr_counts(spark, d).collect()}
+    hits = {r.chr: (r.hits, r.misses) for r in q.gene_hit_miss(spark, d).collect()}
+    assert {c: (v["gene_hits"].get(c, 0), n - v["gene_hits"].get(c, 0)) for c, n in v["mapped"].items()} == hits
+    assert v["discordant"] == q.discordant_reads(spark, d).count() and v["distinct"] == q.kept(spark, d).count()
+
+
+def test_counters_of_many_chromosomes(spark, monkeypatch):
+    from junctura.plans import counters as c
+
+    monkeypatch.setattr(c, "BLOCK", 5)
+    found = c.Counters(23)
+    found.by_chr(spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 23).cast("int").alias("chr")), "x").write.format("noop").mode("overwrite").save()
+    want = {}
+    for i in range(1000):
+        key = i % 23 if i % 3 else None
+        want[key] = want.get(key, 0) + 1
+    assert found.values() == {"x": want}
+
+
+def test_literal_frames_go_by_the_first_read(spark):
+    exons = spark.createDataFrame([(1, "A", 1, [100], [200], [0]), (2, "B", 1, [500], [600], [1]), (3, "C", 1, [100], [900], [2])], "gene_id long, gene_name string, exon_count int, starts array<long>, ends array<long>, frames array<int>")
+    rows = spark.createDataFrame([(1, 2, 1, 2, 150, 550, 1), (1, 2, 2, 1, 150, 550, 2), (1, 9, 9, 1, 150, 550, 3)], "g long, m long, gene long, mgene long, coord long, mcoord long, o int")
+    framed = lambda cfg: sorted((r.o, r.frame, r.mframe, r.gene_name, r.mgene_name) for r in report.with_frames(rows, exons, cfg, ["o"]).collect())
+    assert framed(FusionConfig(compat="literal")) == [(1, 0, 1, "A", "B"), (2, 0, 1, "A", "B"), (3, -2, -2, None, "A")]
+    assert framed(FusionConfig()) == [(1, 0, 1, "A", "B"), (2, -2, -2, "B", "A"), (3, -2, -2, None, "A")]

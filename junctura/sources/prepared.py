@@ -70,6 +70,8 @@ def _write(lines: DataFrame, by: list[str], folder: str, ending: str) -> None:
     lines.repartition("name").sortWithinPartitions("name", *by).select("name", "value").write.mode("overwrite").partitionBy("name").text(tmp)
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(tmp).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # no checksum files beside files that people edit
     for found in fs.listStatus(hadoop.Path(tmp)):
         at = found.getPath()
         if at.getName().startswith("name="):

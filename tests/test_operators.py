@@ -86,7 +86,36 @@ def test_cover_strategies_agree(spark):
     want = sequential_cover(rows, 5)
     assert want
     assert sorted(map(tuple, cover.greedy_cover(reads, 5).collect())) == want
-    assert sorted(map(tuple, cover.greedy_cover(reads, 5, task_reads=0).collect())) == want
+    for task, batch in ((0, 1_000_000), (0, 1), (30, 25)):
+        assert sorted(map(tuple, cover.greedy_cover(reads, 5, task, batch).collect())) == want
+
+
+def chain(n):
+    """Clusters of falling size, each with a read that the one before removes, so that each waits for the one before."""
+    rows = []
+    for c in range(n):
+        rows += [(c, c + 1, 1000 * c + i, 500_000 + 1000 * c + i) for i in range(8 + 2 * (n - c))] + [(c, c + 1, 1000 * (c - 1), 7_000_000 + c)] * (c > 0)
+    return rows
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    rows = chain(14)
+    rounds = []
+    one = cover.cover_round
+    monkeypatch.setattr(cover, "cover_round", lambda *a: rounds.append(1) or one(*a))
+    reads = spark.createDataFrame(rows, "g long, m long, coord long, mcoord long")
+    assert sorted(map(tuple, cover.greedy_cover(reads, 5, task_reads=0).collect())) == sequential_cover(rows, 5)
+    assert len(rounds) == 1
+    rounds.clear()
+    assert sorted(map(tuple, cover.greedy_cover(reads, 5, task_reads=100, batch_reads=60).collect())) == sequential_cover(rows, 5)
+    assert len(rounds) <= 5
+
+
+def test_rounds_fall_into_parts_that_share_positions(spark):
+    rows = [(1, 2, 10, 20), (1, 3, 10, 30), (1, 4, 11, 40), (5, 6, 10, 20), (5, 7, None, None)]
+    reads = spark.createDataFrame(rows, "g long, m long, coord long, mcoord long")
+    found = {(r.g, r.m): r._component for r in cover.overlap_components(reads).collect()}
+    assert found[1, 2] == found[1, 3] and len({found[p] for p in ((1, 2), (1, 4), (5, 6), (5, 7))}) == 4
 
 
 def fold(lines):

@@ -1,9 +1,13 @@
 """Queries against their SQL on the smallest tables."""
 
 import functools
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from junctura.plans import oracles
@@ -58,3 +62,21 @@ def test_set_cover_agrees_with_the_loop(spark):
     for r in sequential_cover(rows, 5):
         want[r[:2]] = want.get(r[:2], 0) + 1
     assert {(r.g, r.m): r.n for r in q.set_cover(spark, SF).collect()} == want
+
+
+def test_entry_without_a_library_of_the_text_operators():
+    """A library that is not installed costs the text queries and a warning; the others stay."""
+    code = "import sys, warnings; sys.modules['sentencepiece'] = None; warnings.simplefilter('error'); warnings.filterwarnings('always', message='text operators are left out')\nimport __spark_entry__ as e; print(len(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) == len(QUERIES)
+    assert "left out" in done.stderr or not os.path.isdir(os.path.join(root, "junctura", "llm"))
+
+
+def test_set_cover_by_rounds_is_the_same(spark):
+    from junctura.operators import cover
+
+    close = plans.close(spark, SF)
+    rows = lambda df: sorted((r.g, r.m, r.n) for r in df.collect())
+    by_rounds = cover.greedy_cover(close, 5, task_reads=0, batch_reads=500)
+    assert rows(by_rounds.groupBy("g", "m").agg(F.count("*").alias("n"))) == rows(QUERIES["set_cover"](spark, SF))

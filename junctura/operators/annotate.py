@@ -23,32 +23,41 @@ def gene_bins(genes: DataFrame, slack: int = 50) -> DataFrame:
     return binned.select("chr", "bin", F.transform("hits", lambda g: F.struct(g["lo"], g["hi"], g["gene_id"])).alias("hits"))
 
 
-def _at(reads: DataFrame, bins: DataFrame, chr_col: str, coord_col: str, how: str) -> tuple[DataFrame, Column]:
-    """``reads`` with their bin's genes, and those of them that hold the position. A point lies in one bin, so no row is repeated."""
-    bins = bins.withColumnsRenamed({"chr": "_chr", "bin": "_bin", "hits": "_hits"})
+def match_genes(reads: DataFrame, genes: DataFrame, chr_col: str = "chr", coord_col: str = "coord", slack: int = 50, how: str = "inner") -> DataFrame:
+    """``reads`` with ``hits``: all genes at (chr_col, coord_col), first match first. A point lies in one bin, so no row is repeated."""
+    bins = gene_bins(genes, slack).withColumnsRenamed({"chr": "_chr", "bin": "_bin", "hits": "_hits"})
     joined = reads.join(bins, (F.col(chr_col) == F.col("_chr")) & (F.shiftright(coord_col, BIN) == F.col("_bin")), how)
     at = F.col(coord_col)
-    return joined, F.filter("_hits", lambda g: (g["lo"] <= at) & (at <= g["hi"]))
+    hits = F.transform(F.filter("_hits", lambda g: (g["lo"] <= at) & (at <= g["hi"])), lambda g: g["gene_id"])
+    return joined.withColumn("hits", hits).drop("_chr", "_bin", "_hits")
 
 
-def match_genes(reads: DataFrame, genes: DataFrame, chr_col: str = "chr", coord_col: str = "coord", slack: int = 50, how: str = "inner") -> DataFrame:
-    """``reads`` with ``hits``: all genes at (chr_col, coord_col), first match first."""
-    joined, hits = _at(reads, gene_bins(genes, slack), chr_col, coord_col, how)
-    return joined.withColumn("hits", F.transform(hits, lambda g: g["gene_id"])).drop("_chr", "_bin", "_hits")
+def first_intervals(genes: DataFrame, slack: int = 50) -> DataFrame:
+    """(chr, bin, lo, hi, gene_id): bins cut at the borders of their genes into disjoint intervals, each with the one gene that comes first there."""
+    high = F.shiftleft("bin", BIN) + (1 << BIN) - 1
+    begins = F.transform("hits", lambda g: F.greatest(g["lo"], F.shiftleft("bin", BIN)))
+    ends = F.filter(F.transform("hits", lambda g: g["hi"] + 1), lambda x: x <= high)
+    pieces = gene_bins(genes, slack).withColumn("cuts", F.array_distinct(F.concat(begins, ends))).select("chr", "bin", "hits", "cuts", F.explode("cuts").alias("lo"))
+    lo = F.col("lo")
+    hi = F.coalesce(F.array_min(F.filter("cuts", lambda c: c > lo)) - 1, high)
+    first = F.get(F.filter("hits", lambda g: (g["lo"] <= lo) & (lo <= g["hi"])), F.lit(0))["gene_id"]
+    return pieces.select("chr", "bin", "lo", hi.alias("hi"), first.alias("gene_id")).filter("gene_id is not null")
 
 
-def first_in_bins(reads: DataFrame, bins: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene") -> DataFrame:
-    """``reads`` with the first gene at a position; reads without one are dropped. ``bins`` are ``gene_bins``, best as a written table.
+def first_in_bins(reads: DataFrame, intervals: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene") -> DataFrame:
+    """``reads`` with the first gene at a position; reads without one are dropped. ``intervals`` are ``first_intervals``, best as a written table.
 
-    Spark broadcasts the bins where their size in bytes is below its threshold and shuffles on (chr, bin) where not.
+    An equi-join on (chr, bin) with a range condition that at most one interval meets, all of it generated code. Spark broadcasts the intervals where
+    their size in bytes is below its threshold and shuffles on (chr, bin) where not.
     """
-    joined, hits = _at(reads, bins, chr_col, coord_col, "inner")
-    return joined.withColumn(out, F.get(hits, F.lit(0))["gene_id"]).drop("_chr", "_bin", "_hits").filter(F.col(out).isNotNull())
+    held = intervals.select(F.col("chr").alias("_chr"), F.col("bin").alias("_bin"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("gene_id").alias(out))
+    at = F.col(coord_col)
+    return reads.join(held, (F.col(chr_col) == F.col("_chr")) & (F.shiftright(coord_col, BIN) == F.col("_bin")) & at.between(F.col("_lo"), F.col("_hi"))).drop("_chr", "_bin", "_lo", "_hi")
 
 
 def first_gene(reads: DataFrame, genes: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene", slack: int = 50) -> DataFrame:
-    """``first_in_bins`` over the bins of ``genes``."""
-    return first_in_bins(reads, gene_bins(genes, slack), chr_col, coord_col, out)
+    """``first_in_bins`` over the intervals of ``genes``."""
+    return first_in_bins(reads, first_intervals(genes, slack), chr_col, coord_col, out)
 
 
 def exon_frame(exons: Column, at: Column, slack: int = 50, literal: bool = False) -> Column:

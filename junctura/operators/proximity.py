@@ -22,17 +22,19 @@ def l1_neighbours(reads: DataFrame, keys: list[str], x: str, y: str, radius: int
     side = radius + 1
     by = [*keys, "_cx", "_cy"]
     placed = reads.withColumns({"_cx": F.floor((F.col(x) + F.col(y)) / side), "_cy": F.floor((F.col(x) - F.col(y)) / side)})
-    spots = placed.groupBy(*by, x, y).agg(F.count("*").alias("_c"))
-    cells = spots.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    dense = placed.join(cells.filter("_n > 1").drop("_n"), by, "left_semi").select(reads.columns)
-    alone = placed.join(cells.filter("_n = 1").drop("_n"), by, "left_semi")
+    # one aggregation counts the cells' reads and carries the row of a lone one, which needs no join then
+    others = [c for c in reads.columns if c not in keys]
+    cells = placed.groupBy(*by).agg(F.count("*").alias("_n"), *[F.first(c).alias(f"_r_{c}") for c in others])
+    dense = placed.join(cells.filter("_n > 1").select(by), by, "left_semi").select(reads.columns)
+    alone = cells.filter("_n = 1").select("_cx", "_cy", *keys, *[F.col(f"_r_{c}").alias(c) for c in others])
+    spots = placed.select(*by, x, y).distinct()
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     around = alone.withColumn("_s", F.explode(steps)).withColumns({"_cx": F.col("_cx") + F.col("_s.i"), "_cy": F.col("_cy") + F.col("_s.j")}).drop("_s")
-    others = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
+    around_them = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy"))
     same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_cx") == F.col("_ox"), F.col("_cy") == F.col("_oy")]
     close = l1(F.col(x), F.col(y), F.col("_x"), F.col("_y")) <= radius
     for s in same:
         close = close & s
-    found = around.join(others, close, "left_semi").select(reads.columns)
+    found = around.join(around_them, close, "left_semi").select(reads.columns)
     # a read alone in its cell is the only one with its keys and position, so these tell repeats from different reads
     return dense.unionByName(found.dropDuplicates([*keys, x, y]))

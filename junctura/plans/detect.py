@@ -24,8 +24,8 @@ class FusionResult:
 
 
 def candidates(reads: DataFrame, genes: DataFrame, cfg: FusionConfig = FusionConfig(), counters: Counters = NoCounters()) -> DataFrame:
-    """Discordant reads: both ends in a gene, and not the same. The genes' bins are written once for both joins."""
-    bins = cut(annotate.gene_bins(genes, cfg.slack), "bins")
+    """Discordant reads: both ends in a gene, and not the same. The genes' intervals are written once for both joins."""
+    bins = cut(annotate.first_intervals(genes, cfg.slack), "bins")
     hits = counters.by_chr(annotate.first_in_bins(counters.by_chr(reads, "mapped"), bins, "chr", "coord", "gene"), "gene_hits")
     both = counters.by_chr(annotate.first_in_bins(hits, bins, "mchr", "mcoord", "mgene"), "mate_hits", "mchr")
     return counters.rows(clusters.discordant(both), "discordant")

@@ -26,8 +26,8 @@ def mapped(s: SparkSession, d: str, min_mapq: int = 0) -> DataFrame:
 
 
 def gene_bins(s: SparkSession, d: str) -> DataFrame:
-    """Bins as a table, so that its size decides on a broadcast."""
-    return cut(annotate.gene_bins(fx.genes(s, d)), "bins")
+    """Intervals of first genes as a table, so that its size decides on a broadcast."""
+    return cut(annotate.first_intervals(fx.genes(s, d)), "bins")
 
 
 def with_gene(s: SparkSession, d: str) -> DataFrame:

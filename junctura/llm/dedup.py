@@ -36,8 +36,8 @@ PERCENT, SHINGLE = 85, 5
 #: The pipeline's stage: near-duplicates are documents with a similarity of 0.8; 24 bands of 5 miss such a pair with p = 7e-5.
 STAGE_PERCENT, STAGE_ROWS = 80, 5
 BLOCK_BYTES = 1 << 20
-#: Documents in a block of those that share a rare shingle.
-BLOCK = 256
+#: Documents in a block of those that share a rare shingle, and shingles of all its documents: about so many, or one document.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Parts that a hot group is dealt to where its rows meet a fact about the group.
 SALTS = 64
 
@@ -179,7 +179,7 @@ def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent:
     need = ceil(percent * n / 100) of them with each partner, hence one of its n - need + 1 rarest (in one order
     for all documents); shingles that no other open document has come first and are never looked up. Documents that merely share
     a passage so drop out before any comparison. Of rare shingles with the same documents one is kept; two
-    documents are a pair, more are dealt to blocks, and each pair of blocks is a cell that one task compares exactly.
+    documents are a pair, more are dealt to blocks by their number and their shingles, and each pair of blocks is a cell that one task compares exactly.
     """
     placed = members.filter("m > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
@@ -191,13 +191,14 @@ def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent:
     shared = each.groupBy("shingle").agg(F.count("*").alias("docs")).filter("docs > 1")
     held = each.join(shared.hint("merge"), "shingle").groupBy("id", "text_key", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("shared"))
     rare = held.withColumn("take", F.expr(f"size(shared) - (n * {percent}L + 99) div 100 + 1")).filter("take > 0")
-    rare = rare.select("id", F.explode(F.slice("shared", F.lit(1), F.col("take").cast("int"))).alias("s")).select("id", F.col("s.shingle").alias("group"))
-    rare = cut(rare.distinct().join(left, "id"), "rare")
+    rare = rare.select("id", "n", F.explode(F.slice("shared", F.lit(1), F.col("take").cast("int"))).alias("s")).select("id", F.col("n").cast("long").alias("n"), F.col("s.shingle").alias("group"))
+    rare = cut(rare.groupBy("id", "group").agg(F.sum("n").alias("shingles")).join(left, "id"), "rare")
     marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in range(2)]
-    kinds = rare.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size"), *marks)
-    kinds = cut(kinds.filter("lo < hi").groupBy("size", "mark0", "mark1").agg(F.min("group").alias("group"), F.first("a").alias("a"), F.first("b").alias("b")), "kinds")
+    kinds = rare.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size"), F.sum("shingles").alias("shingles"), *marks)
+    kinds = cut(kinds.filter("lo < hi").groupBy("size", "mark0", "mark1").agg(F.min("group").alias("group"), F.first("a").alias("a"), F.first("b").alias("b"), F.max("shingles").alias("shingles")), "kinds")
     pairs = confirm(cut(kinds.filter("size = 2").select("a", "b"), "pairs"), texts, percent)
-    count = kinds.filter("size > 2").select("group", F.ceil(F.col("size") / BLOCK).cast("int").alias("n"))
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.col("size"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
+    count = kinds.filter("size > 2").select("group", parts.cast("int").alias("n"))
     block = with_group_fact(rare, count, "inner").withColumn("block", F.pmod(F.xxhash64("id"), "n").cast("int"))
     cells = block.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
     full = cells.select("group", "i", "j", "block", "id", "root").hint("merge").join(texts, "id")

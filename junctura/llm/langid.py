@@ -15,12 +15,13 @@ up in windows.
 
 Texts that are null or hold no letter are ``und`` with score 0, as are all texts when nothing could be learned.
 Ties go to the alphabetically first language. Repeated rows, and rows with null or repeated ids, are rows like others (a null id is
-not held out, and not learned from); no rows give no rows; other columns are ignored. The LANGUAGES most
-frequent labels are learned, which bounds the table.
+not held out, and not learned from); no rows give no rows; other columns are ignored. Labels are learned and scored LANGUAGES at
+a time, which bounds the table; more of them take turns over all rows, with the same result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.common import blocks, documents, map_batches, map_rows, resident
+from junctura.llm.common import blocks, documents, map_rows, resident, with_column
 from junctura.llm.words import U64, mix, splitmix
 from junctura.tables import cut
 
 MODEL = "piece_bpe_32k.model"
 FIT_ROWS, ROUNDS, SMOOTH = 1500, 3, 0.02
-#: Labels that are learned at most; probability of a character that no piece covers, alike in all languages.
+#: Labels that are learned and scored at once, more of them in turn; probability of a character that no piece covers, alike in all languages.
 LANGUAGES, UNKNOWN = 200, 1e-6
 #: Characters between two scalings (a character costs a factor of UNKNOWN at worst) and in a window of piece look-ups.
 SCALE, WINDOW = 16, 2048
@@ -212,10 +213,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, (piece, language) probabilities) from about ``rows`` documents of each language."""
-    known = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    count = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+
+
+def labels(docs: DataFrame) -> dict[str, int]:
+    """Documents of each label that can be learned."""
+    return {r.lang: r["count"] for r in _labelled(docs).groupBy("lang").count().collect()}
+
+
+def fit(docs: DataFrame, path: str, rows: int = FIT_ROWS, rounds: int = ROUNDS, count: dict[str, int] | None = None) -> tuple[list[str], np.ndarray]:
+    """(languages, (piece, language) probabilities) from about ``rows`` documents of each language: of all, or of those in ``count``."""
+    known = _labelled(docs)
+    count = labels(docs) if count is None else count
     langs = sorted(count)
     table = lattice(path)
     if not langs:
@@ -279,37 +289,84 @@ def scorer(path: str, p: np.ndarray) -> Scorer:
     return table.scorer[1]
 
 
-def classify(texts: list[str | None], path: str, langs: list[str], p: np.ndarray) -> list[tuple[str, float]]:
-    """(language, its posterior probability) of each text."""
-    out = [("und", 0.0)] * len(texts)
+def best_labels(texts: list[str | None], path: str, langs: list[str], p: np.ndarray) -> list[tuple[str, float, float] | None]:
+    """(most probable of ``langs``, its log probability, that of all together as a multiple of it) of each text; None for one without letters."""
+    out: list[tuple[str, float, float] | None] = [None] * len(texts)
     if not langs:
         return out
     score = scorer(path, p)
     some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
     for first, part in blocks((texts[i].encode() for i in some), BLOCK_BYTES):
         logs = score.texts([texts[i] for i in some[first : first + len(part)]])
-        logs -= logs.max(axis=1, keepdims=True)
-        odds = np.exp(logs)
-        best = odds.argmax(axis=1)
-        for k, (b, s) in enumerate(zip(best.tolist(), (1 / odds.sum(axis=1)).tolist(), strict=True)):
-            out[some[first + k]] = (langs[b], s)
+        best, most = logs.argmax(axis=1), logs.max(axis=1)
+        total = np.exp(logs - most[:, None]).sum(axis=1)
+        for k, (b, m, t) in enumerate(zip(best.tolist(), most.tolist(), total.tolist(), strict=True)):
+            out[some[first + k]] = (langs[b], m, t)
     return out
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row; only the text decides."""
+def classify(texts: list[str | None], path: str, langs: list[str], p: np.ndarray) -> list[tuple[str, float]]:
+    """(language, its posterior probability) of each text; ``und`` and 0 for one without letters."""
+    return [(f[0], 1 / f[2]) if f else ("und", 0.0) for f in best_labels(texts, path, langs, p)]
+
+
+STATE = ["_lang", "_best", "_total"]
+
+
+def _scored(rows: DataFrame, langs: list[str], p: np.ndarray, path: str) -> DataFrame:
+    """``rows`` (text, _lang, _best, _total and others) after the labels ``langs``: the best label so far (of equal ones the first), its log probability, that of all as a multiple of it."""
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        now = [batch.column(c).to_pylist() for c in STATE]
+        for i, found in enumerate(best_labels(batch.column("text").to_pylist(), path, langs, p)):
+            if found:
+                label, best, total = found
+                if now[0][i] is None:
+                    now[0][i], now[1][i], now[2][i] = label, best, total
+                elif best > now[1][i]:
+                    now[0][i], now[1][i], now[2][i] = label, best, total + now[2][i] * math.exp(now[1][i] - best)
+                else:
+                    now[2][i] += total * math.exp(best - now[1][i])
+        for c, values in zip(STATE, now, strict=True):
+            batch = with_column(batch, c, pa.array(values, batch.schema.field(c).type))
+        return batch
 
-    def make(batch: pa.RecordBatch) -> dict:
-        found = classify(batch.column(2).to_pylist(), path, langs, p)
-        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [g for g, _ in found], "score": [s for _, s in found]}
+    return map_rows(rows, change)
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
-    return map_batches(ready, ["doc_id", "held_out", "text"], make, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def _begun(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in zip(STATE, ("string", "double", "double"), strict=True)})
+
+
+def with_language(rows: DataFrame, docs: DataFrame, path: str) -> tuple[DataFrame, bool]:
+    """(``rows`` with _lang, _best and _total over all labels of ``docs``, whether there are any). More than LANGUAGES labels take turns, each over all rows."""
+    count = labels(docs)
+    names = sorted(count)
+    out = _begun(rows)
+    for k in range(0, len(names), LANGUAGES):
+        if k:
+            out = cut(out, "language")
+        out = _scored(out, *fit(docs, path, count={g: count[g] for g in names[k : k + LANGUAGES]}), path)
+    return out, bool(names)
+
+
+def _ready(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
+
+
+def _named(scored: DataFrame) -> DataFrame:
+    score = F.when(F.col("_lang").isNull(), 0.0).otherwise(1 / F.col("_total"))
+    return scored.select("doc_id", "held_out", F.coalesce("_lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, path: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row, by a fitted table; only the text decides. The score is the label's posterior probability."""
+    return _named(_scored(_begun(_ready(docs)), langs, p, path))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = documents(spark, sf_dir), public_tokenizers.path(MODEL)
-    return identify(docs, *fit(docs, path), path)
+    docs = documents(spark, sf_dir)
+    return _named(with_language(_ready(docs), docs, public_tokenizers.path(MODEL))[0])
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -317,12 +374,5 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where no row is labelled nothing can be learned and no document be told apart: all with a letter stay.
     """
-    path = public_tokenizers.path(MODEL)
-    langs, p = fit(docs, path)
-
-    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        keep = [g != "und" for g, _ in classify(texts, path, langs, p)] if langs else [bool(t and LETTER.search(t)) for t in texts]
-        return batch.filter(pa.array(keep, pa.bool_()))
-
-    return map_rows(docs, change)
+    scored, learned = with_language(docs, docs, public_tokenizers.path(MODEL))
+    return scored.filter(F.col("_lang").isNotNull() if learned else F.col("text").rlike(r"\p{L}")).drop(*STATE)

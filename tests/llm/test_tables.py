@@ -55,6 +55,21 @@ def test_language(spark, docs, none):
     assert langid.identify(none, langs, p, path).count() == 0
 
 
+def test_labels_in_turns_give_the_same(spark, monkeypatch):
+    """Labels that are learned a few at a time: every label is scored, and results do not depend on how many at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = files.path(langid.MODEL)
+    rows = lambda: {r.doc_id: (r._lang, r._best, r._total) for r in langid.with_language(langid._ready(docs), docs, path)[0].collect()}
+    want = rows()
+    kept = {r.doc_id for r in langid.stage_language(spark, docs, SF).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    got = rows()
+    assert len({x[0] for x in want.values()} - {None}) > 2
+    for i, (lang, best, total) in want.items():
+        assert got[i][0] == lang and (lang is None or got[i][1:] == pytest.approx((best, total)))
+    assert {r.doc_id for r in langid.stage_language(spark, docs, SF).collect()} == kept == {i for i, x in want.items() if x[0]}
+
+
 def test_language_accuracy_on_held_out(spark):
     out = queries.QUERIES["op1_language_id"](spark, SF).filter("held_out")
     known = out.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")

@@ -45,6 +45,7 @@ class Coder:
             raise ValueError("ids do not fit 16 bits")
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
+        self.sizes: dict[str, int] = {}
         self._forget()
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one character of a byte-level token is one byte
         for token, i in self.tokenizer.get_vocab().items():
@@ -68,9 +69,26 @@ class Coder:
 
     def counts(self, parts: list[str], text: str | None = None) -> list[int]:
         """Number of ids of each pre-token (of ``text``), special tokens' contents as ordinary text."""
-        if OTHER.search("".join(parts) if text is None else text):
-            return [len(self.ids(x)) for x in parts]
-        return [len(x) // 2 for x in self._parts(parts)]
+        if not OTHER.search("".join(parts) if text is None else text):
+            return [len(x) // 2 for x in self._parts(parts)]
+        sizes = {x: 0 for x in parts}
+        wide = self._wide([x for x in sizes if OTHER.search(x)])
+        rest = [x for x in sizes if x not in wide]
+        cut = [self.find(x) for x in rest]
+        found = iter(self._parts([y for own in cut for y in own]))
+        sizes |= wide | {x: sum(len(next(found)) // 2 for _ in own) for x, own in zip(rest, cut, strict=True)}
+        return [sizes[x] for x in parts]
+
+    def _wide(self, parts: list[str]) -> dict[str, int]:
+        """Number of ids of each of ``parts``, which go to the library whole; those that the worker does not remember in one call."""
+        new = [x for x in parts if x not in self.sizes]
+        if len(self.sizes) + len(new) > MEMO_ROWS:
+            self.sizes.clear()
+            new = parts
+        if new:
+            self.tokenizer.encode_special_tokens = True
+            self.sizes.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return {x: self.sizes[x] for x in parts}
 
     def _forget(self) -> None:
         self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u2"), np.zeros(0, np.int32)

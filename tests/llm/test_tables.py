@@ -306,6 +306,11 @@ def test_null_items_and_ids(spark, docs):
 def test_license_labels_by_brute_force(spark):
     index, most = licenses.index()
     rare = {(t, p): (w, idf) for w, (idf, ps) in index.items() for t, p in ps}
+    every = {w for _, _, t in licenses.TEMPLATES for w in t.split()}
+
+    def holds(w, t, want, key, place, at):
+        run = sum(idf for (u, p), (x, idf) in rare.items() if u == t and 0 <= at + p < len(w) and w[at + p] == x)
+        return run >= licenses.LEAST * most[t] - 1e-12 and at + place >= 0 and w[at + place : at + place + len(key)] == key
 
     def brute(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -316,19 +321,49 @@ def test_license_labels_by_brute_force(spark):
             place = next(i for i in range(len(want)) if want[i : i + len(key)] == key)
             for at in range(-len(want), len(w)):
                 run = sum(idf for (u, p), (x, idf) in rare.items() if u == t and 0 <= at + p < len(w) and w[at + p] == x)
-                if run >= licenses.LEAST * most[t] - 1e-12 and at + place >= 0 and w[at + place : at + place + len(key)] == key:
+                if holds(w, t, want, key, place, at):
                     labels.add(label)
                     best = max(best, min(1.0, run / most[t]))
+            if any(holds(w, t, want, key, place, at) for at in range(-len(want), len(w))):
+                continue
+            among = [x for x in w if x in every]
+            hits = [(i - p, p, idf) for (u, p), (x, idf) in rare.items() if u == t for i in range(len(w)) if w[i] == x]
+            bands = {}
+            for at, p, idf in hits:
+                for b in (at // licenses.BAND, at // licenses.BAND - 1):
+                    bands.setdefault(b, {})[p] = idf
+            run = max((sum(b.values()) for b in bands.values()), default=0)
+            if run >= licenses.MOST * most[t] - 1e-12 and any(among[i : i + len(key)] == key for i in range(len(among))):
+                labels.add(label)
+                best = max(best, min(1.0, run / most[t]))
         return ",".join(sorted(labels)), round(best, 9)
 
     rows = [(i, f"about it. {t.upper()}, and\n * {'more ' * (i % 5)}", None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
     rows += [(100 + i, " ".join(w for k, w in enumerate(t.split()) if k % 4 != i % 4), None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(300 + i, "\n".join(f"dnl {' '.join(t.split()[k : k + 5])}" for k in range(0, len(t.split()), 5)), None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
+    rows += [(400 + i, " ".join(w for k, w in enumerate(t.split()) if k != 3), None) for i, (_, _, t) in enumerate(licenses.TEMPLATES)]
     rows += [(200, " and ".join(t for _, _, t in licenses.TEMPLATES), None), (201, None, None), (202, "the of and is permission", None)]
     got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan_licenses(table(spark, rows)).collect()}
     for i, text, _ in rows:
         assert got[i] == brute(text), i
 
 
+def test_licenses_with_inserted_words_and_identifiers(spark):
+    agpl = next(t for g, _, t in licenses.TEMPLATES if g == "agpl").split()
+    rows = [
+        (1, "Permission is hereby granted, at no cost and free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        (2, "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met", "bsd"),
+        (3, "\n".join("dnl " + " ".join(agpl[k : k + 7]) for k in range(0, len(agpl), 7)), "agpl"),
+        (4, "// SPDX-License-Identifier: MIT", "mit"),
+        (5, "# spdx-license-identifier: (GPL-2.0-or-later OR Apache-2.0) AND CC-BY-NC-4.0\n# SPDX-License-Identifier: LGPL-3.0+", "apache,cc-by,cc-by-nc,gpl,lgpl"),  # the base phrase cc by stands in it
+        (6, "SPDX-License-Identifier: MITRE-1.0 Mitten", ""),
+        (7, "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ]
+    by = {r.doc_id: r for r in licenses.scan_licenses(table(spark, [(i, t, None) for i, t, _ in rows])).collect()}
+    assert {i: by[i].labels for i, _, _ in rows} == {i: want for i, _, want in rows}
+    assert by[1].score > 0.99 and by[4].score == by[5].score == 1 and by[6].score == 0
+
+
 def test_stored_trees_are_opened_for_later_edits(spark, docs, none):
     files_ = token_store.tokenizer()
     code = token_counts.coder(*files_)

@@ -7,7 +7,8 @@ the item's words, 0.2 by default) of the whole item in word edit distance.
 Candidates come from a CGK random walk: the walk reads a word, writes it, and steps on or stays by a random
 bit of that word and step, so that a bounded edit distance becomes a bounded Hamming distance between walks. LSH keys take
 some of the written positions; repetitions use new walks. Each candidate is then verified by the exact
-semi-global edit distance (bit-parallel) between the whole item and the words around it, which also gives its place.
+semi-global edit distance (bit-parallel) between the whole item and the words around it, which also gives its place; before, those go whose place has too few
+of the item's words to hold it, by a table of marks, for all candidates at once.
 
 * Items of LONG words or more: walks of STEPS steps start at every word of an item and at every fourth word of a document; keys take
   SAMPLE of the steps, in REPS repetitions.
@@ -65,7 +66,7 @@ class Keys:
 
 @dataclass
 class Index:
-    """Ids and words of the items; keys of the long items' walks by repetition; keys of the short ones' by repetition and steps."""
+    """Ids and words of the items; keys of the long items' walks by repetition; keys of the short ones' by repetition and steps; marks of each item's words."""
 
     ids: list
     words: list[np.ndarray]
@@ -73,6 +74,25 @@ class Index:
     short: dict[tuple[int, int], Keys]
     max_edits: float
 
+    def __post_init__(self) -> None:
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.salt = splitmix(len(self.words), 7000)
+        self.shift = U64(64 - min(24, max(10, int(self.size.sum()).bit_length() + 4)))
+        self.marks = np.zeros(1 << (64 - int(self.shift)), bool)
+        for salt, w in zip(self.salt, self.words, strict=True):
+            self.marks[self._mark(salt, w)] = True
+
+    def _mark(self, salt: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (mix(words ^ salt) >> self.shift).astype(np.int64)
+
+    def plausible(self, text: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, edits: np.ndarray) -> np.ndarray:
+        """Which places ``lo``:``hi`` of ``text`` can hold their items: within k edits, n - k of a place's words are words of the item. Marks may only tell too many."""
+        left, have = np.arange(len(item)), np.zeros(len(item), np.int64)
+        for j in range(int((hi - lo).max(initial=0))):
+            left = left[lo[left] + j < hi[left]]
+            have[left] += self.marks[self._mark(self.salt[item[left]], text[lo[left] + j])]
+        return have >= self.size[item] - edits[item]
+
 
 def walk_keys(words: np.ndarray, starts: np.ndarray, steps: int, rep: int, samples: set[int]) -> np.ndarray:
     """LSH keys of CGK walks from ``starts``; ``words`` must go on for ``steps`` words after the last start."""
@@ -186,13 +206,33 @@ def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -
     doc_of = np.repeat(np.arange(len(texts)), count)
     within = np.arange(len(words)) - np.repeat(first[:-1], count)
     padded = np.concatenate([words, splitmix(PAD, 31337)])
-    seen: set[tuple[int, int, int]] = set()
+    edits = (max_edits * index.size).astype(np.int64)
+    seen, held_rows = [np.zeros((0, 3), np.int64)], 0
+
+    def around(doc: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words in which an item that begins about there would stand."""
+        k = edits[item]
+        return np.maximum(first[doc], begin - 2 * k - 1), np.minimum(first[doc + 1], begin + index.size[item] + 2 * k + 1)
 
     def note(starts: np.ndarray, keys: np.ndarray, held: Keys) -> None:
-        number, entry = held.meet(keys)
-        if len(number):
-            p = starts[number]
-            seen.update(zip(doc_of[p].tolist(), held.item[entry].tolist(), (p - held.offset[entry]).tolist(), strict=True))
+        for part in np.array_split(np.arange(len(keys)), max(1, len(keys) >> 13)):
+            number, entry = held.meet(keys[part])
+            if len(number):
+                p, item = starts[part[number]], held.item[entry].astype(np.int64)
+                order = np.lexsort((at := p - held.offset[entry], item))
+                rows = np.stack([doc_of[p], item, at], axis=1)[order]
+                seen.append(rows[np.concatenate([[True], (np.diff(rows, axis=0) != 0).any(axis=1)])])
+        if sum(map(len, seen)) > 2 * held_rows + (1 << 18):
+            shrink()
+
+    def shrink() -> None:
+        """Candidates once each, those alone that can hold their items."""
+        nonlocal seen, held_rows
+        rows = np.concatenate(seen)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.concatenate([[True], (np.diff(rows, axis=0) != 0).any(axis=1)])[: len(rows)]]
+        seen = [rows[index.plausible(words, rows[:, 1], *around(*rows.T), edits)]]
+        held_rows = len(seen[0])
 
     strided = np.flatnonzero(within % STRIDE == 0)
     for rep, held in enumerate(index.long_):
@@ -206,11 +246,10 @@ def find_items(index: Index, texts: list[bytes], max_edits: float = MAX_EDITS) -
                 if (rep, steps) in index.short:
                     note(part, keys, index.short[rep, steps])
     found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-    for d, i, begin in sorted(seen):
-        item = index.words[i].tolist()
-        k = int(max_edits * len(item))
-        lo, hi = max(int(first[d]), begin - 2 * k - 1), min(int(first[d + 1]), begin + len(item) + 2 * k + 1)
-        place = locate(item, words[lo:hi].tolist(), k)
+    shrink()
+    every = seen[0]
+    for d, i, lo, hi in zip(*every[:, :2].T.tolist(), *(x.tolist() for x in around(*every.T)), strict=True):
+        place = locate(index.words[i].tolist(), words[lo:hi].tolist(), int(edits[i]))
         if place:
             x, w = place[0], place[1] + lo - int(first[d])
             found[d][i] = min(found[d].get(i, (x, w)), (x, w))
@@ -260,4 +299,5 @@ def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go; all others, those without text or id too, stay with all their columns. No rows give no rows, no items remove none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

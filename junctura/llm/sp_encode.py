@@ -1,4 +1,8 @@
-"""SentencePiece encoding and decoding of a text column (see ``pieces`` for the method)."""
+"""SentencePiece encoding and decoding of a text column (see ``pieces`` for the method).
+
+Each row by itself, without a shuffle: null and empty texts have no ids and decode to an empty text; very long texts are encoded whole; rows with
+null or repeated ids and repeated rows are rows like others; no rows give no rows; other columns, whatever their names, are ignored.
+"""
 
 from __future__ import annotations
 
@@ -59,4 +63,5 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of each document's pieces, one row a row of ``docs`` (null or repeated ids too); no rows give no rows."""
     return piece_digests(docs, public_tokenizers.path(MODEL))

@@ -303,6 +303,16 @@ def test_null_items_and_ids(spark, docs):
     assert pairs(decontam.contaminated(rows, items), "doc_id", "item_id", "at_word") == sorted([(None, None, 1), (3, 4, 0), (3, 4, 0)], key=str)
 
 
+def test_several_blocks_of_items(spark, monkeypatch):
+    """Items in many small blocks are found as in one."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    find = lambda: pairs(decontam.contaminated(docs, items), "doc_id", "item_id", "distance", "at_word", "item_words")
+    kept = lambda: pairs(decontam.drop_contaminated(docs, items), "doc_id")
+    want, clean = find(), kept()
+    monkeypatch.setattr(decontam, "ITEM_BYTES", 1000)
+    assert want and find() == want and kept() == clean
+
+
 def test_license_labels_by_brute_force(spark):
     index, most = licenses.index()
     rare = {(t, p): (w, idf) for w, (idf, ps) in index.items() for t, p in ps}

@@ -31,6 +31,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: (doc_id, n_tokens, ids_sha256, decoded_sha256) of each document that stays.
+
+    Null texts and those without a letter go with the language stage; rows without an id are compared with no other and stay; rows that repeat an
+    id stay or go together; of equal texts under several ids the smallest id stays; very long texts are taken whole; no documents give no rows; other columns are
+    carried along and then left behind.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from junctura.config import FusionConfig
 from junctura.operators.report import report_lines, to_lines
 from junctura.plans.counters import Counters
-from junctura.plans.detect import FusionResult, detect, supporting_lines
+from junctura.plans.detect import FusionResult, detect, supporting_lines, supporting_lines_by_key
 from junctura.sources import indexed, prepared, refgene, sam
 from junctura.tables import clear, cut
 
@@ -32,6 +32,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--alpha", type=int, default=200)
     p.add_argument("--slack", type=int, default=50)
     p.add_argument("--single-end", action="store_true")
+    p.add_argument("--text-reader", action="store_true", help="read the SAM text through Spark's text reader, from any path that Spark can read; lines are then told apart by digests, not byte positions")
     p.add_argument("--compat", choices=["intended", "literal"], default="intended")
     p.add_argument("--log", default="junctura-stages.log", help="file of this machine to which stages, seconds and counters are appended")
     p.add_argument("--work-dir", help="folder that the driver and all executors share, for tables between stages; the session's spark.checkpoint.dir if it has one")
@@ -47,10 +48,11 @@ def main(argv: list[str] | None = None) -> None:
     builder = SparkSession.builder.appName("junctura")
     spark = (builder.config("spark.checkpoint.dir", a.work_dir) if a.work_dir else builder).getOrCreate()
     clock = Stages(a.log)
-    header, chrs, reads = sam.read_sam(spark, a.sam, cfg)
+    header, chrs, reads = sam.read_sam(spark, a.sam, cfg, not a.text_reader)
+    keys = ["line_key"] if a.text_reader else sam.PLACE
     counters = Counters(chrs.count())
     # one scan of the alignment text; what follows reads a few numbers and a place for each record
-    slim = cut(sam.mapped(counters.by_chr(reads, "reads"), cfg.min_mapq).select(*sam.PLACE, "line_len", "chr", "coord", "mchr", "mcoord", "mapq"), "reads")
+    slim = cut(sam.mapped(counters.by_chr(reads, "reads"), cfg.min_mapq).select(*keys, "line_len", "chr", "coord", "mchr", "mcoord", "mapq"), "reads")
     clock.done("scan")
     if a.reference_dir:
         tables = prepared.read_reference(spark, a.reference_dir, chrs)
@@ -61,12 +63,12 @@ def main(argv: list[str] | None = None) -> None:
         prepared.write_reference(genes, exons, families, chrs, a.save_reference)
     clock.done("reference")
     size = header.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
-    result = detect(slim, genes, families, exons, chrs, sam.PLACE, size, cfg, counters)
+    result = detect(slim, genes, families, exons, chrs, sam.KEY if a.text_reader else sam.PLACE, size, cfg, counters)
     result = replace(result, clusters=cut(result.clusters, "clusters"))
     clock.done("detect")
     for row in report_lines(result.clusters).orderBy("cluster_rank").toLocalIterator():
         print(row.line)
-    write_result(result, header, a.out, a.sam)
+    write_result(result, header, a.out, supporting_lines_by_key(result, reads) if a.text_reader else supporting_lines(result, a.sam))
     clock.done("write")
     totals = result.clusters.agg(F.count("*"), F.sum("nbreads")).first()
     clear(spark)
@@ -113,17 +115,18 @@ class Stages:
         return ", ".join(f"{name} {s:.1f} s" for name, s in self.took.items())
 
 
-def write_result(result: FusionResult, header: DataFrame, out: str, path: str) -> None:
-    """cluster_list.cl (report lines), reads.sam (header, then lines by cluster) and reads.index (the parts of reads.sam and their first bytes).
+def write_result(result: FusionResult, header: DataFrame, out: str, lines: DataFrame) -> None:
+    """cluster_list.cl (report lines), reads.sam (header, then ``lines`` by cluster) and reads.index (the parts of reads.sam and their first bytes).
 
     Offsets of the report count through the parts of reads.sam, joined by name; ``indexed.cluster_bytes`` reads a cluster's lines by them.
-    Text of the reads is fetched from the SAM files at ``path``.
     """
     spark = header.sparkSession
-    body = supporting_lines(result, path).select(F.lit(1).alias("part"), "cluster_rank", "coord", "mcoord", *sam.PLACE, "value")
-    head = header.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("cluster_rank"), F.col("line_no").cast("long").alias("coord"), F.lit(0).cast("long").alias("mcoord"), F.lit(0).alias("file"), F.lit(0).cast("long").alias("position"), "value")
+    own = [c for c in (*sam.PLACE, "line_key") if c in lines.columns]
+    body = lines.select(F.lit(1).alias("part"), "cluster_rank", "coord", "mcoord", *own, "value")
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    head = header.select(F.lit(0).alias("part"), zero("cluster_rank"), F.col("line_no").cast("long").alias("coord"), zero("mcoord"), *[F.lit(None).cast(body.schema[c].dataType).alias(c) for c in own], "value")
     to_lines(result.clusters).write.mode("overwrite").text(f"{out}/cluster_list.cl")
-    head.unionByName(body).orderBy("part", "cluster_rank", "coord", "mcoord", *sam.PLACE).select("value").write.mode("overwrite").text(f"{out}/reads.sam")
+    head.unionByName(body).orderBy("part", "cluster_rank", "coord", "mcoord", *own).select("value").write.mode("overwrite").text(f"{out}/reads.sam")
     indexed.write_index(spark, f"{out}/reads.sam", f"{out}/reads.index")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from junctura.config import FusionConfig
 from junctura.operators import annotate, clusters, proximity, report
@@ -61,5 +62,18 @@ def detect(
 def supporting_lines(result: FusionResult, path: str) -> DataFrame:
     """(cluster_rank, coord, mcoord, file, position, line_len, value): lines by cluster, then position. Their text is read from the SAM files
     at ``path`` by byte ranges; nothing else of these is read or shuffled."""
-    ranked = result.reads.join(result.summary.select("g", "m", "cluster_rank"), ["g", "m"])
-    return sam_bytes.fetch(ranked.select("cluster_rank", "coord", "mcoord", *sam.PLACE, "line_len"), path)
+    return sam_bytes.fetch(_ranked(result).select("cluster_rank", "coord", "mcoord", *sam.PLACE, "line_len"), path)
+
+
+def supporting_lines_by_key(result: FusionResult, lines: DataFrame) -> DataFrame:
+    """(cluster_rank, coord, mcoord, line_key, value), for reads without places: text is joined from ``lines`` (line_key, raw).
+
+    Lines that no read needs go first, in a semi join whose small side Spark broadcasts below its threshold; only the others' text is de-duplicated.
+    """
+    ranked = _ranked(result).select("cluster_rank", "coord", "mcoord", "line_key")
+    text = lines.select("line_key", "raw").join(ranked.select("line_key").distinct(), "line_key", "left_semi").dropDuplicates(["line_key"])
+    return ranked.join(text, "line_key").select("cluster_rank", "coord", "mcoord", "line_key", F.col("raw").alias("value"))
+
+
+def _ranked(result: FusionResult) -> DataFrame:
+    return result.reads.join(result.summary.select("g", "m", "cluster_rank"), ["g", "m"])

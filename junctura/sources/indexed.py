@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 from junctura.sources import sam_bytes
 
 
-def parts(folder: str) -> list[tuple[str, int, int]]:
-    """(part, first byte, bytes) of a written text folder, by name."""
+def _placed(found: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
     out, at = [], 0
-    for path, size in sam_bytes.files(folder):
-        out.append((path, at, size))
+    for name, size in sorted(found):
+        out.append((name, at, size))
         at += size
     return out
 
 
+def parts(folder: str) -> list[tuple[str, int, int]]:
+    """(part, first byte, bytes) of a written text folder, by name."""
+    return _placed(sam_bytes.files(folder))
+
+
 def write_index(spark: SparkSession, folder: str, out: str) -> None:
-    """The index as a small text table (part's name, first byte, bytes), tab-separated."""
-    rows = [(p.rsplit("/", 1)[1], at, n) for p, at, n in parts(folder)]
+    """The index as a small text table (part's name, first byte, bytes), tab-separated; the folder is listed by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    rows = _placed([(f.getPath().getName(), f.getLen()) for f in listed if f.getPath().getName()[:1] not in "_."])
     listed = spark.createDataFrame(rows, "part string, first_byte long, bytes long").repartitionByRange(1, "first_byte")
     listed.select(F.concat_ws("\t", "part", F.col("first_byte").cast("string"), F.col("bytes").cast("string")).alias("value")).write.mode("overwrite").text(out)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from junctura.config import FusionConfig
 from junctura.sources import sam_bytes
 
-PLACE = ["file", "position"]
+#: What tells lines apart and ranks equal reads: their place, or without places their digest.
+PLACE, KEY = ["file", "position"], ["chr", "mchr", "line_key"]
 HEAD_ROWS = 1000
 
 
@@ -64,11 +65,15 @@ def parse_lines(lines: DataFrame, chrs: DataFrame, cfg: FusionConfig = FusionCon
     return placed.select(*place, "line_key", "raw", "line_len", "chr", "coord", "mchr", "mcoord", "mapq")
 
 
-def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, chromosomes, reads with their places) of a file or a folder of files with one header; see ``parse_lines``."""
+def read_sam(spark: SparkSession, path: str, cfg: FusionConfig = FusionConfig(), places: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, chromosomes, reads) of a file or a folder of files with one header; see ``parse_lines``.
+
+    With ``places`` reads have their file and byte position, from files that Arrow can open; without, lines come through
+    Spark's text reader, from any path that Spark can read, and are told apart by line_key.
+    """
     header = header_lines(spark, path)
     chrs = chromosomes(header)
-    return header, chrs, parse_lines(sam_bytes.read(spark, path), chrs, cfg)
+    return header, chrs, parse_lines(sam_bytes.read(spark, path) if places else spark.read.text(path).select("value"), chrs, cfg)
 
 
 def mapped(reads: DataFrame, min_mapq: int = 0) -> DataFrame:

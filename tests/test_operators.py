@@ -176,7 +176,7 @@ def test_sam_job_end_to_end(spark, tmp_path):
     size = sum(len(x) + 1 for x in head)
     result = detect.detect(sam.mapped(reads), genes, families, exons, chrs, sam.PLACE, size, cfg)
     assert "raw" not in result.reads.columns
-    write_result(result, header, str(tmp_path / "out"), str(tmp_path / "in.sam"))
+    write_result(result, header, str(tmp_path / "out"), detect.supporting_lines(result, str(tmp_path / "in.sam")))
     line = "".join(p.read_text() for p in sorted((tmp_path / "out/cluster_list.cl").glob("part-*"))).splitlines()
     text = "".join(p.read_text() for p in sorted((tmp_path / "out/reads.sam").glob("part-*")))
     assert len(line) == 1
@@ -225,10 +225,13 @@ def test_job_from_the_command_line(spark, tmp_path):
     main([*common, "--reference-dir", at("prepared"), "--out", at("b")])
     text = lambda name: [p.read_text() for p in sorted((tmp_path / name).glob("part-*"))]
     assert text("a/cluster_list.cl") == text("b/cluster_list.cl") and text("a/reads.sam") == text("b/reads.sam")
+    main([*common, "--reference-dir", at("prepared"), "--out", at("d"), "--text-reader"])
+    lines = lambda name: sorted("".join(text(name)).splitlines())
+    assert text("a/cluster_list.cl") == text("d/cluster_list.cl") and lines("a/reads.sam") == lines("d/reads.sam")
     log = [r.split("\t") for r in (tmp_path / "log").read_text().splitlines()]
-    assert [r[1] for r in log] == ["scan", "reference", "detect", "write", "total"] * 2
+    assert [r[1] for r in log] == ["scan", "reference", "detect", "write", "total"] * 3
     found = json.loads(log[4][3])
-    assert found == json.loads(log[9][3])
+    assert found == json.loads(log[9][3]) == json.loads(log[14][3])
     assert found["reads_by_chr"] == {"1": 10, "2": 8, "unmapped": 1} and found["mapped_by_chr"] == {"1": 9, "2": 8} and found["clusters"] == 1
     assert (found["gene_hits"], found["gene_misses"], found["mate_hits"], found["discordant"], found["duplicates_removed"], found["supporting_reads"]) == (17, 0, 17, 16, 0, 16)
     with pytest.raises(SystemExit):

@@ -8,9 +8,9 @@ pre-token holds white space only at its start or throughout, so one always ends
 distinct pieces that the worker does not remember (bounded; started anew when full and of little help) are joined again and encoded, and the ids' byte lengths tell
 where each piece ends. Texts with other white space before a space, or with a special token's content, go to the library whole.
 
-Single pre-tokens (``counts``, ``ids``): texts in Latin letters are cut by the file's pattern, and the library encodes only those
-that are not in the worker's memo (bounded; started anew when full). Other texts, whose letters two Unicode versions might class
-differently, go to the library whole. Tests hold all of it against the unchanged library.
+Single pre-tokens: the library encodes only those that are not in the worker's memo (bounded; started anew when full). ``counts`` takes those of many texts at
+once; Latin words with a space before them are joined as above, others go to the library each by itself, many a call. ``ids`` cuts texts in Latin letters by the file's pattern; other
+texts, whose letters two Unicode versions might class differently, go to the library whole. Tests hold all of it against the unchanged library.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from tokenizers import Tokenizer
 from junctura.llm.common import resident
 
 OTHER = re.compile("[^\x00-ɏ]")
-MEMO_ROWS = 250_000
+#: Pre-tokens of which a worker remembers the ids, and of which it remembers their number.
+MEMO_ROWS, MEMO_SIZES = 250_000, 1_000_000
+#: New pre-tokens from which on words among them are joined.
+JOIN_LEAST = 64
 #: Text that ends in what some Unicode version takes for white space or a control.
 BLANK_END = r"[\x{0}-\x{20}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]\z"
 #: Bytes of distinct pieces in one call of the library.
@@ -68,27 +71,25 @@ class Coder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def counts(self, parts: list[str], text: str | None = None) -> list[int]:
-        """Number of ids of each pre-token (of ``text``), special tokens' contents as ordinary text."""
-        if not OTHER.search("".join(parts) if text is None else text):
-            return [len(x) // 2 for x in self._parts(parts)]
-        sizes = {x: 0 for x in parts}
-        wide = self._wide([x for x in sizes if OTHER.search(x)])
-        rest = [x for x in sizes if x not in wide]
-        cut = [self.find(x) for x in rest]
-        found = iter(self._parts([y for own in cut for y in own]))
-        sizes |= wide | {x: sum(len(next(found)) // 2 for _ in own) for x, own in zip(rest, cut, strict=True)}
-        return [sizes[x] for x in parts]
-
-    def _wide(self, parts: list[str]) -> dict[str, int]:
-        """Number of ids of each of ``parts``, which go to the library whole; those that the worker does not remember in one call."""
-        new = [x for x in parts if x not in self.sizes]
-        if len(self.sizes) + len(new) > MEMO_ROWS:
+        """Number of ids of each pre-token, special tokens' contents as ordinary text; ``text``, of which they may be, does not matter."""
+        found = [*map(self.sizes.get, parts)]
+        if None in found:
+            self._learn({x for x, n in zip(parts, found, strict=True) if n is None}, parts)
+            found = [self.sizes[x] if n is None else n for x, n in zip(parts, found, strict=True)]
+        return found
+
+    def _learn(self, new: set[str], parts: list[str]) -> None:
+        """Remembers the number of ids of the pre-tokens ``new``, or of all ``parts`` where the memo is full and starts anew."""
+        if len(self.sizes) + len(new) > MEMO_SIZES:
             self.sizes.clear()
-            new = parts
-        if new:
-            self.tokenizer.encode_special_tokens = True
-            self.sizes.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return {x: self.sizes[x] for x in parts}
+            new = set(parts)
+        self.tokenizer.encode_special_tokens = True
+        if len(new) >= JOIN_LEAST:
+            words = [x for x in new if x[:1] == " " and x[1:].isalpha() and not OTHER.search(x)]
+            self.sizes.update(zip(words, self._pieces(pa.array([x[1:] for x in words], pa.string()))[1].tolist(), strict=True))
+            new = new.difference(words)
+        rest = [*new]
+        self.sizes.update(zip(rest, map(len, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
 
     def _forget(self) -> None:
         self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u2"), np.zeros(0, np.int32)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable, Iterator
-from typing import TypeVar
+from typing import AnyStr, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def blocks(texts: Iterable[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) in runs of about ``most`` bytes; a longer text is a run by itself."""
+def blocks(texts: Iterable[AnyStr], most: int) -> Iterator[tuple[int, list[AnyStr]]]:
+    """(index of the first text, texts) in runs of about ``most`` bytes, or characters; a longer text is a run by itself."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         if held and size + len(text) > most:

@@ -18,6 +18,9 @@ others; no rows give no rows; other columns are ignored. Special tokens' content
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm.bpe import Coder, coder
-from junctura.llm.common import documents, map_batches
+from junctura.llm.common import blocks, documents, map_batches
 from junctura.llm.token_store import tokenizer
 from junctura.tables import cut
 
 BACK = 3
+#: Characters of text whose pre-tokens are counted at once (or one longer text).
+BLOCK_CHARS = 1 << 17
 EDIT = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -43,7 +48,15 @@ class Counter:
     def parts(self, text: str) -> tuple[list[int], list[int]]:
         """(characters, tokens) of each pre-token of ``text``."""
         parts = self.find.findall(text)
-        return list(map(len, parts)), self.encode.counts(parts, text)
+        return list(map(len, parts)), self.encode.counts(parts)
+
+    def many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``parts`` of each text, a block of texts at a time, so that what the worker does not remember goes to the library together."""
+        for _, block in blocks(texts, BLOCK_CHARS):
+            cuts = [*map(self.find.findall, block)]
+            parts = [*chain.from_iterable(cuts)]
+            ends = np.cumsum([*map(len, cuts)])[:-1]
+            yield from zip(*(np.split(np.fromiter(x, np.int64, len(parts)), ends) for x in (map(len, parts), self.encode.counts(parts))), strict=True)
 
 
 def counter(files: tuple[str, str]) -> Counter:
@@ -160,9 +173,10 @@ LEAVES = "doc_id long, text string, chars binary, tokens binary"
 
 def _built(batch: pa.RecordBatch, files: tuple[str, str]) -> dict:
     counts = counter(files)
-    leaves = [tuple(pack(x) for x in counts.parts(t.as_py() or "")) for t in batch.column(1)]
+    texts = pc.fill_null(batch.column(1), "")
+    leaves = [(pack(c), pack(n)) for c, n in counts.many(texts.to_pylist())]
     chars, tokens = zip(*leaves, strict=True)
-    return {"doc_id": batch.column(0), "text": pc.fill_null(batch.column(1), ""), "chars": chars, "tokens": tokens}
+    return {"doc_id": batch.column(0), "text": texts, "chars": chars, "tokens": tokens}
 
 
 def build_trees(docs: DataFrame, files: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

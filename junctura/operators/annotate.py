@@ -44,13 +44,14 @@ def first_intervals(genes: DataFrame, slack: int = 50) -> DataFrame:
     return pieces.select("chr", "bin", "lo", hi.alias("hi"), first.alias("gene_id")).filter("gene_id is not null")
 
 
-def first_in_bins(reads: DataFrame, intervals: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene") -> DataFrame:
+def first_in_bins(reads: DataFrame, intervals: DataFrame, chr_col: str = "chr", coord_col: str = "coord", out: str = "gene", more: dict[str, str] | None = None) -> DataFrame:
     """``reads`` with the first gene at a position; reads without one are dropped. ``intervals`` are ``first_intervals``, best as a written table.
 
     An equi-join on (chr, bin) with a range condition that at most one interval meets, all of it generated code. Spark broadcasts the intervals where
-    their size in bytes is below its threshold and shuffles on (chr, bin) where not.
+    their size in bytes is below its threshold and shuffles on (chr, bin) where not. ``more``: other columns of the intervals, and their names in the result.
     """
-    held = intervals.select(F.col("chr").alias("_chr"), F.col("bin").alias("_bin"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("gene_id").alias(out))
+    named = [F.col(c).alias(n) for c, n in (more or {}).items()]
+    held = intervals.select(F.col("chr").alias("_chr"), F.col("bin").alias("_bin"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("gene_id").alias(out), *named)
     at = F.col(coord_col)
     return reads.join(held, (F.col(chr_col) == F.col("_chr")) & (F.shiftright(coord_col, BIN) == F.col("_bin")) & at.between(F.col("_lo"), F.col("_hi"))).drop("_chr", "_bin", "_lo", "_hi")
 

@@ -23,9 +23,14 @@ def discordant(reads: DataFrame) -> DataFrame:
     return canonical_pairs(reads).filter("gene <> mgene")
 
 
+def one_family(families: DataFrame) -> DataFrame:
+    """(gene_id, family_id): the smallest family of each gene."""
+    return families.groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
+
+
 def with_families(clusters: DataFrame, families: DataFrame) -> DataFrame:
     """``clusters`` (with g, m) and the families of both genes; genes without one have null, repeated ones the smallest."""
-    one = families.groupBy("gene_id").agg(F.min("family_id").alias("family_id"))
+    one = one_family(families)
     a = one.select(F.col("gene_id").alias("g"), F.col("family_id").alias("g_family"))
     b = one.select(F.col("gene_id").alias("m"), F.col("family_id").alias("m_family"))
     return clusters.join(a, "g", "left").join(b, "m", "left")
@@ -42,11 +47,16 @@ def dedup_reads(reads: DataFrame, order: list[str]) -> DataFrame:
     An aggregation with partial results. Reads without a mate position are keyed by all their columns, so that they do not
     meet in one group; rows that are equal in all columns are counted and repeated.
     """
-    own = F.when(F.col("mcoord") == 0, F.struct(*reads.columns))
-    row = F.struct(*order, *[c for c in reads.columns if c not in order])
-    kept = reads.withColumn("_own", own).groupBy(*PAIR, "coord", "mcoord", "_own").agg(F.min(row).alias("_r"), F.count("*").cast("int").alias("_n"))
-    copies = F.when(F.col("_own").isNotNull(), F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array(F.lit(1)))
-    return kept.select("_r", F.explode(copies)).select(*[F.col("_r")[c].alias(c) for c in reads.columns])
+    keys = [*PAIR, "coord", "mcoord"]
+    rest = [c for c in dict.fromkeys([*order, *reads.columns]) if c not in keys]
+    counted = F.count("*").cast("int").alias("_n")
+    if rest:
+        own = F.when(F.col("mcoord") == 0, F.struct(*rest))
+        kept = reads.withColumn("_own", own).groupBy(*keys, "_own").agg(F.min(F.struct(*rest)).alias("_r"), counted)
+    else:
+        kept = reads.groupBy(*keys).agg(counted)
+    copies = F.when(F.col("mcoord") == 0, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array(F.lit(1)))
+    return kept.withColumn("_k", F.explode(copies)).select(*[c if c in keys else F.col("_r")[c].alias(c) for c in reads.columns])
 
 
 def cluster_counts(reads: DataFrame) -> DataFrame:

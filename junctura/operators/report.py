@@ -46,13 +46,14 @@ def with_frames(oriented: DataFrame, exons: DataFrame, cfg: FusionConfig = Fusio
     literal = cfg.compat == "literal"
     a = table.select(F.col("gene_id").alias("_gene"), F.col("gene_name"), F.col("exons").alias("_a"))
     b = table.select(F.col("gene_id").alias("_mgene"), F.col("gene_name").alias("mgene_name"), F.col("exons").alias("_b"))
+    frame = lambda exons, at: F.coalesce(exon_frame(F.col(exons), F.col(at), cfg.slack, literal), F.lit(-2))
     if literal:
         lists = first_genes(oriented, order or []).withColumnsRenamed({"gene": "_gene", "mgene": "_mgene"})
         listed = lists.join(a, "_gene", "left").join(b, "_mgene", "left").drop("_gene", "_mgene")  # one row a cluster
-        joined = oriented.join(listed, ["g", "m"])
-    else:
-        joined = oriented.join(a, F.col("gene") == F.col("_gene"), "left").join(b, F.col("mgene") == F.col("_mgene"), "left").drop("_gene", "_mgene")
-    return joined.withColumns({"frame": F.coalesce(exon_frame(F.col("_a"), F.col("coord"), cfg.slack, literal), F.lit(-2)), "mframe": F.coalesce(exon_frame(F.col("_b"), F.col("mcoord"), cfg.slack, literal), F.lit(-2))}).drop("_a", "_b")
+        return oriented.join(listed, ["g", "m"]).withColumns({"frame": frame("_a", "coord"), "mframe": frame("_b", "mcoord")}).drop("_a", "_b")
+    # a read takes its frame to the second join, not the list
+    one = oriented.join(a, F.col("gene") == F.col("_gene"), "left").withColumn("frame", frame("_a", "coord")).drop("_gene", "_a")
+    return one.join(b, F.col("mgene") == F.col("_mgene"), "left").withColumn("mframe", frame("_b", "mcoord")).drop("_mgene", "_b")
 
 
 def breakpoints(reads: DataFrame, cfg: FusionConfig = FusionConfig()) -> DataFrame:

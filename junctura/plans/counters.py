@@ -1,6 +1,6 @@
 """Counters of a run, gathered while its tables are written: no job of their own.
 
-A count is an observed metric of a plan. Counts by chromosome are frequent-item sketches with room for more items than a
+A count is an observed metric of a plan; where a name counts several plans, the parts of one table, their counts are added. Counts by chromosome are frequent-item sketches with room for more items than a
 block of chromosomes has, which makes them exact; longer dictionaries take several sketches.
 """
 
@@ -17,30 +17,36 @@ class Counters:
     """Named counts of rows that go by. ``n_chr``: chromosomes of the dictionary."""
 
     def __init__(self, n_chr: int) -> None:
-        self.n_chr, self.seen = n_chr, {}
+        self.n_chr = n_chr
+        self.seen: dict[str, list[Observation]] = {}
 
     def rows(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, whose rows are counted when it is next computed."""
-        self.seen[name] = Observation()
-        return df.observe(self.seen[name], F.count("*").alias("n"))
+        return df.observe(self._next(name), F.count("*").alias("n"))
 
     def by_chr(self, df: DataFrame, name: str, column: str = "chr") -> DataFrame:
         """``df``, whose rows are counted by chromosome; null is the unmapped one."""
-        self.seen[name] = Observation()
         blocks = range(0, max(self.n_chr, 1), BLOCK)
         tops = [F.expr(f"approx_top_k(if({column} >= {b} and {column} < {b + BLOCK}, {column}, null), {BLOCK + 1}, {BLOCK + 1})").alias(f"b{b}") for b in blocks]
-        return df.observe(self.seen[name], F.count("*").alias("n"), *tops)
+        return df.observe(self._next(name), F.count("*").alias("n"), *tops)
+
+    def _next(self, name: str) -> Observation:
+        self.seen.setdefault(name, []).append(Observation())
+        return self.seen[name][-1]
 
     def values(self) -> dict[str, int | dict[int | None, int]]:
         """Counts by name, once all tables have been computed: a number, or numbers by chromosome (None: unmapped)."""
         out: dict = {}
-        for name, observation in self.seen.items():
-            got = observation.get
-            if len(got) == 1:
-                out[name] = got["n"]
+        for name, observations in self.seen.items():
+            every = [o.get for o in observations]
+            total = sum(got["n"] for got in every)
+            if len(every[0]) == 1:
+                out[name] = total
                 continue
-            found = {r["item"]: r["count"] for c, top in got.items() if c != "n" for r in top or [] if r["item"] is not None}
-            rest = got["n"] - sum(found.values())
+            found: dict[int | None, int] = {}
+            for r in (r for got in every for c, top in got.items() if c != "n" for r in top or [] if r["item"] is not None):
+                found[r["item"]] = found.get(r["item"], 0) + r["count"]
+            rest = total - sum(found.values())
             out[name] = found | ({None: rest} if rest else {})
         return out
 

@@ -18,6 +18,8 @@ HEADER_BYTES = 1000
 PRIME = 2**31 - 1
 KEYS = ["g", "m", "is_mate"]
 RID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "seg"]
+#: What tells the genes and chromosomes of both ends.
+ENDS = ("chr", "mchr", "swapped")
 
 
 def mapped(s: SparkSession, d: str, min_mapq: int = 0) -> DataFrame:
@@ -39,29 +41,35 @@ def with_mate(s: SparkSession, d: str) -> DataFrame:
     return annotate.first_in_bins(annotate.first_in_bins(mapped(s, d), bins), bins, "mchr", "mcoord", "mgene")
 
 
-def distinct_reads(s: SparkSession, d: str) -> DataFrame:
-    return clusters.dedup_reads(clusters.discordant(with_mate(s, d)), fx.ORDER)
+def order_of(keep: tuple[str, ...]) -> list[str]:
+    """As much of the reads' order as decides on the columns of ``keep``: equal reads differ in none of them where they agree in these."""
+    return fx.ORDER[: max((fx.ORDER.index(c) + 1 for c in keep if c in fx.ORDER), default=0)]
 
 
-def kept(s: SparkSession, d: str) -> DataFrame:
-    """Discordant distinct reads of cross-family clusters, as a table."""
-    return detect.distinct_reads(mapped(s, d), fx.genes(s, d), fx.families(s, d), fx.ORDER)
+def distinct_reads(s: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
+    return detect.distinct_reads(mapped(s, d), fx.genes(s, d), None, order_of(keep), keep=[*keep])
 
 
-def enough(s: SparkSession, d: str) -> DataFrame:
-    return clusters.min_support(kept(s, d))
+def kept(s: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Discordant distinct reads of cross-family clusters, as a table: g, m, both positions and the columns of ``keep``."""
+    return detect.distinct_reads(mapped(s, d), fx.genes(s, d), fx.families(s, d), order_of(keep), keep=[*keep])
 
 
-def close(s: SparkSession, d: str) -> DataFrame:
-    return detect.supported(mapped(s, d), fx.genes(s, d), fx.families(s, d), fx.ORDER)
+def enough(s: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return detect.enough_reads(mapped(s, d), fx.genes(s, d), fx.families(s, d), order_of(keep), keep=[*keep])
 
 
-def framed(s: SparkSession, d: str) -> DataFrame:
-    return report.with_frames(report.orient(close(s, d)), fx.exons(s, d)).withColumn("line_len", 100 + F.col("l_linenumber"))
+def close(s: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return detect.supported(mapped(s, d), fx.genes(s, d), fx.families(s, d), order_of(keep), keep=[*keep])
+
+
+def framed(s: SparkSession, d: str, keep: tuple[str, ...] = ENDS) -> DataFrame:
+    return report.with_frames(report.orient(close(s, d, keep)), fx.exons(s, d))
 
 
 def summary(s: SparkSession, d: str) -> DataFrame:
-    return report.summarize(framed(s, d), HEADER_BYTES, ["coord", "mcoord", *fx.ORDER])
+    reads = framed(s, d, (*ENDS, "l_linenumber")).withColumn("line_len", 100 + F.col("l_linenumber"))
+    return report.summarize(reads, HEADER_BYTES, ["coord", "mcoord", "chr", "mchr"])
 
 
 def scan_mapped(s, d):
@@ -149,7 +157,7 @@ def cluster_counts(s, d):
 
 
 def cluster_stats_by_source(s, d):
-    return clusters.stats_by_source(distinct_reads(s, d), "src")
+    return clusters.stats_by_source(distinct_reads(s, d, ("l_linenumber",)), "l_linenumber")
 
 
 def gene_intervals(s, d):
@@ -181,7 +189,7 @@ def cross_family_clusters(s, d):
 
 
 def dedup_reads(s, d):
-    return distinct_reads(s, d).select(*RID, "g", "m", "chr", "mchr", "coord", "mcoord")
+    return distinct_reads(s, d, ("chr", "mchr", *RID)).select(*RID, "g", "m", "chr", "mchr", "coord", "mcoord")
 
 
 def min_support(s, d):
@@ -189,7 +197,7 @@ def min_support(s, d):
 
 
 def min_support_reads(s, d):
-    return enough(s, d).select(*RID, "g", "m", "coord", "mcoord")
+    return enough(s, d, (*RID,)).select(*RID, "g", "m", "coord", "mcoord")
 
 
 def proximity_reads(s, d):
@@ -229,7 +237,7 @@ def set_cover(s, d):
 def set_cover_report(s, d):
     """The whole job: report rows of the clusters that the cover keeps."""
     reads = mapped(s, d).withColumn("line_len", 100 + F.col("l_linenumber"))
-    return detect.detect(reads, fx.genes(s, d), fx.families(s, d), fx.exons(s, d), fx.chromosomes(s, d), fx.ORDER, HEADER_BYTES).clusters
+    return detect.detect(reads, fx.genes(s, d), fx.families(s, d), fx.exons(s, d), fx.chromosomes(s, d), order_of(("l_linenumber",)), HEADER_BYTES).clusters
 
 
 def report_lines(s, d):
@@ -252,7 +260,7 @@ def sam_positions(s, d):
 
 
 def oriented_reads(s, d):
-    return report.orient(close(s, d)).select("g", "m", "chr", "coord", "gene", "mchr", "mcoord", "mgene")
+    return report.orient(close(s, d, ENDS)).select("g", "m", "chr", "coord", "gene", "mchr", "mcoord", "mgene")
 
 
 def exon_frames(s, d):
@@ -261,7 +269,7 @@ def exon_frames(s, d):
 
 def exon_frames_literal(s, d):
     """Frames by the exon lists of each cluster's first read, and by their first exon."""
-    framed = report.with_frames(report.orient(close(s, d)), fx.exons(s, d), FusionConfig(compat="literal"), fx.ORDER)
+    framed = report.with_frames(report.orient(close(s, d, ENDS)), fx.exons(s, d), FusionConfig(compat="literal"), ["chr", "mchr"])
     return framed.select("g", "m", "coord", "mcoord", "gene", "mgene", "gene_name", "mgene_name", "frame", "mframe")
 
 

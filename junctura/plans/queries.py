@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from junctura.operators.order import running
 from junctura.plans import detect
 from junctura.sources import fixture as fx
 from junctura.sources import refgene, sam, sam_bytes
-from junctura.tables import cut
+from junctura.tables import cut, cut_each, parts_of, remove
 
 HEADER_BYTES = 1000
 PRIME = 2**31 - 1
@@ -254,9 +256,17 @@ def supporting_lines(s, d):
 
 
 def sam_positions(s, d):
-    """Every line of the SAM files but their headers, with its place."""
-    lines = sam_bytes.read(s, fx.sam_files(s, d)).filter(~F.col("value").startswith("@"))
-    return lines.select("file", "position", "line_len", F.md5("value").alias("digest"))
+    """Every line of the SAM files but their headers, with its place. Some files at a time are on disk: their text is larger than all that is told of it."""
+    step = -(-fx.FILES // parts_of(s, f"{d}/lineitem.parquet"))
+
+    def places() -> Iterator[DataFrame]:
+        for first in range(0, fx.FILES, step):
+            path = fx.sam_files(s, d, first, min(first + step, fx.FILES))
+            lines = sam_bytes.read(s, path).filter(~F.col("value").startswith("@"))
+            yield lines.select((F.col("file") + first).cast("int").alias("file"), "position", "line_len", F.unhex(F.md5("value")).alias("digest"))
+            remove(s, path)
+
+    return cut_each(places(), "places").withColumn("digest", F.lower(F.hex("digest")))
 
 
 def oriented_reads(s, d):

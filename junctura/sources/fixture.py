@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.sources import refgene
-from junctura.tables import new_folder
+from junctura.tables import new_folder, shuffles_go
 
 UNMAPPED = 5
 #: Files that the SAM text is written to, by order number.
@@ -96,27 +96,43 @@ def header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The read records as SAM lines (value), with what orders them; a mate on the same chromosome is ``=``, unmapped ends are ``*``.
+    """The read records as SAM lines (value), with what orders them."""
+    return _named(spark, sf_dir).select(*READ[:5], "mapq", sam_line().alias("value"))
 
-    Records of orders divisible by 101 have no number for their position, those of orders divisible by 103 are cut short.
-    """
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read records with the names of both chromosomes."""
     names = chromosomes(spark, sf_dir)
     a, b = names.select(F.col("chr").alias("chr"), F.col("chr_name").alias("name")), names.select(F.col("chr").alias("mchr"), F.col("chr_name").alias("mname"))
-    r = reads(spark, sf_dir).join(a, "chr", "left").join(b, "mchr", "left")
+    return reads(spark, sf_dir).join(a, "chr", "left").join(b, "mchr", "left")
+
+
+def sam_line() -> Column:
+    """A record's line; a mate on the same chromosome is ``=``, unmapped ends are ``*``.
+
+    Records of orders divisible by 101 have no number for their position, those of orders divisible by 103 are cut short.
+    """
     name = F.concat(F.lit("r"), F.concat_ws(".", *[F.col(c).cast("string") for c in READ[:5]]))
     rnext = F.when(F.col("chr") == F.col("mchr"), "=").otherwise(F.coalesce("mname", F.lit("*")))
     pos = F.when(F.col("l_orderkey") % 101 == 0, "x").otherwise(F.col("coord").cast("string"))
     whole = _join(name, "0", F.coalesce("name", F.lit("*")), pos, F.col("mapq"), "10M", rnext, F.col("mcoord"), "0", "ACGT", "*", "NM:i:0")
-    return r.select(*READ[:5], "mapq", F.when(F.col("l_orderkey") % 103 == 0, F.substring_index(whole, "\t", 8)).otherwise(whole).alias("value"))
+    return F.when(F.col("l_orderkey") % 103 == 0, F.substring_index(whole, "\t", 8)).otherwise(whole)
 
 
-def sam_files(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of FILES text files: each has the header, then the lines of its orders in order."""
+def sam_files(spark: SparkSession, sf_dir: str, first: int = 0, last: int = FILES) -> str:
+    """Folder of FILES text files (of those from ``first`` to before ``last``): each has the header, then the lines of its orders in order.
+
+    Numbers are shuffled and sorted, and become text as they are written; ``k`` is written as it was sorted, or Spark sorts again.
+    """
     by = [*READ[:5], "mapq"]
+    numbers = [*by, "chr", "coord", "mchr", "mcoord", "name", "mname"]
+    number = F.col("l_orderkey") % FILES
     name = lambda k: F.lpad(k.cast("string"), 2, "0").alias("k")
-    body = sam_lines(spark, sf_dir).select(name(F.col("l_orderkey") % FILES), F.lit(None).cast("int").alias("line_no"), *by, "value")
-    every = F.explode(F.sequence(F.lit(0), F.lit(FILES - 1)))
-    heads = header(spark, sf_dir).select("line_no", "value", every.alias("k")).select(name(F.col("k")), "line_no", *[F.lit(None).cast(body.schema[c].dataType).alias(c) for c in by], "value")
+    body = _named(spark, sf_dir).filter(number.between(first, last - 1)).select(name(number), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("head"), *numbers)
+    every = F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("k")
+    heads = header(spark, sf_dir).select("line_no", "value", every).select(name(F.col("k")), "line_no", F.col("value").alias("head"), *[F.lit(None).cast(body.schema[c].dataType).alias(c) for c in numbers])
+    dealt = heads.union(body).repartition("k").sortWithinPartitions("k", F.asc_nulls_last("line_no"), *by)
     path = new_folder(spark, "sam")
-    heads.union(body).repartition("k").sortWithinPartitions("k", F.asc_nulls_last("line_no"), *by).select("k", "value").write.partitionBy("k").text(path)
+    with shuffles_go(spark):
+        dealt.select("k", F.coalesce("head", sam_line()).alias("value")).write.partitionBy("k").text(path)
     return path

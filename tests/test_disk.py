@@ -1,6 +1,7 @@
 """What queries leave on disk, and that working in parts, tiles and with fewer columns changes no result."""
 
 import glob
+import os
 import random
 import time
 
@@ -85,6 +86,16 @@ def test_proximity_shuffles_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_sam_files_a_few_at_a_time(spark, monkeypatch):
+    whole = rows(q.sam_positions(spark, SF))
+    made = []
+    files = fx.sam_files
+    monkeypatch.setattr(fx, "sam_files", lambda *a: made.append(files(*a)) or made[-1])
+    monkeypatch.setattr(tables, "PART_BYTES", 1)
+    assert rows(q.sam_positions(spark, SF)) == whole
+    assert len(made) == tables.PARTS and not any(os.path.exists(p.removeprefix("file:")) for p in made)
+
+
 def test_the_job_in_parts(spark, monkeypatch):
     args = (q.mapped(spark, SF), fx.genes(spark, SF), fx.families(spark, SF), fx.ORDER)
     whole = rows(detect.supported(*args).select(*q.RID, "g", "m", "gene", "mgene", "is_mate", "chr", "mchr"))
